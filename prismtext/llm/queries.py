@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from .common import documents
+from .fingerprints import op1_fingerprint
+from .langid import op9_language
 from .mixing import OP10_SQL, op10_mix
 
 QUERIES = {
+    "op1_fingerprint": lambda spark, sf_dir: op1_fingerprint(documents(spark, sf_dir)),
+    "op9_language": lambda spark, sf_dir: op9_language(documents(spark, sf_dir)),
     "op10_mix_sources": lambda spark, sf_dir: op10_mix(documents(spark, sf_dir)),
 }
 
