@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import documents
 from .fingerprints import op1_fingerprint
+from .jaccard import op7_jaccard
 from .langid import op9_language
 from .media import op2_media
 from .mixing import OP10_SQL, op10_mix
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_fingerprint": lambda spark, sf_dir: op1_fingerprint(documents(spark, sf_dir)),
     "op2_media": lambda spark, sf_dir: op2_media(documents(spark, sf_dir)),
     "op3_toxicity": lambda spark, sf_dir: op3_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")),
+    "op7_jaccard": lambda spark, sf_dir: op7_jaccard(documents(spark, sf_dir)),
     "op8_token_files": lambda spark, sf_dir: op8_token_files(documents(spark, sf_dir)),
     "op9_language": lambda spark, sf_dir: op9_language(documents(spark, sf_dir)),
     "op10_mix_sources": lambda spark, sf_dir: op10_mix(documents(spark, sf_dir)),
