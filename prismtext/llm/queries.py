@@ -8,6 +8,7 @@ from .jaccard import op7_jaccard
 from .langid import op9_language
 from .media import op2_media
 from .mixing import OP10_SQL, op10_mix
+from .pieces import op5_pieces
 from .suffix_dedup import op4_suffix_dedup
 from .token_files import op8_token_files
 from .toxicity import op3_toxicity
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_media": lambda spark, sf_dir: op2_media(documents(spark, sf_dir)),
     "op3_toxicity": lambda spark, sf_dir: op3_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")),
     "op4_suffix_dedup": lambda spark, sf_dir: op4_suffix_dedup(documents(spark, sf_dir)),
+    "op5_pieces": lambda spark, sf_dir: op5_pieces(documents(spark, sf_dir)),
     "op7_jaccard": lambda spark, sf_dir: op7_jaccard(documents(spark, sf_dir)),
     "op8_token_files": lambda spark, sf_dir: op8_token_files(documents(spark, sf_dir)),
     "op9_language": lambda spark, sf_dir: op9_language(documents(spark, sf_dir)),
