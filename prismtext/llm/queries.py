@@ -6,6 +6,7 @@ from .common import documents
 from .fingerprints import op1_fingerprint
 from .jaccard import op7_jaccard
 from .langid import op9_language
+from .lm_score import op6_lm_score
 from .media import op2_media
 from .mixing import OP10_SQL, op10_mix
 from .pieces import op5_pieces
@@ -19,6 +20,7 @@ QUERIES = {
     "op3_toxicity": lambda spark, sf_dir: op3_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")),
     "op4_suffix_dedup": lambda spark, sf_dir: op4_suffix_dedup(documents(spark, sf_dir)),
     "op5_pieces": lambda spark, sf_dir: op5_pieces(documents(spark, sf_dir)),
+    "op6_lm_score": lambda spark, sf_dir: op6_lm_score(documents(spark, sf_dir)),
     "op7_jaccard": lambda spark, sf_dir: op7_jaccard(documents(spark, sf_dir)),
     "op8_token_files": lambda spark, sf_dir: op8_token_files(documents(spark, sf_dir)),
     "op9_language": lambda spark, sf_dir: op9_language(documents(spark, sf_dir)),
