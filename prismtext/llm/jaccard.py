@@ -12,8 +12,10 @@ The work skips along set relations:
   one leader it meets most often; what links is verified exactly;
 * lists are then read in blocks, and a block of two sets' ranges is skipped
   where all are of one class already or too far apart in size;
-* a set x that was compared with a leader r needs no look at r's follower m
-  where |x and r| + |m without r| is too small: m's answer is derived from r's;
+* two sets that were compared with one leader are not compared with each other
+  where their common part inside the leader, which follows from the two known
+  answers bit by bit, and the smaller remainder outside it are too small:
+  their answer is derived from the leader's;
 * a pair that remains must share so many prefix shingles (counted) that the
   rest of the sets can still reach the threshold; only then is it verified.
 
@@ -49,7 +51,7 @@ SLOTS, BLOCK = 1 << 22, 1 << 16
 #: Sets in one block of a long index list.
 LIST_BLOCK = 1024
 #: Most rows of an id table that is broadcast; more are joined by shuffle.
-FEW = 400_000
+FEW = 5_000
 
 
 def shingle_sets(column: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -199,38 +201,41 @@ def _shared_lists(postings: DataFrame) -> DataFrame:
             held = (t[last:], s[last:], x[last:], given)
             out = np.flatnonzero(shared)
             if len(out):
-                yield pa.RecordBatch.from_arrays([pa.array(t[out]), pa.array(s[out]), pa.array(x[out])], names=["token", "set_id", "np"])
+                # The run's length in this batch tells long lists from short ones; it only guides.
+                head = np.flatnonzero(np.append(True, ~same))
+                run = np.repeat(np.diff(np.append(head, len(t))), np.diff(np.append(head, len(t))))
+                yield pa.RecordBatch.from_arrays([pa.array(t[out]), pa.array(s[out]), pa.array(x[out]), pa.array(run[out])], names=["token", "set_id", "np", "k"])
 
     # Equal rows of copies in several tasks adjoin.
     rows = postings.repartition("token").sortWithinPartitions("token", "set_id")
-    return rows.mapInArrow(run, "token long, set_id long, np long")
-
-
-def _need(na, nb):
-    """The least number of common shingles with which sets of these sizes link."""
-    return -((-NUM * (na + nb)) // (NUM + DEN))
+    return rows.mapInArrow(run, "token long, set_id long, np long, k long")
 
 
 def _first_pairs(lists: DataFrame) -> DataFrame:
-    """For each set the leader it meets in most lists: (a: leader, b: set). Smaller sets lead."""
-    size = F.shiftright("np", 32)
-    order = W.partitionBy("token").orderBy(size, "set_id")
-    led = lists.select("token", "set_id", size.alias("n"))
-    # The leader is the first set of the list that is large enough for this one.
+    """For each set the leader it meets in most lists: (a: leader, b: set).
+
+    A list's leader, for each range of sizes, is the set whose shingles stand
+    in the longest lists: of many variants of a text, the least edited one.
+    """
+    popular = lists.groupBy("set_id").agg(F.sum("k").alias("pop"))
+    led = lists.join(popular, "set_id").select("token", "set_id", F.shiftright("np", 32).alias("n"), "pop")
     led = led.withColumn("bucket", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DEN / NUM))).cast("int"))
-    lead = led.groupBy("token", "bucket").agg(F.min(F.struct("n", "set_id")).alias("lead"))
-    below = lead.select("token", (F.col("bucket") + 1).alias("bucket"), F.col("lead").alias("lead_below"))
-    met = led.join(lead, ["token", "bucket"]).join(below, ["token", "bucket"], "left")
-    fits = F.col("lead_below.n") * DEN >= F.col("n") * NUM
-    met = met.select("set_id", "n", F.explode(F.array_distinct(F.array(F.col("lead"), F.when(fits, F.col("lead_below"))))).alias("lead"))
-    met = met.where(F.col("lead").isNotNull() & (F.col("lead.set_id") != F.col("set_id")))
-    votes = met.groupBy("set_id", F.col("lead.set_id").alias("leader"), F.col("lead.n").alias("ln")).agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("set_id").agg(F.max(F.struct("votes", F.col("ln"), "leader")).alias("best"))
-    return best.select(F.col("best.leader").alias("a"), F.col("set_id").alias("b")).where(F.col("best.votes") > 0)
+    lead = led.groupBy("token", "bucket").agg(F.max(F.struct("pop", "set_id", "n")).alias("lead"))
+    around = lead.select("token", F.explode(F.array(*[F.col("bucket") + d for d in (-1, 0, 1)])).alias("bucket"), "lead")
+    met = led.join(around, ["token", "bucket"]).where(F.col("lead.set_id") != F.col("set_id"))
+    met = met.where((F.col("lead.n") * DEN >= F.col("n") * NUM) & (F.col("n") * DEN >= F.col("lead.n") * NUM))
+    # Of two that meet, the more popular leads.
+    met = met.where(F.struct(F.col("lead.pop"), F.col("lead.set_id")) > F.struct("pop", "set_id"))
+    votes = met.groupBy("set_id", F.col("lead.set_id").alias("leader")).agg(F.count(F.lit(1)).alias("votes"), F.first("lead.pop").alias("pop"))
+    best = votes.groupBy("set_id").agg(F.max(F.struct("votes", "pop", "leader")).alias("best"))
+    return best.select(F.col("best.leader").alias("a"), F.col("set_id").alias("b"))
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, members: DataFrame, text: str) -> DataFrame:
-    """(a, b, na, nb, common) for each pair of sets, counted on the texts of one document of each set."""
+    """(a, b, na, nb, common, bits) for each pair of sets, counted on the texts of one document of each set.
+
+    ``bits`` has a bit for each shingle of a, in order: whether b has it too.
+    """
     reps = members.groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).select("set_id", "r.doc_id", "r.text_hash")
     ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("set_id"), "a", "b"), F.struct(F.col("b").alias("set_id"), "a", "b"))).alias("e")).select("e.*")
     wanted = materialize(ends.join(reps, "set_id"), "wanted")
@@ -244,72 +249,36 @@ def _verify(pairs: DataFrame, docs: DataFrame, members: DataFrame, text: str) ->
         for batch in pieces(batches, "x", 1 << 19):
             sx, ax = shingle_sets(batch.column(2))
             sy, ay = shingle_sets(batch.column(3))
-            common = [len(np.intersect1d(sx[ax[i] : ax[i + 1]], sy[ay[i] : ay[i + 1]], assume_unique=True)) for i in range(len(batch))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(ax), pa.int64()), pa.array(np.diff(ay), pa.int64()), pa.array(common, pa.int64())], names=["a", "b", "na", "nb", "common"])
+            both = [np.isin(sx[ax[i] : ax[i + 1]], sy[ay[i] : ay[i + 1]], assume_unique=True) for i in range(len(batch))]
+            columns = [batch.column(0), batch.column(1), pa.array(np.diff(ax), pa.int64()), pa.array(np.diff(ay), pa.int64()), pa.array([int(x.sum()) for x in both], pa.int64()), pa.array([np.packbits(x).tobytes() for x in both], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "na", "nb", "common", "bits"])
 
-    return both.mapInArrow(run, "a long, b long, na long, nb long, common long")
+    return both.mapInArrow(run, "a long, b long, na long, nb long, common long, bits binary")
 
 
-def _remaining_pairs(lists: DataFrame, classes: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs of sets in different classes that may still link, with the number of prefix shingles they share.
+def _block_pairs(rows: DataFrame, pairs_of, schema: str) -> DataFrame:
+    """Runs ``pairs_of(table, left, right)`` over all pairs of blocks of each list.
 
-    ``tried``: (a, b, na, nb, common) of the first round; each b was tried once.
+    ``rows`` has list, set_id, k (the list's length) and more columns. A long list is cut into blocks by a
+    hash of the set, and a row goes to each pair of blocks that its own is part of, so no list is one task's.
     """
-    info = tried.select(F.col("b").alias("set_id"), F.col("a").alias("leader"), "common").union(
-        tried.select(F.col("a").alias("set_id"), F.col("a").alias("leader"), F.col("na").alias("common")).distinct().join(tried.select(F.col("b").alias("set_id")).distinct(), "set_id", "left_anti"))
-    known = classes.select(F.col("node").alias("set_id"), F.col("component").alias("class"))
-    rows = lists.join(known, "set_id", "left").join(info, "set_id", "left")
-    rows = rows.select("token", "set_id", "np", F.coalesce("class", "set_id").alias("class"), F.coalesce("leader", F.lit(0)).alias("leader"), F.coalesce("common", F.lit(0)).alias("common"))
-    # Lists of one class are done.
-    open_ = rows.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("k")).where(F.col("lo") != F.col("hi"))
-    rows = rows.join(open_.select("token", "k"), "token")
-    # A long list is cut into blocks, and a row goes to each pair of blocks that its own is part of.
-    blocks = F.ceil(F.col("k") / LIST_BLOCK).cast("int")
-    rows = rows.withColumn("m", blocks).withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("m")).cast("int"))
+    rows = rows.withColumn("m", F.ceil(F.col("k") / LIST_BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("m")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    rows = rows.select("token", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "own", "set_id", "np", "class", "leader", "common")
-
-    def pairs_of(t: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
-        own, sid, x, cls, lead, com = (t.column(i).to_numpy(zero_copy_only=False) for i in range(3, 9))
-        n, place = x >> 32, x & 0xFFFFFFFF
-        b1, b2 = t.column(1)[0].as_py(), t.column(2)[0].as_py()
-        order = np.argsort(n, kind="stable")
-        left, right = order[own[order] == b1], order[own[order] == b2]
-        for start in range(0, len(left), 256):
-            # Positions of the list whose sizes can't match this run, or that hold one class, are skipped.
-            i = left[start : start + 256]
-            a = np.searchsorted(n[right], -(-n[i[0]] * NUM // DEN))
-            z = np.searchsorted(n[right], n[i[-1]] * DEN // NUM, "right")
-            j = right[a:z]
-            if not len(j) or (cls[i] == cls[i[0]]).all() and (cls[j] == cls[i[0]]).all():
-                continue
-            i, j = i[:, None], j[None]
-            lo, hi = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            ok = (cls[i] != cls[j]) & (lo * DEN >= hi * NUM)
-            if b1 == b2:
-                ok &= sid[i] < sid[j]
-            need = _need(n[i], n[j])
-            ok &= np.minimum(place[i], place[j]) + np.minimum(n[i] - place[i], n[j] - place[j]) >= need
-            derived = (lead[i] != 0) & (lead[i] == lead[j])
-            ok &= ~derived | (np.minimum(com[i] + n[j] - com[j], com[j] + n[i] - com[i]) >= need)
-            p, q = np.nonzero(ok)
-            a, b = i[p, 0], j[0, q]
-            swap = sid[a] > sid[b]
-            a, b = np.where(swap, b, a), np.where(swap, a, b)
-            yield sid[a], sid[b], n[a], n[b]
+    rows = rows.withColumn("b1", F.least("own", "other")).withColumn("b2", F.greatest("own", "other")).drop("m", "k", "other")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            for a, b, na, nb in pairs_of(t):
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (a, b, na, nb)], names=["a", "b", "na", "nb"])
+            own, b1, b2 = t["own"].to_numpy(), t["b1"][0].as_py(), t["b2"][0].as_py()
+            n = t["n"].to_numpy()
+            order = np.argsort(n, kind="stable")
+            yield from pairs_of(t, order[own[order] == b1], order[own[order] == b2])
 
         held: pa.Table | None = None
         for batch in batches:
             t = pa.Table.from_batches([batch])
             if held is not None:
                 t = pa.concat_tables([held, t])
-            key = np.stack([t.column(i).to_numpy() for i in range(3)])
+            key = np.stack([t[c].to_numpy() for c in ("list", "b1", "b2")])
             cut = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, [t.num_rows]])
             for a, z in zip(cut[:-2], cut[1:-1]):
                 if z - a > 1:
@@ -318,12 +287,90 @@ def _remaining_pairs(lists: DataFrame, classes: DataFrame, tried: DataFrame) ->
         if held is not None and held.num_rows > 1:
             yield from out(held)
 
-    rows = rows.repartition("token", "b1", "b2").sortWithinPartitions("token", "b1", "b2")
-    pairs = rows.mapInArrow(run, "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
-    # One prefix ends first; beyond it at most the rest of that set is common.
-    rest = F.greatest(F.col("na") - F.expr(f"na - ceil(na * {NUM} / {DEN}) + 1"), F.col("nb") - F.expr(f"nb - ceil(nb * {NUM} / {DEN}) + 1"))
-    need = F.ceil((F.col("na") + F.col("nb")) * NUM / (NUM + DEN))
-    return pairs.where(F.col("c") + rest >= need).select("a", "b")
+    return rows.repartition("list", "b1", "b2").sortWithinPartitions("list", "b1", "b2").mapInArrow(run, schema)
+
+
+def _runs(n: np.ndarray, cls: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs of a block with the part of the other block that can match: the rest is skipped by position.
+
+    Both are in order of size; skipped are sizes that are too far, and runs of one class.
+    """
+    for start in range(0, len(left), 256):
+        i = left[start : start + 256]
+        a = np.searchsorted(n[right], -(-n[i[0]] * NUM // DEN))
+        z = np.searchsorted(n[right], n[i[-1]] * DEN // NUM, "right")
+        j = right[a:z]
+        if len(j) and not ((cls[i] == cls[i[0]]).all() and (cls[j] == cls[i[0]]).all()):
+            yield i[:, None], j[None]
+
+
+def _open_lists(rows: DataFrame) -> DataFrame:
+    """Rows of the lists that hold more than one class, with the list's length k."""
+    lists = rows.groupBy("list").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("k")).where(F.col("lo") != F.col("hi"))
+    return rows.join(lists.select("list", "k"), "list")
+
+
+def _derived_pairs(tried: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different classes that were tried with one leader and may link.
+
+    What two sets have in common inside the leader follows from the bits that
+    their trials left; outside it they share at most the smaller remainder.
+    """
+    rows = tried.select(F.col("a").alias("list"), F.col("b").alias("set_id"), F.col("nb").alias("n"), "common", "bits")
+    rows = rows.join(classes, "set_id", "left").withColumn("class", F.coalesce("class", "set_id"))
+    ones = np.array([bin(x).count("1") for x in range(256)], np.uint8)
+
+    def pairs_of(t: pa.Table, left: np.ndarray, right: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sid, cls, n, common = (t[c].to_numpy() for c in ("set_id", "class", "n", "common"))
+        wide = len(t["bits"][0].as_py())
+        bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint8).reshape(-1, wide)
+        for i, j in _runs(n, cls, left, right):
+            need = -((-NUM * (n[i] + n[j])) // (NUM + DEN))
+            outside = np.minimum(n[i] - common[i], n[j] - common[j])
+            ok = (cls[i] != cls[j]) & (np.minimum(common[i], common[j]) + outside >= need) & (sid[i] != sid[j])
+            if left is right or len(left) == len(right) and (left == right).all():
+                ok &= sid[i] < sid[j]
+            p, q = np.nonzero(ok)
+            for a in range(0, len(p), 50_000):
+                x, y = i[p[a : a + 50_000], 0], j[0, q[a : a + 50_000]]
+                inside = ones[bits[x] & bits[y]].sum(axis=1, dtype=np.int64)
+                near = inside + np.minimum(n[x] - common[x], n[y] - common[y]) >= -((-NUM * (n[x] + n[y])) // (NUM + DEN))
+                x, y = sid[x[near]], sid[y[near]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    return _block_pairs(_open_lists(rows), pairs_of, "a long, b long").distinct()
+
+
+def _remaining_pairs(lists: DataFrame, classes: DataFrame, tried: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different classes and leaders that share enough prefix shingles to link.
+
+    A pair shares at most the prefix shingles counted and the rest of the set whose prefix ends first.
+    """
+    led = tried.select(F.col("b").alias("set_id"), F.col("a").alias("leader"))
+    rows = lists.select(F.col("token").alias("list"), "set_id", "np").join(classes, "set_id", "left").join(led, "set_id", "left")
+    rows = rows.withColumn("class", F.coalesce("class", "set_id")).withColumn("leader", F.coalesce("leader", "set_id")).withColumn("n", F.shiftright("np", 32))
+
+    def pairs_of(t: pa.Table, left: np.ndarray, right: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sid, cls, lead, n, x = (t[c].to_numpy() for c in ("set_id", "class", "leader", "n", "np"))
+        place = x & 0xFFFFFFFF
+        for i, j in _runs(n, cls, left, right):
+            lo, hi = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            ok = (cls[i] != cls[j]) & (lo * DEN >= hi * NUM)
+            if len(left) == len(right) and (left == right).all():
+                ok &= sid[i] < sid[j]
+            # Pairs with one leader are derived from it; a set and its own leader were tried.
+            ok &= (lead[i] != lead[j]) & (lead[i] != sid[j]) & (lead[j] != sid[i])
+            ok &= np.minimum(place[i], place[j]) + np.minimum(n[i] - place[i], n[j] - place[j]) >= -((-NUM * (n[i] + n[j])) // (NUM + DEN))
+            p, q = np.nonzero(ok)
+            a, b = i[p, 0], j[0, q]
+            swap = sid[a] > sid[b]
+            a, b = np.where(swap, b, a), np.where(swap, a, b)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (sid[a], sid[b], n[a], n[b])], names=["a", "b", "na", "nb"])
+
+    pairs = _block_pairs(_open_lists(rows), pairs_of, "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
+    rest = F.greatest(F.expr(f"ceil(na * {NUM} / {DEN}) - 1"), F.expr(f"ceil(nb * {NUM} / {DEN}) - 1"))
+    return pairs.where(F.col("c") + rest >= F.ceil((F.col("na") + F.col("nb")) * NUM / (NUM + DEN))).select("a", "b")
 
 
 def jaccard_classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -338,9 +385,10 @@ def jaccard_classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Dat
     tried = materialize(_verify(materialize(_first_pairs(lists), "leaders"), docs, members, text), "tried")
     near = tried.where(linked)
     classes = materialize(components(near.select("a", "b")), "classes")
-    more = materialize(_remaining_pairs(lists, classes, tried), "pairs")
+    known = classes.select(F.col("node").alias("set_id"), F.col("component").alias("class"))
+    more = materialize(_derived_pairs(tried, known).union(_remaining_pairs(lists, known, tried)), "pairs")
     later = materialize(_verify(more, docs, members, text), "later")
-    links = near.union(later.where(linked))
+    links = near.union(later.where(linked)).drop("bits")
     if later.where(linked).limit(1).count():
         classes = materialize(components(links.select("a", "b")), "classes")
     named = members.join(classes.select(F.col("node").alias("set_id"), "component"), "set_id", "left").select("doc_id", "set_id", "n", F.coalesce("component", "set_id").alias("component"))

@@ -36,9 +36,11 @@ from .common import materialize, mix64, pieces, utf8
 LENGTH, GRAM = 400, 128
 SPAN = LENGTH - GRAM + 1
 #: Rows up to which a join's side is broadcast, and open suffixes of one name up to which they are refined in one task.
-FEW, GROUP = 400_000, 2_000
+FEW, GROUP = 5_000, 2_000
 ODD, ODDER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-SCHEMA = "name long, span long, doc long, start int, stop int"
+SCHEMA = "name long, span long, doc long, start int, stop int, mark int"
+#: Marks of a suffix: its span was seen twice in one batch (SEEN); a merged range of such spans, to be removed as it is (DONE).
+SEEN, DONE = 1, 2
 
 
 def double(names: np.ndarray, size: int) -> np.ndarray:
@@ -106,8 +108,22 @@ def _suffixes(docs: DataFrame) -> DataFrame:
                 for o, v in zip(out, (own[place], x, np.full(len(place), doc[i]), first.astype(np.int32), stop.astype(np.int32))):
                     o.append(v)
             name, span, key, start, stop = (np.concatenate(o) for o in out)
-            if len(name):
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(span.view(np.int64)), pa.array(key), pa.array(start), pa.array(stop)], names=["name", "span", "doc", "start", "stop"])
+            if not len(name):
+                continue
+            # Of a span that a batch holds twice, one suffix stands for all; the others' bytes are known to repeat.
+            _, first, back, many = np.unique(mix64(name) ^ span, return_index=True, return_inverse=True, return_counts=True)
+            mark = np.where(many[back] > 1, SEEN, 0).astype(np.int32)
+            other = mark > 0
+            other[first] = False
+            k = np.flatnonzero(other)
+            new = np.ones(len(k), bool)
+            new[1:] = (key[k[1:]] != key[k[:-1]]) | (start[k[1:]] > stop[k[:-1]])
+            head = k[new]
+            tail = k[np.append(np.flatnonzero(new)[1:], len(k)) - 1] if len(k) else k
+            own = np.flatnonzero(~other)
+            label = mix64(key[head].view(np.uint64) ^ (start[head].astype(np.uint64) << np.uint64(20)))
+            columns = [np.concatenate([name[own], label]).view(np.int64), np.concatenate([span[own], label]).view(np.int64), key[np.append(own, head)], start[np.append(own, head)], np.append(stop[own], stop[tail]), np.append(mark[own], np.full(len(head), DONE, np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["name", "span", "doc", "start", "stop", "mark"])
 
     return docs.mapInArrow(run, SCHEMA)
 
@@ -117,7 +133,7 @@ def _buckets(suffixes: DataFrame) -> DataFrame:
 
     The sorted suffixes are read once; a row needs only its two neighbours, so
     no bucket is gathered. A bucket's repeated span takes part in refinement by
-    its first or last suffix.
+    its first or last suffix; what a batch knew to repeat is passed on.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,9 +144,10 @@ def _buckets(suffixes: DataFrame) -> DataFrame:
             same, twin = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
             same[1:n] = name[1:] == name[:-1]
             twin[1:n] = same[1:n] & (span[1:] == span[:-1])
-            repeats = twin[:-1] | twin[1:]
+            marked = t["mark"].to_numpy() > 0
+            repeats = twin[:-1] | twin[1:] | marked
             opened = (same[:-1] & ~twin[:-1]) | (same[1:] & ~twin[1:])
-            keep = np.flatnonzero(same[:-1] | same[1:])
+            keep = np.flatnonzero(same[:-1] | same[1:] | marked)
             keep = keep[(keep >= lead) & (keep < n - tail)]
             out = t.take(pa.array(keep)).combine_chunks()
             columns = [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in out.columns]
@@ -243,8 +260,11 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     return ranges.groupBy("doc").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
 
 
-def remove_repeats(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` and kept (the remaining bytes), n_bytes, n_removed, n_spans of every row."""
+def remove_repeats(docs: DataFrame, keep: list[str], text: str = "text", as_text: bool = False) -> DataFrame:
+    """The columns ``keep`` and kept (the remaining bytes), n_bytes, n_removed, n_spans of every row.
+
+    With ``as_text`` kept is a string; a character that lost a byte goes whole.
+    """
     keyed = docs.select(*keep, F.xxhash64("doc_id", text).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     ranges = materialize(repeated_ranges(keyed.select("doc", F.col("_text").alias("text"))), "ranges")
     side = F.broadcast(ranges) if ranges.count() <= FEW else ranges
@@ -271,10 +291,12 @@ def remove_repeats(docs: DataFrame, keep: list[str], text: str = "text") -> Data
                     kept.append(own.tobytes())
                     removed.append(0)
                     spans.append(0)
-            columns = [pa.array(kept, pa.binary()), pa.array(np.diff(offsets), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())]
+            if as_text:
+                kept = [x.decode("utf-8", "ignore") for x in kept]
+            columns = [pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(np.diff(offsets), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *columns], names=[*keep, "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return rows.mapInArrow(run, f"{fields}kept binary, n_bytes long, n_removed long, n_spans long")
+    return rows.mapInArrow(run, f"{fields}kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long")
 
 
 def op4_suffix_dedup(docs: DataFrame) -> DataFrame:

@@ -8,11 +8,11 @@ checkpoints), then the bits. Blocks decode independently; the decoder steps
 through all blocks of a file at once with one table look-up an id.
 
 Documents are in ascending id order. Ranges of ids are cut at quantiles, each
-range is sorted and coded by a task of its own, and the ids before a range are
-known from the counting pass, so no global sort or running sum is needed.
+range is sorted and coded by a task of its own; ``ranges`` holds the number of
+ids before each range, so no global sort or running sum is needed.
 
 Layout of ``payload`` (little-endian): 8-byte magic ``HUFFIDS1``; uint64 first
-(ids before this file); uint32 ids; uint32 blocks; uint32 bit offset of each
+(ids before this file in its range); uint32 ids; uint32 blocks; uint32 bit offset of each
 block; code bits, most significant first, in 32-bit words.
 
 Defined results: a null text counts as empty and has the end id alone; null
@@ -22,9 +22,11 @@ file and reads as no rows.
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -107,7 +109,7 @@ class Book:
         return head + checkpoints.tobytes() + words[: (total + 31) // 32].astype(">u4").tobytes()
 
     def decode(self, payload: bytes) -> tuple[int, np.ndarray]:
-        """The number of ids before this file, and its ids."""
+        """The number of ids before this file in its range, and its ids."""
         if payload[:8] != MAGIC:
             raise ValueError("not a file of token ids")
         first = int.from_bytes(payload[8:16], "little")
@@ -129,30 +131,86 @@ class Book:
         return first, out.T.reshape(-1)[:n]
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    """A tokenizer and its memory of words, one of each for a Python worker."""
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path), {}
-
-
-#: White space that the tokenizer drops; words between it are encoded alone.
-_SPLIT = re.compile(r"[ \t\n\r]+")
+class Encoder:
+    """A tokenizer with a memory of words, one for each Python worker.
+
+    Where the tokenizer lower-cases and then cuts a text by a pattern into words
+    that are encoded alone, a word is encoded once and remembered: its texts
+    are cut here by the same pattern, and new words go to the tokenizer's model
+    together. Texts with characters outside printable ASCII and Latin letters
+    (for which normal forms could differ) go through the tokenizer whole.
+    """
+
+    #: Words that are remembered before the memory is emptied.
+    MOST = 700_000
+
+    def __init__(self, path: str):
+        import regex
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+        self.memory: dict[str, bytes] = {}
+        spec = json.loads(self.whole.to_str())
+        steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.cut = None
+        if steps == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["invert"] and suffix:
+            # The pattern's classes as they are among plain characters, for the faster standard matcher.
+            pattern = cuts[0]["pattern"]["Regex"]
+            for kind in (r"\p{L}", r"\p{N}"):
+                pattern = pattern.replace(kind, "".join(re.escape(c) for c in map(chr, range(0x250)) if regex.match(kind, c)))
+            self.cut = re.compile(pattern).findall
+            self.plain = re.compile("[\t\n\r -~\u00c0-\u012f\u0131-\u024f]*").fullmatch
+            self.special = re.compile("|".join(re.escape(x["content"]) for x in spec["added_tokens"]) or "(?!)").search
+            self.words = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "WhitespaceSplit"}}))
+            vocabulary = self.words.get_vocab()
+            self.ends = np.zeros(1 + max(vocabulary.values()), bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+            # Bytes as the characters that byte-level vocabularies are written in: printable ones stand for themselves.
+            own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+            rest = [b for b in range(256) if b not in own]
+            self.chars = {b: chr(256 + k) for k, b in enumerate(rest) if b != 32}
+
+    def encode_words(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these words, which the pattern has cut, and where each word's ids end."""
+        ids = np.array(self.words.encode(" ".join(new).encode().decode("latin-1").translate(self.chars), add_special_tokens=False).ids, "<u4")
+        at = np.flatnonzero(self.ends[ids]) + 1
+        if len(at) != len(new):
+            raise ValueError("words and their ends differ")
+        return ids, at
+
+    def split(self, texts: list[str]) -> tuple[list[int], list[list[str]]]:
+        """Which texts are plain, and the words of those."""
+        plain = [i for i, t in enumerate(texts) if self.cut and self.plain(t) and not self.special(t)]
+        return plain, [self.cut(texts[i].lower()) for i in plain]
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray | None] = [None] * len(texts)
+        plain, cut = self.split(texts)
+        got = [list(map(self.memory.get, ws)) for ws in cut]
+        new = {w for ws, ids in zip(cut, got) if None in ids for w, x in zip(ws, ids) if x is None}
+        if new:
+            if len(self.memory) + len(new) > self.MOST:
+                self.memory.clear()
+                new, got = set().union(*cut), [[None]] * len(cut)
+            new = list(new)
+            ids, at = self.encode_words(new)
+            raw, a = ids.tobytes(), 0
+            for w, z in zip(new, (at * 4).tolist()):
+                self.memory[w], a = raw[a:z], z
+            got = [list(map(self.memory.get, ws)) if None in ids else ids for ws, ids in zip(cut, got)]
+        for i, ids in zip(plain, got):
+            out[i] = np.frombuffer(b"".join(ids), "<u4")
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.whole.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False) if rest else []):
+            out[i] = np.array(e.ids, "<u4")
+        return out
 
 
-def encode_words(texts: list[str], path: str) -> list[np.ndarray]:
-    """Ids of each text. A word is encoded once and remembered; the memory is emptied when it holds 400,000."""
-    tokenizer, memory = _tokenizer(path)
-    split = [_SPLIT.split(t) for t in texts]
-    new = list({w for ws in split for w in ws} - memory.keys())
-    if new:
-        if len(memory) + len(new) > 400_000:
-            memory.clear()
-            new = list({w for ws in split for w in ws})
-        for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            memory[w] = np.array(e.ids, "<u4").tobytes()
-    return [np.frombuffer(b"".join([memory[w] for w in ws]), "<u4") for ws in split]
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def default_path() -> str:
@@ -171,35 +229,66 @@ def _ranged(docs: DataFrame) -> DataFrame:
     return rows.withColumn("part", part)
 
 
+def id_counts(rows: DataFrame, path: str, end: int) -> np.ndarray:
+    """How often each id occurs in all texts: words are counted first, and each is encoded once."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, seen, ids = encoder(path), Counter(), Counter()
+
+        def close() -> pa.RecordBatch:
+            keys = [*seen, *[None] * len(ids)]
+            out = [pa.array(keys, pa.string()), pa.array([None] * len(seen) + list(ids), pa.int64()), pa.array([*seen.values(), *ids.values()], pa.int64())]
+            seen.clear()
+            ids.clear()
+            return pa.RecordBatch.from_arrays(out, names=["word", "id", "n"])
+
+        for batch in pieces(batches, "text", 1 << 20):
+            texts = batch.column(0).to_pylist()
+            plain, cut = encode.split(texts)
+            for ws in cut:
+                seen.update(ws)
+            ids[end] += len(texts)
+            other = set(range(len(texts))).difference(plain)
+            for i in other:
+                ids.update(encode([texts[i]])[0].tolist())
+            if len(seen) > 1_000_000:
+                yield close()
+        yield close()
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, total = encoder(path), np.zeros(1, np.int64)
+        for batch in batches:
+            word, n = batch.column(0).to_pylist(), batch.column(2).to_numpy()
+            own = [i for i, w in enumerate(word) if w is not None]
+            known = np.array([i for i, w in enumerate(word) if w is None], np.int64)
+            ids, weights = batch.column(1).to_numpy(zero_copy_only=False)[known].astype(np.int64), n[known]
+            if own:
+                more, at = encode.encode_words([word[i] for i in own])
+                ids = np.concatenate([ids, more]).astype(np.int64)
+                weights = np.concatenate([weights, np.repeat(n[own], np.diff(at, prepend=0))])
+            size = max(len(total), int(ids.max()) + 1 if len(ids) else 0)
+            total = np.pad(total, (0, size - len(total)))
+            np.add.at(total, ids, weights)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["id", "n"])
+
+    counted = rows.select("text").mapInArrow(words, "word string, id long, n long").groupBy("word", "id").agg(F.sum("n").alias("n"))
+    # At most one row for each id of the vocabulary comes back.
+    totals = counted.mapInArrow(encoded, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(1 + max([r["id"] for r in totals], default=end), np.int64)
+    for r in totals:
+        counts[r["id"]] = r["n"]
+    return counts
+
+
 def write_ids(docs: DataFrame, folder: str, path: str | None = None, end: int = 2) -> None:
     """Encode all texts and write ``folder``/codes and ``folder``/files."""
     spark = docs.sparkSession
     rows = _ranged(docs)
     path = path or default_path()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, ranges = np.zeros(0, np.int64), {}
-        for batch in pieces(batches, "text", 1 << 20):
-            ids = encode_words(batch.column(0).to_pylist(), path)
-            got = np.bincount(np.concatenate([*ids, np.full(len(ids), end, np.uint32)]).astype(np.int64))
-            wide = max(len(got), len(seen))
-            seen = np.pad(seen, (0, wide - len(seen))) + np.pad(got, (0, wide - len(got)))
-            for p, x in zip(batch.column(1).to_pylist(), ids):
-                ranges[p] = ranges.get(p, 0) + len(x) + 1
-        some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(some)), pa.int32()), pa.array(some, pa.int64()), pa.array(seen[some], pa.int64())], names=["kind", "key", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([1] * len(ranges), pa.int32()), pa.array(list(ranges), pa.int64()), pa.array(list(ranges.values()), pa.int64())], names=["kind", "key", "n"])
-
-    # At most one row for each id of the vocabulary and each range comes back.
-    totals = rows.select("text", F.col("part").cast("long").alias("part")).mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(1 + max([r["key"] for r in totals if r["kind"] == 0], default=end), np.int64)
-    for r in totals:
-        if r["kind"] == 0:
-            counts[r["key"]] = r["n"]
+    counts = id_counts(rows, path, end)
     lengths = code_lengths(counts)
-    before, sums = {}, 0
-    for p, n in sorted((r["key"], r["n"]) for r in totals if r["kind"] == 1):
-        before[p], sums = sums, sums + n
     coded = spark.createDataFrame([(int(i), int(counts[i]), int(lengths[i])) for i in np.flatnonzero(counts)], "id int, n long, bits int")
     coded.coalesce(1).write.parquet(f"{folder}/codes")
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -218,12 +307,12 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, end: int =
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), docs, sizes, pa.array([payload], pa.binary())], names=["part", "doc_ids", "sizes", "payload"])
 
         for batch in pieces(batches, "text", 1 << 20):
-            encoded = encode_words(batch.column(1).to_pylist(), path)
+            encoded = encoder(path)(batch.column(1).to_pylist())
             for i, (p, x) in enumerate(zip(batch.column(2).to_pylist(), encoded)):
                 if p != part:
                     if held:
                         yield close()
-                    part, at = p, before[p]
+                    part, at = p, 0
                 held.append((batch.column(0).slice(i, 1), np.append(x, np.uint32(end))))
                 n += len(x) + 1
                 if n >= FILE_IDS:
@@ -233,6 +322,10 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, end: int =
 
     dealt = rows.repartition("part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "text")
     dealt.select("doc_id", "text", "part").mapInArrow(code, f"part int, doc_ids array<{kind}>, sizes array<int>, payload binary").write.parquet(f"{folder}/files")
+    # Where each range begins: a row for each range, from the sizes alone.
+    sums = spark.read.parquet(f"{folder}/files").groupBy("part").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).orderBy("part").collect()
+    begin = np.cumsum([0, *(r["n"] for r in sums)]).tolist()
+    spark.createDataFrame([(r["part"], b) for r, b in zip(sums, begin)], "part int, first long").coalesce(1).write.parquet(f"{folder}/ranges")
 
 
 def read_book(spark, folder: str) -> Book:
@@ -248,11 +341,13 @@ def read_ids(spark, folder: str, with_ids: bool = True) -> DataFrame:
     files = spark.read.parquet(f"{folder}/files")
     kind = files.schema["doc_ids"].dataType.elementType.simpleString()
     book = spark.sparkContext.broadcast(read_book(spark, folder))
+    begin = {r["part"]: r["first"] for r in spark.read.parquet(f"{folder}/ranges").collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
                 first, ids = book.value.decode(batch.column(2)[i].as_py())
+                first += begin[batch.column(3)[i].as_py()]
                 size = batch.column(1)[i].values.to_numpy(zero_copy_only=False).astype(np.int64)
                 end = np.cumsum(size)
                 raw = ids.astype("<u4")
@@ -263,7 +358,7 @@ def read_ids(spark, folder: str, with_ids: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
     more = ", ids array<int>" if with_ids else ""
-    return files.select("doc_ids", "sizes", "payload").mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long{more}")
+    return files.select("doc_ids", "sizes", "payload", "part").mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long{more}")
 
 
 def op8_token_files(docs: DataFrame) -> DataFrame:
