@@ -1,4 +1,300 @@
-"""Queries over the test tables, and the SQL that gives the same rows."""
+"""Queries over the test tables, and the SQL that gives the same rows.
 
-QUERIES: dict = {}
-SQL: dict = {}
+Most identifiers do not occur in the tables, so the checks run over numbers
+made from the keys of orders: the same text in Spark and in SQL.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from prismtext.functions import text as t
+from prismtext.functions import validators as v
+from prismtext.operators import guard, mapping, mask, retrieval, route
+from prismtext.operators.rules import RULES
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _table(name: str) -> Query:
+    return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+documents, orders, customer, conversations, embeddings = (_table(n) for n in ("documents", "orders", "customer", "conversations", "embeddings"))
+
+
+def number(factor: int, width: int, add: int = 0) -> tuple[str, str]:
+    """A digit string of a width from o_orderkey, as Spark SQL and as DuckDB SQL (they are the same)."""
+    sql = f"lpad(cast((o_orderkey * {factor} + {add}) % {10**width} as string), {width}, '0')"
+    return sql, sql.replace("as string", "as varchar")
+
+
+def upper_letters(factor: int, count: int) -> str:
+    """Letters from o_orderkey, the same in both dialects."""
+    return " || ".join(f"chr(cast(65 + (o_orderkey * {factor + 13 * i} + {7 * i}) % 26 as int))" for i in range(count))
+
+
+def _sum(weights: tuple[int, ...], text: str = "s") -> str:
+    return " + ".join(f"cast(substr({text}, {i + 1}, 1) as int) * {w}" for i, w in enumerate(weights) if w)
+
+
+def _check(spark_text: str, rule: Callable[[Column], Column]) -> Query:
+    return lambda spark, sf_dir: orders(spark, sf_dir).select("o_orderkey", F.expr(spark_text).alias("s")).select("o_orderkey", "s", rule(F.col("s")).alias("valid"))
+
+
+def _check_sql(text: str, rule: str) -> str:
+    return f"select o_orderkey, s, {rule} as valid from (select o_orderkey, {text} as s from orders)"
+
+
+def _luhn(text: str) -> str:
+    double = f"list_transform(range(1, len({text}) + 1), lambda i: case when (len({text}) - i) % 2 = 1 then cast(substr({text}, cast(i as int), 1) as int) * 2 else cast(substr({text}, cast(i as int), 1) as int) end)"
+    return f"list_sum(list_transform({double}, lambda d: case when d > 9 then d - 9 else d end)) % 10 = 0"
+
+
+VIN_TEXT = "'WVWZZZ1J' || substr('0123456789X', cast(o_orderkey % 11 as int) + 1, 1) || " + number(7919, 8)[0]
+PESEL, NIP, REGON9, REGON14, CARD, ICCID, PHONE = number(7919, 11), number(104729, 10), number(31337, 9), number(15485863, 14), number(49979687, 16), number(86028121, 19), number(6700417, 9)
+IBAN = tuple("'GB' || " + a + " || 'WEST' || " + b for a, b in zip(number(1, 2), number(86028121, 14)))
+SSN = tuple(f"{a} || '-' || {b} || '-' || {c}" for a, b, c in zip(number(1, 3), number(7, 2), number(3, 4)))
+PLATE = tuple(upper_letters(1, 3) + " || ' ' || " + n for n in number(7919, 4))
+VAT = tuple(upper_letters(3, 4) + " || " + n for n in number(7919, 8))
+_mac = [f"substr(upper(md5({k})), 1, 2) || ':' || substr(upper(md5({k})), 3, 2) || '-AA:BB:CC:' || substr(upper(md5({k})), 5, 2)" for k in ("cast(o_orderkey as string)", "cast(o_orderkey as varchar)")]
+MAC = tuple(f"case when o_orderkey % 2 = 0 then replace({m}, '-', ':') else {m} end" for m in _mac)
+TOKEN = tuple(f"md5({k}) || '_' || md5({k})" for k in ("cast(o_orderkey as string)", "cast(o_orderkey as varchar)"))
+SERIAL = tuple(f"case when o_orderkey % 2 = 0 then upper({x}) else {x} end" for x in ("md5(cast(o_orderkey as string))", "md5(cast(o_orderkey as varchar))"))
+JWT = tuple(f"substr({a}, 1, cast(8 + o_orderkey % 5 as int)) || '.' || {a} || '.' || {a}" for a in ("md5(cast(o_orderkey as string))", "md5(cast(o_orderkey as varchar))"))
+TXN = tuple(f"'TRX-' || {a} || case when o_orderkey % 3 = 0 then '' else '-' || {b} end" for a, b in zip(number(7919, 6), number(31, 4)))
+
+_vin_sum = " + ".join(
+    f"(case when strpos('{v.VIN_LETTERS}', substr(s, {i + 1}, 1)) > 0 then [{', '.join(map(str, '%s'))}][strpos('{v.VIN_LETTERS}', substr(s, {i + 1}, 1))] else cast(substr(s, {i + 1}, 1) as int) end) * {w}"
+    for i, w in enumerate(v.VIN_WEIGHTS)
+    if w
+)
+
+
+def _vin_sql(numbers: tuple[int, ...]) -> str:
+    total = _vin_sum.replace("[%, s]", str(list(numbers)))
+    total = total.replace("cast(substr(s, 9, 1) as int)", "0")
+    return f"substr(s, 9, 1) = case when ({total}) % 11 = 10 then 'X' else cast(({total}) % 11 as varchar) end"
+
+
+_IBAN_SQL = "list_reduce(list_prepend(0, list_transform(string_split(substr(s, 5) || substr(s, 1, 4), ''), lambda c: case when c between '0' and '9' then cast(c as int) else ascii(c) - 55 end)), lambda r, d: (r * (case when d > 9 then 100 else 10 end) + d) % 97) = 1"
+_REGON9_SQL = f"({_sum(v.REGON9_WEIGHTS)}) % 11 % 10 = cast(substr(s, 9, 1) as int)"
+
+CHECKS: dict[str, tuple[tuple[str, str], Callable[[Column], Column], str]] = {
+    "valid_pesel": (PESEL, v.valid_pesel, f"(10 - ({_sum(v.PESEL_WEIGHTS)}) % 10) % 10 = cast(substr(s, 11, 1) as int)"),
+    "valid_nip": (NIP, v.valid_nip, f"({_sum(v.NIP_WEIGHTS)}) % 11 = cast(substr(s, 10, 1) as int)"),
+    "valid_krs": (NIP, v.valid_krs, "regexp_full_match(s, '[0-9]{10}')"),
+    "valid_regon9": (REGON9, v.valid_regon, _REGON9_SQL),
+    "valid_regon14": (REGON14, v.valid_regon, f"{_REGON9_SQL} and ({_sum(v.REGON14_WEIGHTS)}) % 11 % 10 = cast(substr(s, 14, 1) as int)"),
+    "valid_luhn": (CARD, v.valid_card, _luhn("s")),
+    "valid_iccid": (ICCID, v.valid_iccid, _luhn("s")),
+    "valid_iban_compact": (IBAN, v.valid_iban, _IBAN_SQL),
+    "valid_vin_compat": ((VIN_TEXT, VIN_TEXT.replace("as string", "as varchar")), v.valid_vin, _vin_sql(v.VIN_COUNTED)),
+    "valid_vin_iso": ((VIN_TEXT, VIN_TEXT.replace("as string", "as varchar")), lambda c: v.valid_vin(c, iso=True), _vin_sql(v.VIN_ISO)),
+    "valid_ssn": (SSN, v.valid_ssn, "substr(s, 1, 3) not in ('000', '666') and substr(s, 1, 1) <> '9' and substr(s, 5, 2) <> '00' and substr(s, 8, 4) <> '0000'"),
+    "valid_car_plate": (PLATE, v.valid_plate, "regexp_full_match(replace(s, ' ', ''), '[A-Z]{3}[0-9]{4,5}[A-Z]?')"),
+    "valid_phone_pl": (PHONE, v.valid_phone, "substr(s, 1, 2) in (" + ", ".join(f"'{p}'" for p in v.PHONE_PREFIXES) + ") or substr(s, 1, 3) = '800'"),
+    "valid_eu_vat": (VAT, v.valid_eu_vat, "regexp_full_match(s, '[A-Z]{2}[A-Z0-9]{8,12}') and len(regexp_extract_all(substr(s, 3), '[0-9]')) >= 4"),
+    "valid_mac_strict": (MAC, v.valid_mac, "regexp_full_match(s, '([0-9A-F]{2}:){5}[0-9A-F]{2}')"),
+    "valid_token": (TOKEN, v.possible_token, "len(s) >= 32 and cast(regexp_matches(s, '[A-Z]') as int) + cast(regexp_matches(s, '[a-z]') as int) + cast(regexp_matches(s, '[0-9]') as int) + cast(regexp_matches(s, '[_-]') as int) >= 2"),
+    "valid_jwt": (JWT, v.possible_jwt, "regexp_full_match(s, '[A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}')"),
+    "valid_ssl_serial": (SERIAL, v.valid_ssl_serial, "regexp_full_match(s, '[0-9A-F]{16,40}')"),
+    "valid_txn_ref": (TXN, v.possible_transaction, "len(s) between 8 and 64 and len(regexp_extract_all(s, '[0-9]+')) >= 2"),
+}
+
+#: Masks and finds in texts made from keys: name, rule, text, and the SQL for the masked text.
+_RULE = {r.tag: r for r in RULES}
+MASKS = {
+    "mask_passport": ("PASSPORT", tuple(f"'pass ' || {upper_letters(5, 2)} || {n} || ' end'" for n in number(7919, 7)), r"\b[A-Za-z]{2}[0-9]{7}\b"),
+    "mask_id_card": ("ID_CARD", tuple(f"'card ' || {upper_letters(5, 3)} || {n} || ' end'" for n in number(7919, 6)), r"\b[A-Za-z]{3}[0-9]{6}\b"),
+    "mask_health_id": ("HEALTH_CODE", tuple(f"'id ' || {a} || '/' || {b}" for a, b in zip(number(7919, 8), number(3, 3))), r"\b[0-9]{8}/[0-9]{3}\b"),
+    "mask_order_number": ("ORDER_NUMBER", tuple(f"'see ORDER-' || {n} || '.'" for n in number(7919, 7)), r"(?i)\b(ORD|ORDER)[-_]?[0-9]{3,10}\b"),
+    "mask_invoice_number": ("INVOICE_NUMBER", tuple(f"'FV/2024/' || {n} || ' paid'" for n in number(7919, 5)), r"(?i)\b(FV|INV|INVOICE)[/-][0-9]{4}[/-][0-9]{3,6}\b"),
+    "mask_social_id": ("SOCIAL_ID", tuple(f"'user fbid' || {n}" for n in number(7919, 9)), r"(?i)\bfbid[0-9]{8,}\b"),
+}
+
+
+def _mask(tag: str, text: str) -> Query:
+    return lambda spark, sf_dir: orders(spark, sf_dir).select("o_orderkey", mask.apply_rule(F.expr(text), _RULE[tag]).alias("masked"))
+
+
+def _detect(rule, text: str) -> Query:
+    return lambda spark, sf_dir: orders(spark, sf_dir).select("o_orderkey", F.array_join(mask.detect(F.expr(text), rule), "|").alias("found"))
+
+
+# A number between marks, letters or other digits: what may adjoin it differs from rule to rule.
+_AROUND = tuple(f"case o_orderkey % 3 when 0 then 'no ' || {n} || ' x' when 1 then 'no 7' || {n} || ' x' else 'no ' || {n} end" for n in NIP)
+_DATES = tuple(f"'on ' || {a} || '-' || {b} || '-' || {c} || ' ok'" for a, b, c in zip(number(1, 4), number(3, 2), number(7, 2)))
+_CLOCK = tuple(f"'at ' || {a} || ':' || {b} || ' ok'" for a, b in zip(number(3, 2), number(7, 2)))
+_POST = tuple(f"'box ' || {a} || '-' || {b} || case when o_orderkey % 2 = 0 then ' a/b' else '' end" for a, b in zip(number(3, 2), number(7, 3)))
+DETECTS = {
+    "detect_krs": (_RULE["KRS"], _AROUND, "array_to_string(list_filter(regexp_extract_all(s, '[0-9]+'), lambda x: len(x) = 10), '|')"),
+    "detect_date_number": (
+        next(r for r in RULES if r.pattern.startswith("(?U)(?<!\\d)(?:\\d{4}")),
+        _DATES,
+        "coalesce(array_to_string(regexp_extract_all(s, '[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])'), '|'), '')",
+    ),
+    "detect_time": (_RULE["TIME"], _CLOCK, "coalesce(array_to_string(regexp_extract_all(s, '([01][0-9]|2[0-3]):[0-5][0-9]'), '|'), '')"),
+    "detect_postal_code": (_RULE["POSTAL_CODE"], _POST, "case when s like '%/%' then '' else array_to_string(regexp_extract_all(s, '[0-9]{2}-[0-9]{3}'), '|') end"),
+}
+
+WORDS_SQL = "len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+'))"
+# Terms, weights and targets of a small routing.
+ROUTING = route.Routing(
+    [
+        route.Intent("code", ["code", "py", "class"], ["write code:5", "debug"], ["git\\s+(commit|push)"], {"code": 3}, "medium"),
+        route.Intent("math", ["math", "sum"], ["matrix:2"], ["\\b\\d+\\s*[+*/-]\\s*\\d+\\b"], {"sum": 2}, "medium"),
+        route.Intent("creative", ["story", "la"], [], [], {"story": 2}, "simple"),
+        route.Intent("general", ["how", "co", "ne"], ["what is:4"], [], {}, "simple"),
+    ],
+    ["small", "middle", "large"],
+    {"simple": "small", "medium": "middle"},
+)
+
+
+def _points(intent: route.Intent, text: str) -> str:
+    terms = [(k, float(intent.weights.get(k, 1))) for k in intent.keywords] + [route._weight(p) for p in intent.phrases]
+    parts = [f"case when contains({text}, '{k}') then {w} else 0.0 end" for k, w in terms] + [f"case when regexp_matches({text}, '{p}') then 3.0 else 0.0 end" for p in intent.patterns]
+    return "cast(" + " + ".join(parts) + " as double)"
+
+
+_SCORES_SQL = "select conv_id, turn, text, " + ", ".join(f"{_points(i, 'lower(text)')} as {i.name}_score" for i in ROUTING.intents) + " from conversations"
+_CLASS_SQL = f"select conv_id, turn, text, case when greatest(code_score, math_score, creative_score, general_score) <= 0 then 'none' when code_score = greatest(code_score, math_score, creative_score, general_score) then 'code' when math_score = greatest(math_score, creative_score, general_score) then 'math' when creative_score = greatest(creative_score, general_score) then 'creative' else 'general' end as intent from ({_SCORES_SQL})"
+_LEVEL_SQL = f"case when floor({WORDS_SQL} * 1.25) <= 25 then 'simple' when floor({WORDS_SQL} * 1.25) <= 150 then 'medium' else 'complex' end"
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations(spark, sf_dir)
+
+
+def intent_scores(spark, sf_dir):
+    s = _turns(spark, sf_dir).select("conv_id", "turn", route.scores(F.col("text"), ROUTING).alias("s"))
+    return s.select("conv_id", "turn", *[F.col("s")[k]["score"].alias(f"{i.name}_score") for k, i in enumerate(ROUTING.intents)])
+
+
+def select_model(spark, sf_dir):
+    return _turns(spark, sf_dir).select("conv_id", "turn", route.select_model(route.classify(F.col("text"), ROUTING), route.complexity(F.col("text"), ROUTING), ROUTING).alias("model"))
+
+
+def last_statement(spark, sf_dir):
+    """The last message of every conversation, as the text to route by."""
+    last = _turns(spark, sf_dir).groupBy("conv_id").agg(F.max_by("text", "turn").alias("last"))
+    none = F.lit(None).cast("string")
+    messages = F.lit(None).cast("array<struct<role:string,content:string>>")
+    return last.select("conv_id", t.user_text(messages, F.col("last"), none, none, none).alias("text"))
+
+
+def findings_by_tag_lang(spark, sf_dir):
+    """Findings of e-mail addresses and IPv4 addresses by tag and language."""
+    found = mask.findings(documents(spark, sf_dir), "text", ["lang"], [_RULE["EMAIL"], _RULE["IP"]])
+    return found.groupBy("tag", "lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+def mask_full(spark, sf_dir):
+    """All 33 rules over every document: masked text and number of findings."""
+    return mask.mask_text(documents(spark, sf_dir).select("doc_id", "text"), "text").select("doc_id", "masked", F.size("findings").alias("n_findings"))
+
+
+def mapping_dim(spark, sf_dir):
+    found = mask.findings(documents(spark, sf_dir), "text", ["doc_id"], [_RULE["EMAIL"], _RULE["IP"]])
+    return mapping.mapping_table(found)
+
+
+def pseudonym_round_trip(spark, sf_dir):
+    """E-mail addresses replaced by pseudonyms and put back by a join: equal to the text without the braces' trace."""
+    docs = documents(spark, sf_dir).select("doc_id", "text").where("doc_id is not null").dropDuplicates(["doc_id"])
+    names = mask.pseudonym("salt")
+    hidden = mask.mask_text(docs, "text", [_RULE["EMAIL"]], names)
+    table = hidden.select(F.explode("findings").alias("f")).select(F.expr("substring(f.replacement, 2, length(f.replacement) - 2)").alias("pseudonym"), "f.original").distinct()
+    back = mapping.restore(hidden.select("doc_id", "text", "masked"), "masked", "doc_id", table, keep_braces=False)
+    return back.select("doc_id", F.coalesce(F.col("restored") == F.col("text"), F.col("text").isNull()).alias("restored_equal"))
+
+
+def chunk_windows(spark, sf_dir):
+    docs = documents(spark, sf_dir).where("text is not null")
+    return retrieval.chunks(docs, "doc_id", "text").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.max("chunk_no").alias("last_chunk"))
+
+
+def chunk_ids(spark, sf_dir):
+    """First and last chunk number of every document in one numbering over all."""
+    docs = documents(spark, sf_dir).where("doc_id is not null").dropDuplicates(["doc_id"])
+    return retrieval.number_chunks(retrieval.chunks(docs, "doc_id", "text"), "doc_id").groupBy("doc_id").agg(F.min("chunk_id").alias("first_id"), F.max("chunk_id").alias("last_id"))
+
+
+def topk_inner_product(spark, sf_dir):
+    """The ten nearest rows of every hundredth vector (ids divisible by 100), among all."""
+    base = embeddings(spark, sf_dir)
+    queries = base.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return retrieval.nearest(base, queries).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
+
+
+def guard_rollup(spark, sf_dir):
+    """Documents by the guard that blocks them: toxic ones first, then those of low quality."""
+    rows = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    judged = guard.guard(rows, [("toxic", F.col("toxic") == 0), ("quality", F.col("quality") == 1)])
+    return judged.groupBy(F.coalesce("blocked_by", F.lit("none")).alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def mask_payload_turns(spark, sf_dir):
+    """Turns as nested chat payloads, with e-mail addresses and orders' numbers masked in every string of them."""
+    chats = _turns(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.concat("text", F.lit(" ask a.b@c.org, ORDER-1234")).alias("content")))).alias("messages"))
+    return mask.mask_payload(chats, "messages", [_RULE["EMAIL"], _RULE["ORDER_NUMBER"]]).select("conv_id", F.to_json("messages").alias("payload"))
+
+
+def inject_context(spark, sf_dir):
+    """Every order's priority as a prompt, with two made-up chunks as context."""
+    parts = F.array(F.concat(F.lit(" order "), F.col("o_orderkey").cast("string")), F.lit("second"))
+    return orders(spark, sf_dir).select("o_orderkey", retrieval.with_context(F.col("o_orderpriority"), parts).alias("prompt"))
+
+
+QUERIES: dict[str, Query] = {
+    "findings_by_tag_lang": findings_by_tag_lang,
+    **{k: _check(text[0], rule) for k, (text, rule, _) in CHECKS.items()},
+    **{k: _mask(tag, text[0]) for k, (tag, text, _) in MASKS.items()},
+    **{k: _detect(rule, text[0]) for k, (rule, text, _) in DETECTS.items()},
+    "mask_email": lambda spark, sf_dir: documents(spark, sf_dir).select("doc_id", mask.apply_rule(F.col("text"), _RULE["EMAIL"]).alias("masked")),
+    "detect_ipv4": lambda spark, sf_dir: documents(spark, sf_dir).select("doc_id", F.array_join(mask.detect(F.col("text"), _RULE["IP"]), "|").alias("found")),
+    "detect_card": lambda spark, sf_dir: documents(spark, sf_dir).select("doc_id", F.size(mask.detect(F.col("text"), _RULE["CREDIT_CARD"])).alias("n_cards")),
+    "mask_full_placeholder": mask_full,
+    "mask_payload_turns": mask_payload_turns,
+    "mapping_dim": mapping_dim,
+    "pseudonym_round_trip": pseudonym_round_trip,
+    "estimate_tokens": lambda spark, sf_dir: _turns(spark, sf_dir).select("conv_id", "turn", t.estimate_tokens(F.col("text")).alias("tokens")),
+    "complexity_level": lambda spark, sf_dir: _turns(spark, sf_dir).select("conv_id", "turn", route.complexity(F.col("text"), ROUTING).alias("level")),
+    "intent_scores": intent_scores,
+    "classify_intent": lambda spark, sf_dir: _turns(spark, sf_dir).select("conv_id", "turn", route.classify(F.col("text"), ROUTING).alias("intent")),
+    "select_model": select_model,
+    "extract_user_text": last_statement,
+    "clean_text": lambda spark, sf_dir: documents(spark, sf_dir).select("doc_id", t.clean_text(F.col("text")).alias("clean")),
+    "chunk_windows": chunk_windows,
+    "chunk_ids": chunk_ids,
+    "topk_inner_product": topk_inner_product,
+    "inject_context": inject_context,
+    "guard_rollup_labels": guard_rollup,
+}
+
+_PLACE = "case level when 'simple' then 0 when 'medium' then 1 else 2 end"
+_HEAD_SQL = "'\n\n' || '" + retrieval.CONTEXT_HEAD + "\n    \n'"
+_IP_SQL = r"regexp_extract_all(text, '\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b')"
+SQL: dict[str, str] = {
+    **{k: _check_sql(text[1], rule) for k, (text, _, rule) in CHECKS.items()},
+    **{k: f"select o_orderkey, regexp_replace({text[1]}, '{p}', '{{{{{tag}}}}}', 'g') as masked from orders" for k, (tag, text, p) in MASKS.items()},
+    **{k: f"select o_orderkey, {rule} as found from (select o_orderkey, {text[1]} as s from orders)" for k, (_, text, rule) in DETECTS.items()},
+    "mask_email": r"select doc_id, regexp_replace(text, '_?[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}_?', '{{EMAIL}}', 'g') as masked from documents",
+    "estimate_tokens": f"select conv_id, turn, cast(floor({WORDS_SQL} * 1.25) as int) as tokens from conversations",
+    "complexity_level": f"select conv_id, turn, {_LEVEL_SQL} as level from conversations",
+    "intent_scores": f"select * exclude (text) from ({_SCORES_SQL})",
+    "classify_intent": f"select conv_id, turn, intent from ({_CLASS_SQL})",
+    "select_model": f"select conv_id, turn, (['small', 'middle', 'large'])[1 + case intent when 'none' then greatest(0, {_PLACE} - 1) when 'code' then greatest({_PLACE}, 1) when 'math' then greatest({_PLACE}, 1) else {_PLACE} end] as model from (select *, {_LEVEL_SQL} as level from ({_CLASS_SQL}))",
+    "extract_user_text": "select conv_id, coalesce(nullif(max_by(text, turn), ''), '') as text from conversations group by conv_id",
+    "clean_text": r"select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as clean from documents",
+    "chunk_windows": f"select doc_id, cast(sum((n + 299) // 300) as bigint) as n_chunks, cast(max((n + 299) // 300) - 1 as int) as last_chunk from (select doc_id, {WORDS_SQL} as n from documents where text is not null) where n > 0 group by doc_id",
+    "chunk_ids": f"select doc_id, cast(e - n as bigint) as first_id, cast(e - 1 as bigint) as last_id from (select doc_id, n, sum(n) over (order by doc_id) as e from (select doc_id, ({WORDS_SQL} + 299) // 300 as n from documents where doc_id is not null) where n > 0)",
+    "topk_inner_product": "select query_id, vec_id, rank from (select q.vec_id as query_id, b.vec_id as vec_id, row_number() over (partition by q.vec_id order by round(list_inner_product(cast(q.embedding as double[]), cast(b.embedding as double[])), 12) desc, b.vec_id) as rank from embeddings q, embeddings b where q.vec_id % 100 = 0) where rank <= 10",
+    "inject_context": f"select o_orderkey, o_orderpriority || {_HEAD_SQL} || 'order ' || cast(o_orderkey as varchar) || '\n\n\n\nsecond' as prompt from orders",
+    "guard_rollup_labels": "select case when toxic is null or toxic <> 0 then 'toxic' when quality is null or quality <> 1 then 'quality' else 'none' end as verdict, count(*) as n from labels group by 1",
+    "pseudonym_round_trip": "select distinct doc_id, true as restored_equal from documents where doc_id is not null",
+}
