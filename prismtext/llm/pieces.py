@@ -5,19 +5,25 @@ line breaks. For each distinct word so found
 
 * its substrings of bounded length are exploded,
 * joined to the piece table (a fixed vocabulary, so it may be broadcast),
-* grouped by word and end, and
-* folded by ``aggregate``: for each end the best score of any way to reach it,
-  kept for as many ends as the longest piece is wide.
+* folded as the model's kind wants it:
+
+  - BPE: a word's edges, which the explosion leaves together, are merged from
+    single characters up. Of all neighbours whose union is an edge, those of
+    the best score merge first, the leftmost of equals. A sum of scores would
+    be wrong here, as they are negative merge ranks;
+  - unigram: grouped by word and end and folded by ``aggregate``: for each end
+    the best sum of scores of any way to reach it, kept for as many ends as the
+    longest piece is wide. Ties go to the longer last piece, then the smaller
+    id. An unknown character costs ten more than the worst piece.
 
 A word is segmented once for the whole table. The way back to the documents
 moves no texts: the first pass packs the rows of each task into compressed
 chunks with the list of their distinct words, bucketed by chunk; the codes of a
 chunk's words come to where the chunk lies.
 
-The best segmentation has the highest sum of scores; ties go to the longer
-last piece, then the smaller id. A character that no piece holds costs ten
-more than the worst piece and becomes its UTF-8 bytes' pieces. Scores and
-pieces are read from a model file whose path is a parameter.
+A character that no piece holds becomes its UTF-8 bytes' pieces. Scores and
+pieces are read from a model file whose path is a parameter. A model of another
+kind, or a BPE model with unused or user-defined pieces, is refused.
 
 Defined results: null and empty texts have no ids and decode to the empty
 text; words of any length are segmented whole; repeated rows are encoded alike.
@@ -31,6 +37,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -60,8 +67,17 @@ class Pieces:
 
     def __init__(self, path: str):
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
 
+        self.path = path
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        proto = sentencepiece_model_pb2.ModelProto.FromString(model.serialized_model_proto())
+        kind, types = proto.trainer_spec.model_type, {p.type for p in proto.pieces}
+        if kind not in (proto.trainer_spec.BPE, proto.trainer_spec.UNIGRAM):
+            raise ValueError("neither a BPE nor a unigram model")
+        self.merges = kind == proto.trainer_spec.BPE
+        if self.merges and types & {proto.SentencePiece.UNUSED, proto.SentencePiece.USER_DEFINED}:
+            raise ValueError("a BPE model with unused or user-defined pieces")
         ids = range(model.get_piece_size())
         self.text = [model.id_to_piece(i) for i in ids]
         self.byte = {int(self.text[i][3:5], 16): i for i in ids if model.is_byte(i)}
@@ -72,6 +88,27 @@ class Pieces:
             raise ValueError("a piece crosses the places at which texts are cut")
         self.longest = max(map(len, self.plain))
         self.unknown = min(s for _, s in self.plain.values()) - 10.0
+        self.cost = dict((i, -s) for i, s in self.plain.values())
+
+    def merged(self, ends: list[list[tuple[int, int]]]) -> list[int]:
+        """BPE codes of a word: at each character its edges (end, code), that of the character alone first."""
+        cost, n = self.cost, len(ends)
+        edges = [dict(x) for x in ends]
+        after = [*range(1, n + 1), 0]  # end of the symbol at a place; 0 where no symbol starts
+        before = list(range(-1, n))  # start of the symbol that ends at a place
+        code = [x[0][1] for x in ends]
+        todo = [(cost[edges[i][i + 2]], i, i + 1, i + 2) for i in range(n - 1) if i + 2 in edges[i]]
+        heapify(todo)
+        while todo:
+            _, s, m, e = heappop(todo)
+            if after[s] != m or after[m] != e:
+                continue
+            code[s], after[s], after[m], before[e] = edges[s][e], e, 0, s
+            if s and e in edges[before[s]]:
+                heappush(todo, (cost[edges[before[s]][e]], before[s], s, e))
+            if e < n and after[e] in edges[s]:
+                heappush(todo, (cost[edges[s][after[e]]], s, e, after[e]))
+        return [code[i] for i in range(n) if after[i]]
 
     def ids_of(self, code: bytes) -> list[int]:
         """Ids from a word's packed code, three bytes for each piece or unknown character."""
@@ -168,6 +205,9 @@ def segment(words: DataFrame, pieces: Pieces) -> DataFrame:
     edges = cut.join(F.broadcast(piece_frame(words.sparkSession, pieces)), "piece", "left")
     edges = edges.where(F.col("id").isNotNull() | (F.col("e") - F.col("s") == 1))
     code = F.coalesce(F.col("id"), F.ascii("piece") + F.lit(UNKNOWN))
+    if pieces.merges:
+        head = F.when((F.col("s") == 0) & (F.col("e") == 1), F.col("word")).alias("word")
+        return _merge(edges.select(head, "uses", "s", "e", code.alias("id")), pieces)
     edge = F.struct("s", code.alias("id"), F.coalesce("score", F.lit(worst)).alias("score"))
     by_end = edges.groupBy("word", "e").agg(F.collect_list(edge).alias("edges"), F.first("uses", True).alias("uses"))
     by_word = by_end.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("e", "edges"))).alias("ends"), F.first("uses", True).alias("uses"))
@@ -186,6 +226,46 @@ def segment(words: DataFrame, pieces: Pieces) -> DataFrame:
     return by_word.select("word", "uses", packed.alias("code"))
 
 
+def _merge(edges: DataFrame, pieces: Pieces) -> DataFrame:
+    """The BPE fold of ``segment``. Edges come in the order of the explosion; word and uses stand on the first of each word."""
+    path = pieces.path
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, held = table(path), None
+
+        def close(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(parts).combine_chunks()
+            s, e, code = (rows.column(c).to_numpy() for c in ("s", "e", "id"))
+            first = np.flatnonzero((s == 0) & (e == 1))
+            edges, starts, out = list(zip(e.tolist(), code.tolist())), np.flatnonzero(e - s == 1), []
+            places = np.searchsorted(starts, [*first, len(s)]).tolist()
+            starts = [*starts.tolist(), len(s)]
+            for a, b in zip(places, places[1:]):
+                codes = pieces.merged([edges[starts[i] : starts[i + 1]] for i in range(a, b)])
+                out.append(b"".join(x.to_bytes(3, "big") for x in codes))
+            kept = rows.select(["word", "uses"]).take(pa.array(first))
+            return kept.append_column("code", pa.array(out, pa.binary())).combine_chunks().to_batches()[0]
+
+        for batch in batches:
+            # The last word of a batch may go on in the next one.
+            if not len(batch):
+                continue
+            first = np.flatnonzero((batch.column(2).to_numpy() == 0) & (batch.column(3).to_numpy() == 1))
+            if held and len(first):
+                yield close([*held, batch.slice(0, first[0])])
+                held = None
+            if not held:
+                if len(first) > 1:
+                    yield close([batch.slice(first[0], first[-1] - first[0])])
+                held = [batch.slice(first[-1])]
+            else:
+                held.append(batch)
+        if held:
+            yield close(held)
+
+    return edges.mapInArrow(run, f"word string, uses {edges.schema['uses'].dataType.simpleString()}, code binary")
+
+
 def encode(docs: DataFrame, text: str = "text", path: str | None = None, function=None, schema: str = "ids array<int>") -> DataFrame:
     """``docs`` with the column ids added, or what ``function(pieces, texts, id lists)`` makes of them by ``schema``."""
     path = path or default_path()

@@ -141,6 +141,22 @@ def test_pieces_decode_to_the_text(docs):
     assert set(got) == {r[0] for r in fixture_rows()} and all(r["n_ids"] >= 0 for r in got.values())
 
 
+def test_pieces_equal_sentencepiece(spark, docs):
+    import public_tokenizers
+    import sentencepiece
+
+    from prismtext.llm.pieces import encode
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    hard = ["The government announced", "hello world", "  two   marks\n\n end ", "aaaaaaa aaa", "tab\there \u2581 mark", "日本語 ﬁ \U0001f642\u0301", "Übergrößenträger " * 3, "x" * 40000]
+    more = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(hard)], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").unionByName(more).unionByName(spark.read.parquet(f"{DIR}/documents.parquet").selectExpr("doc_id + 10000 AS doc_id", "text"))
+    got = encode(rows).collect()
+    assert len(got) == rows.count()
+    for r in got:
+        assert r["ids"] == model.encode(r["text"] or ""), r["doc_id"]
+
+
 def test_mix_meets_targets(docs):
     rows = op10_mix(docs).collect()
     assert all(0 <= r["taken"] <= 2 * r["size"] for r in rows) and len(rows) == len(fixture_rows())
