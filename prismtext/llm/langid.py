@@ -11,6 +11,12 @@ vectors are computed on the executors; the driver fits weight vectors of
 ``DIMS`` numbers from at most languages x ``per_language`` x 4 KB. Prediction
 covers every row with a weight table of fixed size.
 
+The score compares languages and says nothing of a text unlike all of them.
+``evidence`` does: the margin of the winning family's machine, or, of a single
+family, the cosine with the mean vector. ``fit(..., calibrate=True)`` fits once
+more on every other sampled row and sets ``least`` to the ``MISSED`` quantile of
+the evidence of the rest.
+
 Defined results: ``und`` with score 0 for a null text or one without a
 letter, and for every text if there is no labelled row; a language that no
 family lists is a family of its own; labels that are null are not learned.
@@ -37,6 +43,8 @@ FAMILIES = {
 }
 DIMS = 4096
 ORDERS = (2, 3, 4)
+#: Share of held-out labelled texts whose evidence may lie below ``least``.
+MISSED = 0.002
 
 
 def _letters(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,8 +127,15 @@ class Discriminator:
         for a, b in self.pairs:
             rows = (y == a) | (y == b)
             machines.append(_svm(x[rows], np.where(y[rows] == a, 1.0, -1.0).astype(np.float32)))
-        self.weights = np.stack([w for w, _ in machines], axis=1).astype(np.float32) if machines else np.zeros((DIMS, 0), np.float32)
+        mean = x.mean(axis=0)
+        machines.append((mean / max(float(np.linalg.norm(mean)), 1e-9), 0.0))  # the last column: closeness to the mean text
+        self.weights = np.stack([w for w, _ in machines], axis=1).astype(np.float32)
         self.bias = np.array([b for _, b in machines], np.float32)
+        self.least = -np.inf
+
+    def evidence(self, margin: np.ndarray) -> np.ndarray:
+        """How far each text is like any learned language, from its margins."""
+        return margin[:, : len(self.families)].max(axis=1) if len(self.families) > 1 else margin[:, -1]
 
     def margins(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         raw, offsets, has = _letters(column)
@@ -133,7 +148,7 @@ class Discriminator:
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
         return x @ self.weights + self.bias, has
 
-    def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
+    def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         margin, has = self.margins(column)
         n = len(column)
         nf = len(self.families) if len(self.families) > 1 else 0
@@ -158,10 +173,10 @@ class Discriminator:
             m = margin[:, nf + k]
             close = np.where(best == place[a], np.minimum(close, 2 * m), np.where(best == place[b], np.minimum(close, -2 * m), close))
         score = 1 / (1 + np.exp(-2 * np.minimum(sure, close)))
-        return [self.languages[b] if h else "und" for b, h in zip(best, has)], np.where(has, score, 0.0)
+        return [self.languages[b] if h else "und" for b, h in zip(best, has)], np.where(has, score, 0.0), self.evidence(margin)
 
 
-def fit(labelled: DataFrame, per_language: int = 1000, families: dict[str, list[str]] | None = None) -> Discriminator | None:
+def fit(labelled: DataFrame, per_language: int = 1000, families: dict[str, list[str]] | None = None, calibrate: bool = False) -> Discriminator | None:
     """Fit on (text, lang) rows: about ``per_language`` of each language, chosen by a hash of the text."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -183,14 +198,26 @@ def fit(labelled: DataFrame, per_language: int = 1000, families: dict[str, list[
     if not got:
         return None
     x = np.stack([np.frombuffer(bytes(r["x"]), np.float16) for r in got]).astype(np.float32)
-    return Discriminator(x, [r["lang"] for r in got], families or FAMILIES)
-
-
-def predict(docs: DataFrame, model: Discriminator | None, keep: list[str] | None = None, text: str = "text") -> DataFrame:
-    """The columns ``keep`` (default: all) with lang_pred and score added, for every row and whole texts."""
-    keep = [c for c in keep or docs.columns if c not in ("lang_pred", "score")]
+    labels = [r["lang"] for r in got]
+    least = -np.inf
+    if calibrate:
+        # Equal vectors stand together; one of each, so that no copy of a learned row is held out.
+        single = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]).any(axis=1)])
+        half, rest = single[::2], single[1::2]
+        if len(rest):
+            trial = Discriminator(x[half], [labels[i] for i in half], families or FAMILIES)
+            least = float(np.quantile(trial.evidence(x[rest] @ trial.weights + trial.bias), MISSED))
+    model = Discriminator(x, labels, families or FAMILIES)
+    model.least = least
+    return model
+
+
+def predict(docs: DataFrame, model: Discriminator | None, keep: list[str] | None = None, text: str = "text", evidence: str | None = None) -> DataFrame:
+    """The columns ``keep`` (default: all) with lang_pred and score added, for every row and whole texts; evidence under the name given, if any."""
+    added = ["lang_pred", "score", *([evidence] if evidence else [])]
+    keep = [c for c in keep or docs.columns if c not in added]
     if model is None:
-        return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*keep, F.lit("und").alias("lang_pred"), *[F.lit(0.0).alias(c) for c in added[1:]])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*dict.fromkeys([*keep, text]))
     fields = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in keep)
@@ -201,11 +228,11 @@ def predict(docs: DataFrame, model: Discriminator | None, keep: list[str] | None
             for i in range(0, len(batch), 512):
                 part = batch.slice(i, 512)
                 at = {c: k for k, c in enumerate(part.schema.names)}
-                langs, score = model.predict(part.column(at[text]))
-                columns = [*(part.column(at[c]) for c in keep), pa.array(langs, pa.string()), pa.array(score, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score"])
+                langs, *numbers = model.predict(part.column(at[text]))
+                columns = [*(part.column(at[c]) for c in keep), pa.array(langs, pa.string()), *(pa.array(x, pa.float64()) for x in numbers)]
+                yield pa.RecordBatch.from_arrays(columns[: len(keep) + len(added)], names=[*keep, *added])
 
-    return rows.mapInArrow(run, f"{fields}lang_pred string, score double")
+    return rows.mapInArrow(run, f"{fields}lang_pred string, " + ", ".join(f"`{c}` double" for c in added[1:]))
 
 
 def op9_language(docs: DataFrame) -> DataFrame:
