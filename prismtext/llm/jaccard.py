@@ -236,12 +236,17 @@ def _verify(pairs: DataFrame, docs: DataFrame, members: DataFrame, text: str) ->
 
     ``bits`` has a bit for each shingle of a, in order: whether b has it too.
     """
-    reps = members.groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("r")).select("set_id", "r.doc_id", "r.text_hash")
+    # A row without an id stands for a set only where no row has one.
+    least = F.min(F.struct(F.isnull("doc_id"), "doc_id", "text_hash")).alias("r")
+    reps = members.groupBy("set_id").agg(least).select("set_id", "r.doc_id", "r.text_hash")
     ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("set_id"), "a", "b"), F.struct(F.col("b").alias("set_id"), "a", "b"))).alias("e")).select("e.*")
     wanted = materialize(ends.join(reps, "set_id"), "wanted")
     small = wanted.count() <= FEW
-    side = F.broadcast(wanted) if small else wanted
-    texts = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.col(text).alias("_text")).join(side, ["doc_id", "text_hash"])
+    rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.col(text).alias("_text"))
+    named, unnamed = rows.where(F.col("doc_id").isNotNull()), rows.where(F.col("doc_id").isNull()).dropDuplicates(["text_hash"])
+    of = wanted.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "set_id", "a", "b")
+    of = F.broadcast(of) if small else of
+    texts = named.unionByName(unnamed).join(of, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
     # A row may be repeated; one text of each set is enough. Two rows make a pair.
     both = texts.groupBy("a", "b").agg(F.max(F.when(F.col("set_id") == F.col("a"), F.col("_text"))).alias("x"), F.max(F.when(F.col("set_id") == F.col("b"), F.col("_text"))).alias("y"))
 
@@ -374,7 +379,10 @@ def _remaining_pairs(lists: DataFrame, classes: DataFrame, tried: DataFrame) ->
 
 
 def jaccard_classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, set_id, n, class_id) of every document and the verified links (a, b, na, nb, common) between sets."""
+    """(doc_id, text_hash, set_id, n, component, class_id) of every document and the verified links (a, b, na, nb, common) between sets.
+
+    ``class_id`` is null where no row of the class has an id; ``component`` tells such classes apart.
+    """
     spark = docs.sparkSession
     first = materialize(_digest(docs, text), "digest")
     members = first.where("kind = 0").select("doc_id", "text_hash", "set_id", "n")
@@ -391,10 +399,10 @@ def jaccard_classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Dat
     links = near.union(later.where(linked)).drop("bits")
     if later.where(linked).limit(1).count():
         classes = materialize(components(links.select("a", "b")), "classes")
-    named = members.join(classes.select(F.col("node").alias("set_id"), "component"), "set_id", "left").select("doc_id", "set_id", "n", F.coalesce("component", "set_id").alias("component"))
+    named = members.join(classes.select(F.col("node").alias("set_id"), "component"), "set_id", "left").select("doc_id", "text_hash", "set_id", "n", F.coalesce("component", "set_id").alias("component"))
     named = materialize(named, "named")
     lowest = named.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    out = named.join(lowest, "component", "left").select("doc_id", "set_id", "n", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+    out = named.join(lowest, "component", "left").select("doc_id", "text_hash", "set_id", "n", "component", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
     return out, links
 
 

@@ -78,6 +78,26 @@ def test_jaccard_classes_equal_brute_force(docs):
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in by_id(got).items()} == {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+def test_jaccard_with_null_ids_equals_brute_force(spark):
+    rnd = random.Random(3)
+    rows = []
+    for g in range(6):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(60)]
+        for k in range(5):
+            edited = list(base)
+            edited[7 * k] = f"changed{k}"
+            rows += [(10 * g + k, " ".join(edited), g), (None, " ".join(edited), g)]  # each text has a copy without an id
+    rows += [(None, "alone " + " ".join(f"v{i}" for i in range(60)) + f" {k}", 9) for k in (1, 1, 2)]  # a class without ids
+    table = spark.createDataFrame(rows, "doc_id long, text string, g int")
+    got = op7_jaccard(table.select("doc_id", "text")).collect()
+    assert len(got) == len(rows)
+    assert {(r["doc_id"], r["component_id"]) for r in got if r["doc_id"] is not None} == {(i, 10 * g) for i, _, g in rows if i is not None}
+    import corpus_pipeline
+
+    kept = corpus_pipeline.near_duplicates(spark, table.unionByName(spark.createDataFrame([(None, " ", 7), (None, None, 7)], table.schema)), "").collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["g"]) for r in kept) == [(-1, 7), (-1, 7), (-1, 9), *[(10 * g, g) for g in range(6)]]
+
+
 def test_suffix_dedup_equals_brute_force(docs):
     rows = fixture_rows()
     raw = [(r[1] or "").encode() for r in rows]
