@@ -24,15 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     ``spark.checkpoint.dir`` names it on a cluster. Only where the session
-    leaves it unset (local runs, tests) a folder below the warehouse is used.
+    leaves it unset in a local run (tests) a folder below the warehouse is used.
     """
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     return where.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage: a lost executor never forces the work before this
@@ -40,7 +42,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/prismtext-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

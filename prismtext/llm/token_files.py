@@ -16,7 +16,8 @@ Layout of ``payload`` (little-endian): 8-byte magic ``HUFFIDS1``; uint64 first
 block; code bits, most significant first, in 32-bit words.
 
 Defined results: a null text counts as empty and has the end id alone; null
-ids come first; repeated ids are ordered by text; an empty table writes no
+ids come first; repeated ids are ordered by their token ids; columns other than
+doc_id and text are not read; an empty table writes no
 file and reads as no rows.
 """
 
@@ -26,7 +27,6 @@ import json
 import re
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, shared_dir, tasks
+from .common import materialize, pieces, shared_dir, tasks
 
 MAGIC = b"HUFFIDS1"
 LIMIT, BLOCK = 18, 256
@@ -229,69 +229,52 @@ def _ranged(docs: DataFrame) -> DataFrame:
     return rows.withColumn("part", part)
 
 
-def id_counts(rows: DataFrame, path: str, end: int) -> np.ndarray:
-    """How often each id occurs in all texts: words are counted first, and each is encoded once."""
+def _encoded(rows: DataFrame, path: str, end: int) -> DataFrame:
+    """One pass over the texts: (part, doc_id, ids) of each row, and behind them the task's (id, n) counts with part null.
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen, ids = encoder(path), Counter(), Counter()
-
-        def close() -> pa.RecordBatch:
-            keys = [*seen, *[None] * len(ids)]
-            out = [pa.array(keys, pa.string()), pa.array([None] * len(seen) + list(ids), pa.int64()), pa.array([*seen.values(), *ids.values()], pa.int64())]
-            seen.clear()
-            ids.clear()
-            return pa.RecordBatch.from_arrays(out, names=["word", "id", "n"])
+    Ids are kept in the fewest whole bytes that hold the vocabulary, so what is
+    sorted and written on the way is smaller than the texts.
+    """
+    kind = rows.schema["doc_id"].dataType
+    wide = _width(path, end)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, total, own, names = encoder(path), np.zeros(1, np.int64), None, ["part", "doc_id", "ids", "id", "n"]
         for batch in pieces(batches, "text", 1 << 20):
-            texts = batch.column(0).to_pylist()
-            plain, cut = encode.split(texts)
-            for ws in cut:
-                seen.update(ws)
-            ids[end] += len(texts)
-            other = set(range(len(texts))).difference(plain)
-            for i in other:
-                ids.update(encode([texts[i]])[0].tolist())
-            if len(seen) > 1_000_000:
-                yield close()
-        yield close()
-
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, total = encoder(path), np.zeros(1, np.int64)
-        for batch in batches:
-            word, n = batch.column(0).to_pylist(), batch.column(2).to_numpy()
-            own = [i for i, w in enumerate(word) if w is not None]
-            known = np.array([i for i, w in enumerate(word) if w is None], np.int64)
-            ids, weights = batch.column(1).to_numpy(zero_copy_only=False)[known].astype(np.int64), n[known]
-            if own:
-                more, at = encode.encode_words([word[i] for i in own])
-                ids = np.concatenate([ids, more]).astype(np.int64)
-                weights = np.concatenate([weights, np.repeat(n[own], np.diff(at, prepend=0))])
-            size = max(len(total), int(ids.max()) + 1 if len(ids) else 0)
-            total = np.pad(total, (0, size - len(total)))
-            np.add.at(total, ids, weights)
+            own = batch.column(0).type
+            lists = [np.append(x, np.uint32(end)) for x in encode(batch.column(1).to_pylist())]
+            n = np.bincount(np.concatenate(lists))
+            if len(n) > len(total):
+                total, n = n, total
+            total[: len(n)] += n
+            k = len(batch)
+            yield pa.RecordBatch.from_arrays([batch.column(2).cast(pa.int32()), batch.column(0), pa.array([x.astype(wide).tobytes() for x in lists], pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64())], names=names)
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["id", "n"])
+        if len(some):
+            k = len(some)
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.nulls(k, own), pa.nulls(k, pa.binary()), pa.array(some, pa.int32()), pa.array(total[some])], names=names)
 
-    counted = rows.select("text").mapInArrow(words, "word string, id long, n long").groupBy("word", "id").agg(F.sum("n").alias("n"))
-    # At most one row for each id of the vocabulary comes back.
-    totals = counted.mapInArrow(encoded, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(1 + max([r["id"] for r in totals], default=end), np.int64)
-    for r in totals:
-        counts[r["id"]] = r["n"]
-    return counts
+    return rows.select("doc_id", "text", "part").mapInArrow(run, f"part int, doc_id {kind.simpleString()}, ids binary, id int, n long")
+
+
+def _width(path: str, end: int) -> str:
+    return "<u2" if max(encoder(path).whole.get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
 
 
 def write_ids(docs: DataFrame, folder: str, path: str | None = None, end: int = 2) -> None:
-    """Encode all texts and write ``folder``/codes and ``folder``/files."""
+    """Encode all texts and write ``folder``/codes and ``folder``/files. Texts are tokenized once; codes follow from the counts of that pass."""
     spark = docs.sparkSession
-    rows = _ranged(docs)
     path = path or default_path()
-
-    counts = id_counts(rows, path, end)
-    lengths = code_lengths(counts)
+    encoded = materialize(_encoded(_ranged(docs), path, end), "encoded", "zstd")
+    # At most one row for each id of the vocabulary comes back.
+    totals = encoded.where(F.col("part").isNull()).groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(1 + max([r["id"] for r in totals], default=end), np.int64)
+    for r in totals:
+        counts[r["id"]] = r["n"]
+    lengths, wide = code_lengths(counts), _width(path, end)
     coded = spark.createDataFrame([(int(i), int(counts[i]), int(lengths[i])) for i in np.flatnonzero(counts)], "id int, n long, bits int")
     coded.coalesce(1).write.parquet(f"{folder}/codes")
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book, at, held, n, part = Book(lengths), 0, [], 0, None
@@ -306,22 +289,22 @@ def write_ids(docs: DataFrame, folder: str, path: str | None = None, end: int =
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), docs, sizes, pa.array([payload], pa.binary())], names=["part", "doc_ids", "sizes", "payload"])
 
-        for batch in pieces(batches, "text", 1 << 20):
-            encoded = encoder(path)(batch.column(1).to_pylist())
-            for i, (p, x) in enumerate(zip(batch.column(2).to_pylist(), encoded)):
+        for batch in pieces(batches, "ids", 1 << 20):
+            for i, (p, x) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2))):
                 if p != part:
                     if held:
                         yield close()
                     part, at = p, 0
-                held.append((batch.column(0).slice(i, 1), np.append(x, np.uint32(end))))
-                n += len(x) + 1
+                ids = np.frombuffer(x.as_buffer(), wide).astype(np.int64)
+                held.append((batch.column(1).slice(i, 1), ids))
+                n += len(ids)
                 if n >= FILE_IDS:
                     yield close()
         if held:
             yield close()
 
-    dealt = rows.repartition("part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "text")
-    dealt.select("doc_id", "text", "part").mapInArrow(code, f"part int, doc_ids array<{kind}>, sizes array<int>, payload binary").write.parquet(f"{folder}/files")
+    dealt = encoded.where(F.col("part").isNotNull()).select("part", "doc_id", "ids").repartition("part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
+    dealt.mapInArrow(code, f"part int, doc_ids array<{kind}>, sizes array<int>, payload binary").write.parquet(f"{folder}/files")
     # Where each range begins: a row for each range, from the sizes alone.
     sums = spark.read.parquet(f"{folder}/files").groupBy("part").agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).orderBy("part").collect()
     begin = np.cumsum([0, *(r["n"] for r in sums)]).tolist()
