@@ -16,17 +16,28 @@ line breaks. For each distinct word so found
     longest piece is wide. Ties go to the longer last piece, then the smaller
     id. An unknown character costs ten more than the worst piece.
 
-A word is segmented once for the whole table. The way back to the documents
-moves no texts: the first pass packs the rows of each task into compressed
-chunks with the list of their distinct words, bucketed by chunk; the codes of a
-chunk's words come to where the chunk lies.
+A word is segmented once for the whole table, and no text is shuffled for it:
+
+1. the rows of each task are packed into compressed chunks, a table bucketed by
+   chunk that stays where it is;
+2. each chunk asks for the codes of its distinct words: one compressed request
+   for each part of the word space;
+3. a part's requests meet in one task, its distinct words go through the
+   lattice, and one compressed answer goes back to each chunk;
+4. the answers are joined to the chunks by the bucketing, and the texts are
+   spelt out by look-up.
 
 A character that no piece holds becomes its UTF-8 bytes' pieces. Scores and
 pieces are read from a model file whose path is a parameter. A model of another
 kind, or a BPE model with unused or user-defined pieces, is refused.
 
 Defined results: null and empty texts have no ids and decode to the empty
-text; words of any length are segmented whole; repeated rows are encoded alike.
+text; words of any length are segmented whole; repeated rows are encoded alike;
+an empty table gives an empty result. An own column of the result's name gives
+way to the result; all other columns pass unchanged, null ids included.
+
+The chunk tables live until ``release`` drops them, since results are read from
+them lazily.
 """
 
 from __future__ import annotations
@@ -41,17 +52,20 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialize, shared_dir, tasks, utf8
 from .common import pieces as runs
-from .common import shared_dir, tasks
 
 MARK = "▁"
 UNITS = re.compile(rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 #: Bytes of text in a chunk.
 CHUNK = 24 << 20
+#: Starts of substrings in one run of a word.
+STEP = 64
 #: Code of a character that no piece holds: this bit and its code point.
 UNKNOWN = 1 << 23
 
@@ -89,6 +103,7 @@ class Pieces:
         self.longest = max(map(len, self.plain))
         self.unknown = min(s for _, s in self.plain.values()) - 10.0
         self.cost = dict((i, -s) for i, s in self.plain.values())
+        self.spelt: tuple[np.ndarray, np.ndarray] | None = None
 
     def merged(self, ends: list[list[tuple[int, int]]]) -> list[int]:
         """BPE codes of a word: at each character its edges (end, code), that of the character alone first."""
@@ -110,28 +125,34 @@ class Pieces:
                 heappush(todo, (cost[edges[s][after[e]]], s, e, after[e]))
         return [code[i] for i in range(n) if after[i]]
 
-    def ids_of(self, code: bytes) -> list[int]:
-        """Ids from a word's packed code, three bytes for each piece or unknown character."""
-        out: list[int] = []
-        for k in range(0, len(code), 3):
-            x = int.from_bytes(code[k : k + 3], "big")
-            out += [x] if x < UNKNOWN else [self.byte[b] for b in chr(x - UNKNOWN).encode()]
-        return out
+    def ids_of(self, codes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the packed codes, three bytes for each piece or unknown character, and where each code's begin."""
+        raw, offsets = utf8(codes)
+        x = raw.reshape(-1, 3).astype(np.int32)
+        x = (x[:, 0] << 16) | (x[:, 1] << 8) | x[:, 2]
+        odd, size = np.flatnonzero(x >= UNKNOWN), np.ones(len(x), np.int64)
+        spelt = [[self.byte[b] for b in chr(c - UNKNOWN).encode()] for c in x[odd].tolist()]
+        size[odd] = [len(b) for b in spelt]
+        start = np.concatenate([[0], np.cumsum(size)])
+        out = np.repeat(x, size)
+        for at, ids in zip(start[odd].tolist(), spelt):
+            out[at : at + len(ids)] = ids
+        return out, start[offsets // 3]
+
+    def bytes_of(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
+        """The texts, as UTF-8, that lists of ids stand for: ``ids`` one after the other, cut at ``at``."""
+        if self.spelt is None:
+            parts = [bytes([self.value[i]]) if i in self.value else t.replace(MARK, " ").encode() for i, t in enumerate(self.text)]
+            self.spelt = np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        raw, begin = self.spelt
+        size = begin[ids + 1] - begin[ids]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        flat = raw[np.repeat(begin[ids] - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+        cut = ends[at].tolist()
+        return [flat[a + (flat[a : a + 1] == b" ") : z] if z > a else b"" for a, z in zip(cut, cut[1:])]
 
     def decode(self, ids) -> str:
-        out, held = [], bytearray()
-        for i in ids:
-            if i in self.value:
-                held.append(self.value[i])
-                continue
-            if held:
-                out.append(held.decode("utf-8", "replace"))
-                held = bytearray()
-            out.append(self.text[i])
-        if held:
-            out.append(held.decode("utf-8", "replace"))
-        whole = "".join(out).replace(MARK, " ")
-        return whole[1:] if whole.startswith(" ") else whole
+        return self.bytes_of(np.array(ids, np.int64), np.array([0, len(ids)]))[0].decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -144,41 +165,126 @@ def units(text: str | None) -> list[str]:
     return UNITS.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
+def distinct(texts: list[str | None]) -> dict[str, int]:
+    """The distinct words of texts, each with its place in order of first use."""
+    words: dict[str, None] = {}
+    for t in texts:
+        words.update(dict.fromkeys(units(t)))
+    return {w: i for i, w in enumerate(words)}
+
+
+def _packed(table: pa.Table | pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(raw: bytes) -> pa.Table:
+    with pa.ipc.open_stream(raw) as stream:
+        return stream.read_all()
+
+
+#: Chunk tables of this process that have not been dropped.
+_held: list[tuple[str, str]] = []
+
+
 def _chunks(docs: DataFrame, text: str) -> DataFrame:
-    """(chunk, words, rows): packed rows of a task and their distinct words, in a table bucketed by chunk."""
+    """(chunk, rows): packed rows of a task, in a table bucketed by chunk."""
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context, held, seen, size, nth = TaskContext.get(), [], {}, 0, 0
+        context, held, size, nth = TaskContext.get(), [], 0, 0
 
         def close() -> pa.RecordBatch:
             nonlocal nth, size
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_table(pa.Table.from_batches(held).combine_chunks())
-            row = [pa.array([(context.partitionId() << 24) + nth], pa.int64()), pa.array([list(seen)], pa.list_(pa.string())), pa.array([sink.getvalue().to_pybytes()], pa.binary())]
+            rows = _packed(pa.Table.from_batches(held).combine_chunks())
+            row = [pa.array([(context.partitionId() << 24) + nth], pa.int64()), pa.array([rows], pa.binary())]
             held.clear()
-            seen.clear()
             nth, size = nth + 1, 0
-            return pa.RecordBatch.from_arrays(row, names=["chunk", "words", "rows"])
+            return pa.RecordBatch.from_arrays(row, names=["chunk", "rows"])
 
         for batch in runs(batches, text):
-            at = batch.schema.get_field_index(text)
-            for t in batch.column(at).to_pylist():
-                seen.update(dict.fromkeys(units(t)))
             held.append(batch)
-            size += batch.column(at).nbytes
+            size += pc.sum(pc.binary_length(batch.column(batch.schema.get_field_index(text)))).as_py() or 0
             if size >= CHUNK:
                 yield close()
         if held:
             yield close()
 
-    packed = docs.mapInArrow(run, "chunk long, words array<string>, rows binary")
+    packed = docs.mapInArrow(run, "chunk long, rows binary")
     name = f"prismtext_chunks_{uuid.uuid4().hex}"
-    packed.write.bucketBy(max(8, tasks(spark)), "chunk").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    path = f"{shared_dir(spark)}/{name}"
+    packed.write.bucketBy(max(8, tasks(spark)), "chunk").option("path", path).saveAsTable(name)
+    _held.append((name, path))
     return spark.table(name)
 
 
+def release(spark: SparkSession) -> None:
+    """Drop the chunk tables of results that have been read."""
+    while _held:
+        name, path = _held.pop()
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _requests(chunks: DataFrame, text: str, parts: int) -> DataFrame:
+    """(part, chunk, words): for each part of the word space the distinct words of a chunk with their places in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                rows = _unpacked(batch.column(1)[k].as_py())
+                words = pa.array(distinct(rows.column(text).to_pylist()), pa.string())
+                part = np.array([zlib.crc32(w) % parts for w in words.cast(pa.binary()).to_pylist()], np.int64)
+                # In order of part and word: neighbours share letters, which packs well.
+                order = pc.sort_indices(pa.table({"p": part, "w": words}), sort_keys=[("p", "ascending"), ("w", "ascending")]).to_numpy()
+                cut = np.searchsorted(part[order], np.arange(parts + 1))
+                for p in np.flatnonzero(np.diff(cut)).tolist():
+                    own = pa.array(order[cut[p] : cut[p + 1]])
+                    asked = _packed(pa.table({"word": words.take(own), "place": own.cast(pa.int32())}))
+                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), batch.column(0).slice(k, 1), pa.array([asked], pa.binary())], names=["part", "chunk", "words"])
+
+    return chunks.select("chunk", "rows").mapInArrow(run, "part int, chunk long, words binary")
+
+
+def _asked_words(requests: DataFrame) -> DataFrame:
+    """(word, chunk, place): each distinct word of a task's requests with the lists of where its code is to go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            for chunk, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                rows = _unpacked(raw)
+                held.append(rows.append_column("chunk", pa.array(np.full(rows.num_rows, chunk, np.int64))))
+        if held:
+            words = pa.concat_tables(held).group_by("word").aggregate([("chunk", "list"), ("place", "list")])
+            yield from words.select(["word", "chunk_list", "place_list"]).rename_columns(["word", "chunk", "place"]).combine_chunks().to_batches(4096)
+
+    # A task holds the words of its parts; parts are as many as the session's shuffle partitions ask for.
+    return requests.repartition("part").mapInArrow(run, "word string, chunk array<long>, place array<int>")
+
+
+def _answers(coded: DataFrame) -> DataFrame:
+    """(chunk, codes): what a task's words came to, packed for each chunk that asked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            chunk, place, code = (batch.column(batch.schema.get_field_index(c)) for c in ("chunk", "place", "code"))
+            back = pa.array(np.repeat(np.arange(len(batch)), pc.list_value_length(chunk).to_numpy()))
+            held.append(pa.table({"chunk": chunk.flatten(), "place": place.flatten(), "code": code.take(back)}))
+        if held:
+            rows = pa.concat_tables(held).sort_by([("chunk", "ascending"), ("place", "ascending")]).combine_chunks()
+            chunk = rows["chunk"].to_numpy()
+            cut = np.append(np.flatnonzero(np.diff(chunk, prepend=-1)), len(chunk)).tolist()
+            for a, z in zip(cut, cut[1:]):
+                yield pa.RecordBatch.from_arrays([pa.array(chunk[a : a + 1]), pa.array([_packed(rows.slice(a, z - a).select(["place", "code"]))], pa.binary())], names=["chunk", "codes"])
+
+    return coded.select("chunk", "place", "code").mapInArrow(run, "chunk long, codes binary")
+
+
 def piece_frame(spark: SparkSession, pieces: Pieces) -> DataFrame:
     return spark.createDataFrame([(p, i, s) for p, (i, s) in pieces.plain.items()], "piece string, id int, score double")
 
@@ -188,29 +294,28 @@ def _bound(x: Column, f) -> Column:
     return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
-def segment(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, uses, code) for rows (word, uses) that are partitioned by word; code packs three bytes a piece."""
+def segment(words: DataFrame, pieces: Pieces, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(word, carry, code) for rows of distinct words with more columns; code packs three bytes a piece."""
     longest, worst = pieces.longest, pieces.unknown
 
-    def substrings(chars: Column) -> Column:
-        n = F.size(chars)
-        return F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(longest), n - i + 1)),
-            lambda k: F.struct((i - 1).alias("s"), (i + k - 1).alias("e"), F.array_join(F.slice(chars, i, k), "").alias("piece")))))
-
-    cut = words.where(F.col("word") != "").select("word", "uses", F.explode(_bound(F.split("word", ""), substrings)).alias("x"))
-    one = F.col("x.s") == 0
-    first = F.when(one & (F.col("x.e") == 1), F.col("uses"))
-    cut = cut.select("word", first.alias("uses"), F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.col("x.piece").alias("piece"))
+    # Runs of STEP starts with what a piece from the last of them may reach: a place is found without counting from the word's start.
+    segments = F.regexp_extract_all("word", F.lit(f"(?s)(?=(.{{1,{STEP + longest - 1}}})).{{1,{STEP}}}"), F.lit(1))
+    rows = words.where(F.col("word") != "").select("word", *carry, F.posexplode(segments).alias("j", "part"))
+    # What rides along stands on a word's first edge alone; the sum of scores needs the word on each.
+    once = lambda on: [F.when(on, F.col(c)).alias(c) if c in carry or pieces.merges else F.col(c) for c in ("word", *carry)]
+    rows = rows.select(*once(F.col("j") == 0), "j", "part", F.char_length("part").alias("n"))
+    starts = rows.select("word", *carry, "j", "part", "n", F.explode(F.sequence(F.lit(1), F.least(F.lit(STEP), F.col("n")))).alias("i"))
+    ends = starts.select("word", *carry, "j", "part", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("i") + 1))).alias("k"))
+    at = F.col("j") * STEP + F.col("i") - 1
+    cut = ends.select(*once((at == 0) & (F.col("k") == 1)), at.alias("s"), (at + F.col("k")).alias("e"), F.substr("part", F.col("i"), F.col("k")).alias("piece"))
     edges = cut.join(F.broadcast(piece_frame(words.sparkSession, pieces)), "piece", "left")
     edges = edges.where(F.col("id").isNotNull() | (F.col("e") - F.col("s") == 1))
     code = F.coalesce(F.col("id"), F.ascii("piece") + F.lit(UNKNOWN))
     if pieces.merges:
-        head = F.when((F.col("s") == 0) & (F.col("e") == 1), F.col("word")).alias("word")
-        return _merge(edges.select(head, "uses", "s", "e", code.alias("id")), pieces)
+        return _merge(edges.select("word", *carry, "s", "e", code.alias("id")), pieces, carry)
     edge = F.struct("s", code.alias("id"), F.coalesce("score", F.lit(worst)).alias("score"))
-    by_end = edges.groupBy("word", "e").agg(F.collect_list(edge).alias("edges"), F.first("uses", True).alias("uses"))
-    by_word = by_end.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("e", "edges"))).alias("ends"), F.first("uses", True).alias("uses"))
+    by_end = edges.groupBy("word", "e").agg(F.collect_list(edge).alias("edges"), *[F.first(c, True).alias(c) for c in carry])
+    by_word = by_end.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("e", "edges"))).alias("ends"), *[F.first(c, True).alias(c) for c in carry])
     start = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("path")))
 
     def step(reached: Column, end: Column) -> Column:
@@ -223,12 +328,12 @@ def segment(words: DataFrame, pieces: Pieces) -> DataFrame:
 
     path = F.aggregate("ends", start, step, lambda r: F.get(r, F.size(r) - 1)["path"])
     packed = F.unhex(F.array_join(F.transform(path, lambda i: F.lpad(F.hex(i), 6, "0")), ""))
-    return by_word.select("word", "uses", packed.alias("code"))
+    return by_word.select("word", *carry, packed.alias("code"))
 
 
-def _merge(edges: DataFrame, pieces: Pieces) -> DataFrame:
-    """The BPE fold of ``segment``. Edges come in the order of the explosion; word and uses stand on the first of each word."""
-    path = pieces.path
+def _merge(edges: DataFrame, pieces: Pieces, carry: tuple[str, ...]) -> DataFrame:
+    """The BPE fold of ``segment``. Edges come in the order of the explosion; word and carry stand on the first of each word."""
+    path, m = pieces.path, 1 + len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, held = table(path), None
@@ -243,14 +348,14 @@ def _merge(edges: DataFrame, pieces: Pieces) -> DataFrame:
             for a, b in zip(places, places[1:]):
                 codes = pieces.merged([edges[starts[i] : starts[i + 1]] for i in range(a, b)])
                 out.append(b"".join(x.to_bytes(3, "big") for x in codes))
-            kept = rows.select(["word", "uses"]).take(pa.array(first))
+            kept = rows.select(["word", *carry]).take(pa.array(first))
             return kept.append_column("code", pa.array(out, pa.binary())).combine_chunks().to_batches()[0]
 
         for batch in batches:
             # The last word of a batch may go on in the next one.
             if not len(batch):
                 continue
-            first = np.flatnonzero((batch.column(2).to_numpy() == 0) & (batch.column(3).to_numpy() == 1))
+            first = np.flatnonzero((batch.column(m).to_numpy() == 0) & (batch.column(m + 1).to_numpy() == 1))
             if held and len(first):
                 yield close([*held, batch.slice(0, first[0])])
                 held = None
@@ -263,38 +368,48 @@ def _merge(edges: DataFrame, pieces: Pieces) -> DataFrame:
         if held:
             yield close(held)
 
-    return edges.mapInArrow(run, f"word string, uses {edges.schema['uses'].dataType.simpleString()}, code binary")
+    more = "".join(f"{c} {edges.schema[c].dataType.simpleString()}, " for c in carry)
+    return edges.mapInArrow(run, f"word string, {more}code binary")
 
 
 def encode(docs: DataFrame, text: str = "text", path: str | None = None, function=None, schema: str = "ids array<int>") -> DataFrame:
-    """``docs`` with the column ids added, or what ``function(pieces, texts, id lists)`` makes of them by ``schema``."""
+    """``docs`` with the column ids added, or what ``function(pieces, texts, ids, at)`` makes of them by ``schema``.
+
+    ``ids`` are those of the texts one after the other, cut at ``at``.
+    """
     path = path or default_path()
+    added = [x.strip().split(" ")[0] for x in re.split(r",(?![^<]*>)", schema)]
+    docs = docs.select(*[c for c in docs.columns if c not in added or c == text])
     chunks = _chunks(docs, text)
-    pairs = chunks.select("chunk", F.posexplode("words").alias("i", "word"))
-    words = pairs.groupBy("word").agg(F.collect_list(F.struct("chunk", "i")).alias("uses"))
-    coded = segment(words, table(path))
-    back = coded.select(F.explode("uses").alias("u"), "code").select("u.chunk", "u.i", "code")
-    codes = back.groupBy("chunk").agg(F.collect_list(F.struct("i", "code")).alias("codes"))
-    both = chunks.join(codes.hint("shuffle_hash"), "chunk", "left").select("rows", "words", F.col("codes.i").alias("i"), F.col("codes.code").alias("code"))
+    words = _asked_words(_requests(chunks, text, 4 * max(8, tasks(docs.sparkSession))))
+    back = _answers(segment(words, table(path), ("chunk", "place")))
+    codes = back.groupBy("chunk").agg(F.collect_list("codes").alias("codes"))
+    both = chunks.join(codes.hint("shuffle_hash"), "chunk", "left").select("rows", "codes")
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
-    added = [x.strip().split(" ")[0] for x in re.split(r",(?![^<]*>)", schema)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = table(path)
         for batch in batches:
             for k in range(len(batch)):
-                words = batch.column(1)[k].as_py()
-                ids: dict[str, np.ndarray] = {}
+                rows = _unpacked(batch.column(0)[k].as_py())
+                texts = rows.column(text).to_pylist()
+                words = distinct(texts)
+                flat, begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
                 if words:
-                    places, codes = batch.column(2)[k].values.to_pylist(), batch.column(3)[k].values.to_pylist()
-                    ids = {words[i]: np.array(pieces.ids_of(c), np.int32) for i, c in zip(places, codes)}
-                none = np.zeros(0, np.int32)
-                with pa.ipc.open_stream(batch.column(0)[k].as_py()) as stream:
-                    rows = stream.read_all()
+                    got = pa.concat_tables([_unpacked(x) for x in batch.column(1)[k].as_py()])
+                    codes = got["code"].take(pa.array(np.argsort(got["place"].to_numpy()))).combine_chunks()
+                    flat, begin = pieces.ids_of(codes)
+                del texts
                 for part in runs(iter(rows.to_batches()), text):
                     texts = part.column(part.schema.get_field_index(text)).to_pylist()
-                    lists = [np.concatenate([none, *(ids[w] for w in units(t))]) for t in texts]
-                    more = function(pieces, texts, lists) if function else [pa.array(lists, pa.list_(pa.int32()))]
+                    used = [list(map(words.__getitem__, units(t))) for t in texts]
+                    at = np.concatenate([[0], np.cumsum([len(u) for u in used])])
+                    used = np.fromiter((w for u in used for w in u), np.int64, int(at[-1]))
+                    size = begin[used + 1] - begin[used]
+                    ends = np.concatenate([[0], np.cumsum(size)])
+                    ids = flat[np.repeat(begin[used] - ends[:-1], size) + np.arange(ends[-1])]
+                    cut = ends[at]
+                    more = function(pieces, texts, ids, cut) if function else [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ids, pa.int32()))]
                     yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, *added])
 
     return both.mapInArrow(run, fields + schema)
@@ -309,23 +424,26 @@ def decode(df: DataFrame, ids: str = "ids", path: str | None = None, into: str =
         pieces = table(path)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
-            texts = [pieces.decode(column[i].as_py() or []) for i in range(len(batch))]
+            at = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())])
+            texts = [x.decode("utf-8", "replace") for x in pieces.bytes_of(column.flatten().to_numpy().astype(np.int64), at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, into])
 
     return df.mapInArrow(run, f"{fields}`{into}` string")
 
 
-def _digests(pieces: Pieces, texts: list[str | None], lists: list[np.ndarray]) -> list[pa.Array]:
-    back = [pieces.decode(x.tolist()) for x in lists]
+def _digests(pieces: Pieces, texts: list[str | None], ids: np.ndarray, at: np.ndarray) -> list[pa.Array]:
+    back, raw, cut = pieces.bytes_of(ids, at), ids.astype("<u4"), at.tolist()
     return [
-        pa.array([len(x) for x in lists], pa.int64()),
-        pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in lists], pa.int64()),
-        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back], pa.string()),
-        pa.array([t == (s or "") for s, t in zip(texts, back)], pa.bool_()),
+        pa.array(np.diff(at), pa.int64()),
+        pa.array([zlib.crc32(raw[a:z]) for a, z in zip(cut, cut[1:])], pa.int64()),
+        pa.array([hashlib.sha256(t).hexdigest() for t in back], pa.string()),
+        pa.array([t == (s or "").encode() for s, t in zip(texts, back)], pa.bool_()),
     ]
 
 
 def op5_pieces(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_ids, ids_crc32 (ids as little-endian 32-bit), decoded_sha256 and whether it is the text."""
     coded = encode(docs.select("doc_id", "text"), function=_digests, schema="n_ids long, ids_crc32 long, decoded_sha256 string, whole boolean")
-    return coded.drop("text")
+    out = materialize(coded.drop("text"), "pieces")
+    release(docs.sparkSession)
+    return out
