@@ -141,7 +141,7 @@ class Encoder:
     (for which normal forms could differ) go through the tokenizer whole.
     """
 
-    #: Words that are remembered before the memory is emptied.
+    #: Words after which no more are remembered.
     MOST = 700_000
 
     def __init__(self, path: str):
@@ -170,11 +170,16 @@ class Encoder:
             # Bytes as the characters that byte-level vocabularies are written in: printable ones stand for themselves.
             own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
             rest = [b for b in range(256) if b not in own]
-            self.chars = {b: chr(256 + k) for k, b in enumerate(rest) if b != 32}
+            spelt = [(chr(b) if b in own or b == 32 else chr(256 + rest.index(b))).encode() for b in range(256)]
+            self.spelt = np.frombuffer(b"".join(x.ljust(2, b"\0") for x in spelt), np.uint8).reshape(256, 2)
+            self.wide = np.array([len(x) > 1 for x in spelt])
 
     def encode_words(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of these words, which the pattern has cut, and where each word's ids end."""
-        ids = np.array(self.words.encode(" ".join(new).encode().decode("latin-1").translate(self.chars), add_special_tokens=False).ids, "<u4")
+        raw = np.frombuffer(" ".join(new).encode(), np.uint8)
+        keep = np.ones((len(raw), 2), bool)
+        keep[:, 1] = self.wide[raw]
+        ids = np.array(self.words.encode(self.spelt[raw][keep].tobytes().decode(), add_special_tokens=False).ids, "<u4")
         at = np.flatnonzero(self.ends[ids]) + 1
         if len(at) != len(new):
             raise ValueError("words and their ends differ")
@@ -189,17 +194,17 @@ class Encoder:
         out: list[np.ndarray | None] = [None] * len(texts)
         plain, cut = self.split(texts)
         got = [list(map(self.memory.get, ws)) for ws in cut]
-        new = {w for ws, ids in zip(cut, got) if None in ids for w, x in zip(ws, ids) if x is None}
+        new = list({w for ws, ids in zip(cut, got) if None in ids for w, x in zip(ws, ids) if x is None})
         if new:
-            if len(self.memory) + len(new) > self.MOST:
-                self.memory.clear()
-                new, got = set().union(*cut), [[None]] * len(cut)
-            new = list(new)
             ids, at = self.encode_words(new)
-            raw, a = ids.tobytes(), 0
-            for w, z in zip(new, (at * 4).tolist()):
-                self.memory[w], a = raw[a:z], z
-            got = [list(map(self.memory.get, ws)) if None in ids else ids for ws, ids in zip(cut, got)]
+            raw, ends = ids.tobytes(), (at * 4).tolist()
+            fresh = {w: raw[a:z] for w, a, z in zip(new, [0, *ends], ends)}
+            got = [[fresh[w] if x is None else x for w, x in zip(ws, ids)] if None in ids else ids for ws, ids in zip(cut, got)]
+            # What is common is met early. A full memory stays as it is, until so many words are new that the texts must be of another kind.
+            if 4 * len(new) > sum(map(len, cut)):
+                self.memory = {} if len(self.memory) > self.MOST else self.memory
+            if len(self.memory) <= self.MOST:
+                self.memory.update(fresh)
         for i, ids in zip(plain, got):
             out[i] = np.frombuffer(b"".join(ids), "<u4")
         rest = [i for i, x in enumerate(out) if x is None]
