@@ -43,7 +43,31 @@ def materialize(df: DataFrame, tag: str, compression: str = "snappy") -> DataFra
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/prismtext-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written.append((path, out))
+    return out
+
+
+#: Folders that ``materialize`` wrote in this process, and the tables that read them.
+_written: list[tuple[str, DataFrame]] = []
+
+
+def written() -> int:
+    """A mark for ``discard``."""
+    return len(_written)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
+    """Delete what was materialized since ``mark``, but for the tables to ``keep``: for intermediate tables whose reader has ended."""
+    for path, table in _written[mark:]:
+        if not any(table is k for k in keep):
+            delete(spark, path)
+    _written[mark:] = [x for x in _written[mark:] if any(x[1] is k for k in keep)]
 
 
 def small_join(big: DataFrame, small: DataFrame, on: list[str], rows: int, how: str = "left", most: int = 20_000) -> DataFrame:

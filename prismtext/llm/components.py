@@ -34,5 +34,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         edges, was, sign = new, sign, new.agg(*signature).first()
         if was == sign:
             break
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     found = edges.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component"))
     return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -2,33 +2,38 @@
 
 Sets are word shingles hashed to 64 bits, ordered alike everywhere: by hash,
 with frequent shingles last. Two sets with a Jaccard index of at least T share
-a shingle among the first n - ceil(T * n) + 1 of each (the prefix), so only
-prefixes are indexed.
+``LEAST`` shingles among the first n - ceil(T * n) + LEAST of each (the
+prefix), so only prefixes are indexed.
 
 The work skips along set relations:
 
 * equal sets are one set (``set_id``) from the start;
-* in an index list, sorted by set size, each set is first tried against the
-  one leader it meets most often; what links is verified exactly;
-* lists are then read in blocks, and a block of two sets' ranges is skipped
-  where all are of one class already or too far apart in size;
-* two sets that were compared with one leader are not compared with each other
-  where their common part inside the leader, which follows from the two known
-  answers bit by bit, and the smaller remainder outside it are too small:
-  their answer is derived from the leader's;
-* a pair that remains must share so many prefix shingles (counted) that the
-  rest of the sets can still reach the threshold; only then is it verified.
+* in the index lists each set meets the leaders of the lists; the one that it
+  meets most often is its own leader, and both are compared whole. What stays
+  of that answer is a bit for each shingle of the leader and the shingles that
+  the leader lacks;
+* from these the answers of all sets of one leader follow exactly: what two
+  have in common is the common bits and the common rest. No text is read again
+  and no pair is given out but the links of a spanning forest;
+* lists are then read in blocks. A block is skipped where all its sets are of
+  one class or of one leader, and within it groups of a leader are skipped whose
+  sizes and positions cannot reach the threshold. A set that may link with a
+  member of another leader's group is compared with that leader, which answers
+  for the whole group as before.
 
 Every skipped pair is either in one class already or proved below T, so the
-classes are exact. ``links`` of verified pairs and ``set_id`` of each document
-describe them without expanding copies into pairs.
+classes are exact. ``links`` holds links that connect the classes (a spanning
+subset of the join, each verified), ``set_id`` tells equal sets; pairs within a
+class that connect nothing new are not listed.
 
 Frequencies come from all documents: a count sketch of 2**22 slots, merged
 over all tasks; its size does not grow, and it only guides the order.
 
 Defined results: words are runs of non-blank characters, A-Z lower-cased; a
 text of fewer than five words is one shingle; a null or wordless text has an
-empty set, linked with nothing; repeated rows are equal sets.
+empty set, linked with nothing; repeated rows are equal sets; rows without an
+id take part, but lend no class their id; an empty table gives an empty result;
+columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -38,20 +43,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWER, materialize, mix64, pieces, utf8, word_hashes, words
+from .common import LOWER, discard, materialize, mix64, pieces, utf8, word_hashes, words, written
 from .components import components
 
 SHINGLE = 5
 #: The threshold as a fraction.
 NUM, DEN = 3, 4
 SLOTS, BLOCK = 1 << 22, 1 << 16
-#: Sets in one block of a long index list.
+#: Sets in one block of a long index list or of a leader's group.
 LIST_BLOCK = 1024
-#: Most rows of an id table that is broadcast; more are joined by shuffle.
-FEW = 5_000
+#: Prefix shingles that two linked sets share (of small sets fewer).
+LEAST = 4
+#: Bits of the filter that picks the texts to compare; it only spares work.
+WANTED = 1 << 24
 
 
 def shingle_sets(column: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +149,8 @@ def _hot_slots(blocks: DataFrame, tasks: int) -> np.ndarray:
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:
-    return n - (n * NUM + DEN - 1) // DEN + 1
+    need = (n * NUM + DEN - 1) // DEN
+    return n - need + np.minimum(LEAST, need)
 
 
 def _postings(docs: DataFrame, hot: np.ndarray, text: str) -> DataFrame:
@@ -211,11 +218,13 @@ def _shared_lists(postings: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "token long, set_id long, np long, k long")
 
 
-def _first_pairs(lists: DataFrame) -> DataFrame:
+def _first_tries(lists: DataFrame) -> DataFrame:
     """For each set the leader it meets in most lists: (a: leader, b: set).
 
     A list's leader, for each range of sizes, is the set whose shingles stand
     in the longest lists: of many variants of a text, the least edited one.
+    This is a guess at what is alike, so sets that meet in few lists are left
+    to the later, exact search.
     """
     popular = lists.groupBy("set_id").agg(F.sum("k").alias("pop"))
     led = lists.join(popular, "set_id").select("token", "set_id", F.shiftright("np", 32).alias("n"), "pop")
@@ -226,183 +235,303 @@ def _first_pairs(lists: DataFrame) -> DataFrame:
     met = met.where((F.col("lead.n") * DEN >= F.col("n") * NUM) & (F.col("n") * DEN >= F.col("lead.n") * NUM))
     # Of two that meet, the more popular leads.
     met = met.where(F.struct(F.col("lead.pop"), F.col("lead.set_id")) > F.struct("pop", "set_id"))
-    votes = met.groupBy("set_id", F.col("lead.set_id").alias("leader")).agg(F.count(F.lit(1)).alias("votes"), F.first("lead.pop").alias("pop"))
-    best = votes.groupBy("set_id").agg(F.max(F.struct("votes", "pop", "leader")).alias("best"))
+    votes = met.groupBy("set_id", F.col("lead.set_id").alias("leader")).agg(F.count(F.lit(1)).alias("votes"), F.first("lead.pop").alias("pop"), F.first("n").alias("n"))
+    best = votes.where(F.col("votes") * 24 >= F.col("n")).groupBy("set_id").agg(F.max(F.struct("votes", "pop", "leader")).alias("best"))
     return best.select(F.col("best.leader").alias("a"), F.col("set_id").alias("b"))
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, members: DataFrame, text: str) -> DataFrame:
-    """(a, b, na, nb, common, bits) for each pair of sets, counted on the texts of one document of each set.
+def _slot(set_id: np.ndarray) -> np.ndarray:
+    return (mix64(set_id.view(np.uint64)) & np.uint64(WANTED - 1)).astype(np.int64)
 
-    ``bits`` has a bit for each shingle of a, in order: whether b has it too.
-    """
-    # A row without an id stands for a set only where no row has one.
-    least = F.min(F.struct(F.isnull("doc_id"), "doc_id", "text_hash")).alias("r")
-    reps = members.groupBy("set_id").agg(least).select("set_id", "r.doc_id", "r.text_hash")
-    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("set_id"), "a", "b"), F.struct(F.col("b").alias("set_id"), "a", "b"))).alias("e")).select("e.*")
-    wanted = materialize(ends.join(reps, "set_id"), "wanted")
-    small = wanted.count() <= FEW
-    rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.col(text).alias("_text"))
-    named, unnamed = rows.where(F.col("doc_id").isNotNull()), rows.where(F.col("doc_id").isNull()).dropDuplicates(["text_hash"])
-    of = wanted.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "set_id", "a", "b")
-    of = F.broadcast(of) if small else of
-    texts = named.unionByName(unnamed).join(of, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
-    # A row may be repeated; one text of each set is enough. Two rows make a pair.
-    both = texts.groupBy("a", "b").agg(F.max(F.when(F.col("set_id") == F.col("a"), F.col("_text"))).alias("x"), F.max(F.when(F.col("set_id") == F.col("b"), F.col("_text"))).alias("y"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "x", 1 << 19):
-            sx, ax = shingle_sets(batch.column(2))
-            sy, ay = shingle_sets(batch.column(3))
-            both = [np.isin(sx[ax[i] : ax[i + 1]], sy[ay[i] : ay[i + 1]], assume_unique=True) for i in range(len(batch))]
-            columns = [batch.column(0), batch.column(1), pa.array(np.diff(ax), pa.int64()), pa.array(np.diff(ay), pa.int64()), pa.array([int(x.sum()) for x in both], pa.int64()), pa.array([np.packbits(x).tobytes() for x in both], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "na", "nb", "common", "bits"])
 
-    return both.mapInArrow(run, "a long, b long, na long, nb long, common long, bits binary")
+def _wanted_texts(docs: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
+    """(set_id, text): a text of every set of ``pairs``, and of few others; each at most once for each task."""
 
-
-def _block_pairs(rows: DataFrame, pairs_of, schema: str) -> DataFrame:
-    """Runs ``pairs_of(table, left, right)`` over all pairs of blocks of each list.
-
-    ``rows`` has list, set_id, k (the list's length) and more columns. A long list is cut into blocks by a
-    hash of the set, and a row goes to each pair of blocks that its own is part of, so no list is one task's.
-    """
-    rows = rows.withColumn("m", F.ceil(F.col("k") / LIST_BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("m")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    rows = rows.withColumn("b1", F.least("own", "other")).withColumn("b2", F.greatest("own", "other")).drop("m", "k", "other")
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(WANTED, bool)
+        for batch in batches:
+            for c in (0, 1):
+                bits[_slot(batch.column(c).to_numpy())] = True
+        hit = np.flatnonzero(np.packbits(bits).view(np.uint64))
+        words = np.packbits(bits).view(np.int64)[hit]
+        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(words)], names=["at", "bits"])
+
+    # One row at most for each 64 bits comes back: 2 MB, whatever the input.
+    bits = np.zeros(WANTED // 64, np.int64)
+    for r in pairs.select("a", "b").mapInArrow(marks, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).collect():
+        bits[r["at"]] = r["bits"]
+    shared = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            own, b1, b2 = t["own"].to_numpy(), t["b1"][0].as_py(), t["b2"][0].as_py()
-            n = t["n"].to_numpy()
-            order = np.argsort(n, kind="stable")
-            yield from pairs_of(t, order[own[order] == b1], order[own[order] == b2])
+        bits, seen = np.unpackbits(shared.value).astype(bool), set()
+        for batch in pieces(batches, text):
+            ids = set_ids(*shingle_sets(batch.column(0)))
+            keep = []
+            for i in np.flatnonzero(bits[_slot(ids)] & (ids != 0)).tolist():
+                if ids[i] not in seen:
+                    seen.add(ids[i])
+                    keep.append(i)
+            if keep:
+                yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), batch.column(0).take(pa.array(keep))], names=["set_id", "text"])
 
-        held: pa.Table | None = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            if held is not None:
-                t = pa.concat_tables([held, t])
-            key = np.stack([t[c].to_numpy() for c in ("list", "b1", "b2")])
-            cut = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, [t.num_rows]])
-            for a, z in zip(cut[:-2], cut[1:-1]):
-                if z - a > 1:
-                    yield from out(t.slice(a, z - a))
-            held = t.slice(cut[-2]).combine_chunks()
-        if held is not None and held.num_rows > 1:
-            yield from out(held)
+    return docs.select(text).mapInArrow(run, "set_id long, text string")
 
-    return rows.repartition("list", "b1", "b2").sortWithinPartitions("list", "b1", "b2").mapInArrow(run, schema)
 
+ANSWER = "a long, b long, na long, nb long, common long, bits binary, rest binary"
 
-def _runs(n: np.ndarray, cls: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Runs of a block with the part of the other block that can match: the rest is skipped by position.
 
-    Both are in order of size; skipped are sizes that are too far, and runs of one class.
-    """
-    for start in range(0, len(left), 256):
-        i = left[start : start + 256]
-        a = np.searchsorted(n[right], -(-n[i[0]] * NUM // DEN))
-        z = np.searchsorted(n[right], n[i[-1]] * DEN // NUM, "right")
-        j = right[a:z]
-        if len(j) and not ((cls[i] == cls[i[0]]).all() and (cls[j] == cls[i[0]]).all()):
-            yield i[:, None], j[None]
+def _answers(pairs: DataFrame, docs: DataFrame, text: str, least: float) -> DataFrame:
+    """Each set b of ``pairs`` (a, b) compared with its leader a, on their texts.
 
+    ``bits`` has a bit for each shingle of a, in order: whether b has it too;
+    ``rest`` the shingles (64 bits each) of b that a lacks. Both are null where
+    the Jaccard index is below ``least``. A leader's sets are dealt over tasks;
+    its own text goes to each of them once.
+    """
+    texts = _wanted_texts(docs, pairs, text)
+    size = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / LIST_BLOCK).cast("int").alias("m"))
+    of = pairs.join(size, "a").select("a", F.col("b").alias("set_id"), F.pmod(F.xxhash64("b"), F.col("m")).cast("int").alias("salt"), F.lit(1).alias("role"))
+    heads = size.select("a", F.col("a").alias("set_id"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("salt"), F.lit(0).alias("role"))
+    rows = of.unionByName(heads).join(texts, "set_id").select("a", "salt", "role", "set_id", "text")
 
-def _open_lists(rows: DataFrame) -> DataFrame:
-    """Rows of the lists that hold more than one class, with the list's length k."""
-    lists = rows.groupBy("list").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("k")).where(F.col("lo") != F.col("hi"))
-    return rows.join(lists.select("list", "k"), "list")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead, last, head = None, None, np.zeros(0, np.uint64)
+        for batch in pieces(batches, "text", 1 << 20):
+            s, at = shingle_sets(batch.column(4))
+            out = []
+            for i, (a, role, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)))):
+                own = s[at[i] : at[i + 1]]
+                if not role:
+                    lead, last, head = a, None, own.copy()
+                elif (a, b) != last and a == lead:  # a set's text may come from several tasks
+                    last = (a, b)
+                    place = np.minimum(np.searchsorted(head, own), len(head) - 1)
+                    both = head[place] == own
+                    n = int(both.sum())
+                    bits = rest = None
+                    if n >= least * (len(head) + len(own) - n):
+                        bits = np.zeros(len(head), bool)
+                        bits[place[both]] = True
+                        bits, rest = np.packbits(bits).tobytes(), own[~both].tobytes()
+                    out.append((a, b, len(head), len(own), n, bits, rest))
+            if out:
+                kinds = [pa.int64()] * 5 + [pa.binary()] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["a", "b", "na", "nb", "common", "bits", "rest"])
+
+    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "set_id").mapInArrow(run, ANSWER)
+
+
+def _forest(links: Iterator[tuple[int, int, int]], cls: np.ndarray) -> list[tuple[int, int, int]]:
+    """Of links (i, j, common) those that join what is apart so far; ``cls`` are the classes at the start."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = root.get(root[x], root[x])
+            x = root[x]
+        return x
+
+    out = []
+    for i, j, n in links:
+        a, b = find(int(cls[i])), find(int(cls[j]))
+        if a != b:
+            root[a] = b
+            out.append((i, j, n))
+    return out
+
+
+def _group_links(rows: DataFrame) -> DataFrame:
+    """Links (a, b, na, nb, common) between sets of one leader, from their answers alone.
+
+    ``rows`` has list (the leader), set_id, n, bits, rest, class and moves. A
+    pair counts if one of it moves and the classes differ. Large groups are cut
+    into blocks; only rows that move go to blocks other than their own.
+    """
+    size = rows.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / LIST_BLOCK).cast("int").alias("m"), F.max("moves").alias("some"))
+    rows = rows.join(size.where("some").drop("some"), "list").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("m")).cast("int"))
+    blocks = F.when(F.col("moves"), F.sequence(F.lit(0), F.col("m") - 1)).otherwise(F.array("own"))
+    rows = rows.withColumn("block", F.explode(blocks)).drop("m")
+
+    def found(t: pa.Table) -> pa.RecordBatch:
+        sid, cls, n = (t[c].to_numpy() for c in ("set_id", "class", "n"))
+        moves = t["moves"].to_numpy(zero_copy_only=False)
+        native = t["own"].to_numpy() == t["block"].to_numpy()
+        bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint8).reshape(len(sid), -1)
+        rest = [np.frombuffer(x, np.uint64) for x in t["rest"].to_pylist()]
+        spare = np.array([len(x) for x in rest])
+        left, right = np.flatnonzero(moves), np.flatnonzero(native)
+        links = []
+        for start in range(0, len(left), 256):
+            i = left[start : start + 256]
+            inside = np.zeros((len(i), len(right)), np.float32)
+            for c in range(0, bits.shape[1], 512):  # columns in slices, so that what is unpacked stays small
+                inside += np.unpackbits(bits[i, c : c + 512], axis=1).astype(np.float32) @ np.unpackbits(bits[right, c : c + 512], axis=1).astype(np.float32).T
+            need = -((-NUM * (n[i][:, None] + n[right][None])) // (NUM + DEN))
+            open_ = (cls[i][:, None] != cls[right][None]) & (inside + np.minimum(spare[i][:, None], spare[right][None]) >= need)
+            p, q = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+            if not len(p):
+                continue
+            common = inside[np.ix_(p, q)].astype(np.int64)
+            rows_p, rows_q = [rest[x] for x in i[p]], [rest[x] for x in right[q]]
+            tokens, at = np.unique(np.concatenate(rows_p), return_inverse=True)
+            if len(tokens):
+                # The rests' common part: columns are the tokens of the left side, in slices.
+                mine = np.repeat(np.arange(len(p)), [len(x) for x in rows_p])
+                flat = np.concatenate([np.zeros(0, np.uint64), *rows_q])
+                place = np.minimum(np.searchsorted(tokens, flat), len(tokens) - 1)
+                hit = tokens[place] == flat
+                theirs, place = np.repeat(np.arange(len(q)), [len(x) for x in rows_q])[hit], place[hit]
+                used, place = np.unique(place, return_inverse=True)
+                slot = np.full(len(tokens), -1)
+                slot[used] = np.arange(len(used))
+                col = slot[at]
+                for c in range(0, len(used), 4096):
+                    wide = min(4096, len(used) - c)
+                    x, y = np.zeros((len(p), wide), np.float32), np.zeros((len(q), wide), np.float32)
+                    own = (col >= c) & (col < c + wide)
+                    x[mine[own], col[own] - c] = 1
+                    own = (place >= c) & (place < c + wide)
+                    y[theirs[own], place[own] - c] = 1
+                    common += (x @ y.T).astype(np.int64)
+            u, v = np.nonzero(open_[np.ix_(p, q)] & (common >= need[np.ix_(p, q)]))
+            got = _forest(zip(i[p[u]].tolist(), right[q[v]].tolist(), common[u, v].tolist()), cls)
+            links += got
+        links = _forest(iter(links), cls)
+        i, j, c = (np.array(x, np.int64) for x in zip(*links)) if links else (np.zeros(0, np.int64),) * 3
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (sid[i], sid[j], n[i], n[j], c)], names=["a", "b", "na", "nb", "common"])
+
+    return _each_block(rows, ["list", "block"], found, "a long, b long, na long, nb long, common long")
+
+
+def _each_block(rows: DataFrame, keys: list[str], found, schema: str) -> DataFrame:
+    """``found`` over the rows of each block; blocks are bounded in size."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
 
-def _derived_pairs(tried: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different classes that were tried with one leader and may link.
+        def close() -> Iterator[pa.RecordBatch]:
+            t = pa.concat_tables(held).combine_chunks()
+            held.clear()
+            if t.num_rows > 1:
+                out = found(t)
+                if len(out):
+                    yield out
 
-    What two sets have in common inside the leader follows from the bits that
-    their trials left; outside it they share at most the smaller remainder.
-    """
-    rows = tried.select(F.col("a").alias("list"), F.col("b").alias("set_id"), F.col("nb").alias("n"), "common", "bits")
-    rows = rows.join(classes, "set_id", "left").withColumn("class", F.coalesce("class", "set_id"))
-    ones = np.array([bin(x).count("1") for x in range(256)], np.uint8)
-
-    def pairs_of(t: pa.Table, left: np.ndarray, right: np.ndarray) -> Iterator[pa.RecordBatch]:
-        sid, cls, n, common = (t[c].to_numpy() for c in ("set_id", "class", "n", "common"))
-        wide = len(t["bits"][0].as_py())
-        bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint8).reshape(-1, wide)
-        for i, j in _runs(n, cls, left, right):
-            need = -((-NUM * (n[i] + n[j])) // (NUM + DEN))
-            outside = np.minimum(n[i] - common[i], n[j] - common[j])
-            ok = (cls[i] != cls[j]) & (np.minimum(common[i], common[j]) + outside >= need) & (sid[i] != sid[j])
-            if left is right or len(left) == len(right) and (left == right).all():
-                ok &= sid[i] < sid[j]
-            p, q = np.nonzero(ok)
-            for a in range(0, len(p), 50_000):
-                x, y = i[p[a : a + 50_000], 0], j[0, q[a : a + 50_000]]
-                inside = ones[bits[x] & bits[y]].sum(axis=1, dtype=np.int64)
-                near = inside + np.minimum(n[x] - common[x], n[y] - common[y]) >= -((-NUM * (n[x] + n[y])) // (NUM + DEN))
-                x, y = sid[x[near]], sid[y[near]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-
-    return _block_pairs(_open_lists(rows), pairs_of, "a long, b long").distinct()
-
-
-def _remaining_pairs(lists: DataFrame, classes: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different classes and leaders that share enough prefix shingles to link.
-
-    A pair shares at most the prefix shingles counted and the rest of the set whose prefix ends first.
+        last = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            t = pa.Table.from_batches([batch])
+            key = np.stack([t[c].to_numpy() for c in keys])
+            cut = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, [t.num_rows]]).tolist()
+            for a, z in zip(cut, cut[1:]):
+                own = tuple(key[:, a].tolist())
+                if held and own != last:
+                    yield from close()
+                last = own
+                held.append(t.slice(a, z - a))
+        if held:
+            yield from close()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def _more_tries(lists: DataFrame, classes: DataFrame, led: DataFrame) -> DataFrame:
+    """(a: leader, b: set) where b may link with a set of a's group, or with a itself.
+
+    Of two sets of different leaders that share prefix shingles one is to be
+    tried with the other's leader: that of a group rather than a set alone, of
+    equals the smaller. A set that shares too few shingles with all of a group
+    is not tried.
     """
-    led = tried.select(F.col("b").alias("set_id"), F.col("a").alias("leader"))
-    rows = lists.select(F.col("token").alias("list"), "set_id", "np").join(classes, "set_id", "left").join(led, "set_id", "left")
-    rows = rows.withColumn("class", F.coalesce("class", "set_id")).withColumn("leader", F.coalesce("leader", "set_id")).withColumn("n", F.shiftright("np", 32))
-
-    def pairs_of(t: pa.Table, left: np.ndarray, right: np.ndarray) -> Iterator[pa.RecordBatch]:
-        sid, cls, lead, n, x = (t[c].to_numpy() for c in ("set_id", "class", "leader", "n", "np"))
-        place = x & 0xFFFFFFFF
-        for i, j in _runs(n, cls, left, right):
-            lo, hi = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            ok = (cls[i] != cls[j]) & (lo * DEN >= hi * NUM)
-            if len(left) == len(right) and (left == right).all():
-                ok &= sid[i] < sid[j]
-            # Pairs with one leader are derived from it; a set and its own leader were tried.
-            ok &= (lead[i] != lead[j]) & (lead[i] != sid[j]) & (lead[j] != sid[i])
-            ok &= np.minimum(place[i], place[j]) + np.minimum(n[i] - place[i], n[j] - place[j]) >= -((-NUM * (n[i] + n[j])) // (NUM + DEN))
-            p, q = np.nonzero(ok)
-            a, b = i[p, 0], j[0, q]
-            swap = sid[a] > sid[b]
-            a, b = np.where(swap, b, a), np.where(swap, a, b)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (sid[a], sid[b], n[a], n[b])], names=["a", "b", "na", "nb"])
-
-    pairs = _block_pairs(_open_lists(rows), pairs_of, "a long, b long, na long, nb long").groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
-    rest = F.greatest(F.expr(f"ceil(na * {NUM} / {DEN}) - 1"), F.expr(f"ceil(nb * {NUM} / {DEN}) - 1"))
-    return pairs.where(F.col("c") + rest >= F.ceil((F.col("na") + F.col("nb")) * NUM / (NUM + DEN))).select("a", "b")
+    heads = led.select(F.col("b").alias("set_id"), F.col("a").alias("lead"))
+    heads = heads.union(led.select(F.col("a").alias("set_id"), F.col("a").alias("lead")).distinct().join(heads.select("set_id"), "set_id", "left_anti"))
+    rows = lists.select(F.col("token").alias("list"), "set_id", "np").join(classes, "set_id", "left").join(heads, "set_id", "left")
+    rows = rows.select("list", "set_id", F.coalesce("class", "set_id").alias("class"), F.coalesce("lead", "set_id").alias("lead"), F.isnull("lead").alias("alone"),
+                       F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(0xFFFFFFFF).alias("place"))
+    kinds = rows.groupBy("list").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.min("lead").alias("first"), F.max("lead").alias("last"), F.count(F.lit(1)).alias("k"))
+    kinds = kinds.where((F.col("lo") != F.col("hi")) & (F.col("first") != F.col("last"))).select("list", F.ceil(F.col("k") / LIST_BLOCK).cast("int").alias("m"))
+    rows = rows.join(kinds, "list").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("m")).cast("int"))
+    # A row goes to each pair of blocks that its own is part of.
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    rows = rows.withColumn("b1", F.least("own", "other")).withColumn("b2", F.greatest("own", "other")).drop("m", "other")
+
+    def found(t: pa.Table) -> pa.RecordBatch:
+        sid, cls, lead, n, place, own = (t[c].to_numpy() for c in ("set_id", "class", "lead", "n", "place", "own"))
+        alone = t["alone"].to_numpy(zero_copy_only=False)
+        b1, b2 = t["b1"][0].as_py(), t["b2"][0].as_py()
+        out = []
+        for xs, ys in [(b1, b2), (b2, b1)][: 1 + (b1 != b2)]:
+            x, y = np.flatnonzero(own == xs), np.flatnonzero(own == ys)
+            if not len(x) or not len(y):
+                continue
+            groups, back = np.unique(lead[y], return_inverse=True)
+            least = lambda v, big: np.minimum.reduceat(v[np.argsort(back, kind="stable")], big)
+            begin = np.searchsorted(np.sort(back), np.arange(len(groups)))
+            lo_c, hi_c = least(cls[y], begin), ~least(~cls[y], begin)
+            lo_n, hi_n, lo_p, hi_p = least(n[y], begin), ~least(~n[y], begin), least(place[y], begin), ~least(~place[y], begin)
+            single = least(alone[y].astype(np.int8), begin) > 0
+            for start in range(0, len(x), 256):
+                i = x[start : start + 256][:, None]
+                ok = (lead[i] != groups) & ((lo_c != hi_c) | (lo_c != cls[i]))
+                ok &= (single < alone[i]) | ((single == alone[i]) & (groups < lead[i]))
+                ok &= (n[i] * DEN >= lo_n * NUM) & (hi_n * DEN >= n[i] * NUM)
+                # No member reaches the threshold if the best size and position in the group do not.
+                at = np.clip(place[i], lo_p, hi_p)
+                ok &= np.minimum(place[i], at) + np.minimum(n[i] - place[i], hi_n - at) >= -((-NUM * (n[i] + lo_n)) // (NUM + DEN))
+                p, q = np.nonzero(ok)
+                if len(p):
+                    small = np.minimum(n[i[p, 0]], lo_n[q])
+                    out.append((groups[q], sid[i[p, 0]], np.minimum(LEAST, (small * NUM + DEN - 1) // DEN)))
+        a, b, need = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (a, b, need)], names=["a", "b", "need"])
+
+    met = _each_block(rows, ["list", "b1", "b2"], found, "a long, b long, need long")
+    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min("need").alias("need")).where(F.col("c") >= F.col("need")).select("a", "b")
+
+
+def _grouped(answers: DataFrame, classes: DataFrame, moves) -> DataFrame:
+    """Rows for ``_group_links``: a set that moves is compared with all others of its leader."""
+    of = classes.select(F.col("set_id").alias("a"), F.col("class").alias("lead_class"))
+    rows = answers.where(F.col("bits").isNotNull()).withColumn("set_id", F.col("b")).join(classes, "set_id", "left").join(of, "a", "left")
+    rows = rows.withColumn("class", F.coalesce("class", "set_id")).withColumn("lead_class", F.coalesce("lead_class", "a"))
+    return rows.select(F.col("a").alias("list"), "set_id", F.col("nb").alias("n"), "bits", "rest", "class", moves.alias("moves"))
 
 
 def jaccard_classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text_hash, set_id, n, component, class_id) of every document and the verified links (a, b, na, nb, common) between sets.
+    """(doc_id, text_hash, set_id, n, component, class_id) of every document and links (a, b, na, nb, common) between sets that span the classes.
 
     ``class_id`` is null where no row of the class has an id; ``component`` tells such classes apart.
     """
-    spark = docs.sparkSession
+    spark, mark = docs.sparkSession, written()
     first = materialize(_digest(docs, text), "digest")
     members = first.where("kind = 0").select("doc_id", "text_hash", "set_id", "n")
     parts = first.where("kind = 1")
     hot = _hot_slots(parts, max(1, parts.count() // (SLOTS // BLOCK)))
     lists = materialize(_shared_lists(_postings(docs, hot, text)), "lists")
     linked = F.col("common") * (NUM + DEN) >= (F.col("na") + F.col("nb")) * NUM
-    tried = materialize(_verify(materialize(_first_pairs(lists), "leaders"), docs, members, text), "tried")
-    near = tried.where(linked)
-    classes = materialize(components(near.select("a", "b")), "classes")
-    known = classes.select(F.col("node").alias("set_id"), F.col("component").alias("class"))
-    more = materialize(_derived_pairs(tried, known).union(_remaining_pairs(lists, known, tried)), "pairs")
-    later = materialize(_verify(more, docs, members, text), "later")
-    links = near.union(later.where(linked)).drop("bits")
-    if later.where(linked).limit(1).count():
-        classes = materialize(components(links.select("a", "b")), "classes")
-    named = members.join(classes.select(F.col("node").alias("set_id"), "component"), "set_id", "left").select("doc_id", "text_hash", "set_id", "n", F.coalesce("component", "set_id").alias("component"))
-    named = materialize(named, "named")
+    plain = ["a", "b", "na", "nb", "common"]
+
+    def classes_of(links: DataFrame) -> DataFrame:
+        return materialize(components(links.select("a", "b")).select(F.col("node").alias("set_id"), F.col("component").alias("class")), "classes")
+
+    tried = materialize(_answers(materialize(_first_tries(lists), "leaders"), docs, text, 0.5), "tried")
+    led = tried.where(F.col("bits").isNotNull())
+    links = tried.where(linked).select(*plain)
+    classes = classes_of(links)
+    # What left its leader's class is compared with all of the leader's sets.
+    links = materialize(links.unionByName(_group_links(_grouped(led, classes, F.col("class") != F.col("lead_class")))), "links")
+    classes = classes_of(links)
+    more = materialize(_more_tries(lists, classes, led), "more")
+    again = materialize(_answers(more, docs, text, 0.0), "again")
+    moved = again.withColumn("moved", F.lit(True)).unionByName(led.join(again.select("a").distinct(), "a", "left_semi").withColumn("moved", F.lit(False)).select(*again.columns, "moved"))
+    links = materialize(links.unionByName(again.where(linked).select(*plain)).unionByName(_group_links(_grouped(moved, classes, F.col("moved")))), "alllinks")
+    classes = classes_of(links)
+    named = members.join(classes, "set_id", "left").select("doc_id", "text_hash", "set_id", "n", F.coalesce("class", "set_id").alias("component"))
     lowest = named.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("class_id"))
     out = named.join(lowest, "component", "left").select("doc_id", "text_hash", "set_id", "n", "component", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+    out = materialize(out, "named")
+    discard(spark, mark, out, links)
     return out, links
 
 

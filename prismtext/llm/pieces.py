@@ -48,7 +48,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -57,15 +57,21 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, tasks, utf8
+from .common import delete, materialize, shared_dir, tasks, utf8, word_hashes
 from .common import pieces as runs
 
 MARK = "▁"
 UNITS = re.compile(rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 #: Bytes of text in a chunk.
-CHUNK = 24 << 20
+CHUNK = 8 << 20
 #: Starts of substrings in one run of a word.
 STEP = 64
+#: Characters up to which words are merged together.
+LONG = 200
+#: Edges that are folded at a time.
+EDGES = 200_000
+#: Rank of what is no piece.
+NEVER = 1 << 30
 #: Code of a character that no piece holds: this bit and its code point.
 UNKNOWN = 1 << 23
 
@@ -102,28 +108,76 @@ class Pieces:
             raise ValueError("a piece crosses the places at which texts are cut")
         self.longest = max(map(len, self.plain))
         self.unknown = min(s for _, s in self.plain.values()) - 10.0
-        self.cost = dict((i, -s) for i, s in self.plain.values())
+        # Pieces by falling score; equal scores share a rank, so that the leftmost of them merges first.
+        scores = np.full(len(self.text), -np.inf)
+        scores[[i for i, _ in self.plain.values()]] = [s for _, s in self.plain.values()]
+        self.rank = np.unique(-scores, return_inverse=True)[1].astype(np.int32)
         self.spelt: tuple[np.ndarray, np.ndarray] | None = None
 
-    def merged(self, ends: list[list[tuple[int, int]]]) -> list[int]:
-        """BPE codes of a word: at each character its edges (end, code), that of the character alone first."""
-        cost, n = self.cost, len(ends)
-        edges = [dict(x) for x in ends]
-        after = [*range(1, n + 1), 0]  # end of the symbol at a place; 0 where no symbol starts
-        before = list(range(-1, n))  # start of the symbol that ends at a place
-        code = [x[0][1] for x in ends]
-        todo = [(cost[edges[i][i + 2]], i, i + 1, i + 2) for i in range(n - 1) if i + 2 in edges[i]]
-        heapify(todo)
+    def merged(self, s: np.ndarray, e: np.ndarray, code: np.ndarray) -> pa.Array:
+        """BPE codes of words from their edges (s, e, code), in order; a word's first edge is (0, 1).
+
+        All words are merged together, each by its best pair in every step. A
+        word over ``LONG`` characters takes the queue instead.
+        """
+        place = np.cumsum(e - s == 1) - 1  # the character, counted through all words, at which an edge starts
+        first = place[(s == 0) & (e == 1)]
+        n = int(place[-1]) + 1
+        codes, rank = np.zeros((n, self.longest), np.int32), np.full((n, self.longest), NEVER, np.int32)
+        codes[place, e - s - 1] = code
+        rank[place, e - s - 1] = np.where(code < UNKNOWN, self.rank[np.minimum(code, len(self.rank) - 1)], NEVER)
+        size = np.diff(np.append(first, n))
+        heads = np.ones(n + 1, bool)
+        word = np.repeat(np.arange(len(first)), size)
+        start = np.flatnonzero(size[word] <= LONG)
+        end, word = start + 1, word[start]
+        while len(start):
+            wide = end[1:] - start[:-1]
+            ok = (word[1:] == word[:-1]) & (wide <= self.longest)
+            cost = np.full(len(start), NEVER, np.int32)
+            cost[:-1][ok] = rank[start[:-1][ok], wide[ok] - 1]
+            begin = np.flatnonzero(np.diff(word, prepend=-1))
+            count = np.diff(np.append(begin, len(word)))
+            best = np.minimum.reduceat(cost, begin)
+            at = np.flatnonzero((cost == np.repeat(best, count)) & (cost < NEVER))
+            if not len(at):
+                break
+            at = at[np.diff(word[at], prepend=-1) != 0]  # the leftmost of equals
+            heads[start[at + 1]] = False
+            end[at] = end[at + 1]
+            keep = np.repeat(best < NEVER, count)
+            keep[at + 1] = False
+            start, end, word = start[keep], end[keep], word[keep]
+        for k in np.flatnonzero(size > LONG).tolist():
+            self._queue(rank, heads, int(first[k]), int(first[k] + size[k]))
+        start = np.flatnonzero(heads)
+        flat = codes[start[:-1], np.diff(start) - 1]
+        raw = np.stack([flat >> 16, flat >> 8, flat], axis=1).astype(np.uint8)
+        offsets = 3 * np.searchsorted(start, np.append(first, n))
+        return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw.tobytes())])
+
+    def _queue(self, rank: np.ndarray, heads: np.ndarray, a: int, z: int) -> None:
+        """Merges the one word of the characters a to z by a queue of its pairs."""
+        after = {i: i + 1 for i in range(a, z)}
+        before = {i: i - 1 for i in range(a + 1, z + 1)}
+
+        def push(s: int, m: int, e: int) -> None:
+            if e - s <= self.longest and rank[s, e - s - 1] < NEVER:
+                heappush(todo, (int(rank[s, e - s - 1]), s, m, e))
+
+        todo: list[tuple[int, int, int, int]] = []
+        for i in range(a, z - 1):
+            push(i, i + 1, i + 2)
         while todo:
             _, s, m, e = heappop(todo)
-            if after[s] != m or after[m] != e:
+            if after.get(s) != m or after.get(m) != e:
                 continue
-            code[s], after[s], after[m], before[e] = edges[s][e], e, 0, s
-            if s and e in edges[before[s]]:
-                heappush(todo, (cost[edges[before[s]][e]], before[s], s, e))
-            if e < n and after[e] in edges[s]:
-                heappush(todo, (cost[edges[s][after[e]]], s, e, after[e]))
-        return [code[i] for i in range(n) if after[i]]
+            heads[m], after[s], before[e] = False, e, s
+            del after[m]
+            if s > a:
+                push(before[s], s, e)
+            if e < z:
+                push(s, e, after[e])
 
     def ids_of(self, codes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the packed codes, three bytes for each piece or unknown character, and where each code's begin."""
@@ -139,6 +193,22 @@ class Pieces:
             out[at : at + len(ids)] = ids
         return out, start[offsets // 3]
 
+    def spell(self, words: dict[str, int], answers: list[pa.Table]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the keys, in their order, and where each key's begin."""
+        size, got, at, place = np.zeros(len(words), np.int64), np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64)
+        if answers:
+            rows = pa.concat_tables(answers)
+            order = np.argsort(rows["place"].to_numpy())
+            place = rows["place"].to_numpy()[order]
+            got, at = self.ids_of(rows["code"].take(pa.array(order)).combine_chunks())
+            size[place] = np.diff(at)
+        broken = np.fromiter((k[:1] == "\n" for k in words), bool, len(words))
+        begin = np.concatenate([[0], np.cumsum(size + broken)])
+        flat = np.full(begin[-1], self.byte.get(10, 0), np.int32)
+        target = begin[:-1][place] + broken[place]
+        flat[np.repeat(target - at[:-1], size[place]) + np.arange(len(got))] = got
+        return flat, begin
+
     def bytes_of(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
         """The texts, as UTF-8, that lists of ids stand for: ``ids`` one after the other, cut at ``at``."""
         if self.spelt is None:
@@ -161,16 +231,42 @@ def table(path: str) -> Pieces:
 
 
 def units(text: str | None) -> list[str]:
-    """The words of a text: a mark leads it, spaces become marks."""
+    """The words of a text by the rule: a mark leads it, spaces become marks, a word is a run of marks and what follows, or a line break."""
     return UNITS.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
+def keys(text: str | None) -> list[str]:
+    """The words of a text as keys: without their first mark; a line break together with an unmarked word after it.
+
+    Most texts hold single spaces alone and are simply split at these.
+    """
+    if not text:
+        return []
+    if "  " not in text and text[0] != " " and MARK not in text:
+        if "\n" not in text:
+            return text.split(" ")
+        first, *lines = text.split("\n")
+        return [*first.split(" "), *(w for line in lines for w in ("\n" + line).split(" "))]
+    out: list[str] = []
+    for u in units(text):
+        if u[0] == MARK or u == "\n":
+            out.append(u[1:] if u[0] == MARK else u)
+        else:
+            out[-1] += u
+    return out
+
+
+def word_of(key: str) -> str:
+    """The word to be segmented for a key; a line break is no part of it."""
+    return key[1:] if key[:1] == "\n" else MARK + key
+
+
 def distinct(texts: list[str | None]) -> dict[str, int]:
-    """The distinct words of texts, each with its place in order of first use."""
-    words: dict[str, None] = {}
+    """The distinct keys of texts, each with its place in order of first use."""
+    found: dict[str, None] = {}
     for t in texts:
-        words.update(dict.fromkeys(units(t)))
-    return {w: i for i, w in enumerate(words)}
+        found.update(dict.fromkeys(keys(t)))
+    return {w: i for i, w in enumerate(found)}
 
 
 def _packed(table: pa.Table | pa.RecordBatch) -> bytes:
@@ -225,8 +321,7 @@ def release(spark: SparkSession) -> None:
     while _held:
         name, path = _held.pop()
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        delete(spark, path)
 
 
 def _requests(chunks: DataFrame, text: str, parts: int) -> DataFrame:
@@ -236,8 +331,9 @@ def _requests(chunks: DataFrame, text: str, parts: int) -> DataFrame:
         for batch in batches:
             for k in range(len(batch)):
                 rows = _unpacked(batch.column(1)[k].as_py())
-                words = pa.array(distinct(rows.column(text).to_pylist()), pa.string())
-                part = np.array([zlib.crc32(w) % parts for w in words.cast(pa.binary()).to_pylist()], np.int64)
+                words = pa.array([word_of(k) for k in distinct(rows.column(text).to_pylist())], pa.string())
+                raw, at = utf8(words)
+                part = (word_hashes(raw, at[:-1], at[1:]) % np.uint64(parts)).astype(np.int64)
                 # In order of part and word: neighbours share letters, which packs well.
                 order = pc.sort_indices(pa.table({"p": part, "w": words}), sort_keys=[("p", "ascending"), ("w", "ascending")]).to_numpy()
                 cut = np.searchsorted(part[order], np.arange(parts + 1))
@@ -336,35 +432,23 @@ def _merge(edges: DataFrame, pieces: Pieces, carry: tuple[str, ...]) -> DataFram
     path, m = pieces.path, 1 + len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, held = table(path), None
+        pieces, held, size = table(path), [], 0
 
         def close(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
             rows = pa.Table.from_batches(parts).combine_chunks()
             s, e, code = (rows.column(c).to_numpy() for c in ("s", "e", "id"))
-            first = np.flatnonzero((s == 0) & (e == 1))
-            edges, starts, out = list(zip(e.tolist(), code.tolist())), np.flatnonzero(e - s == 1), []
-            places = np.searchsorted(starts, [*first, len(s)]).tolist()
-            starts = [*starts.tolist(), len(s)]
-            for a, b in zip(places, places[1:]):
-                codes = pieces.merged([edges[starts[i] : starts[i + 1]] for i in range(a, b)])
-                out.append(b"".join(x.to_bytes(3, "big") for x in codes))
-            kept = rows.select(["word", *carry]).take(pa.array(first))
-            return kept.append_column("code", pa.array(out, pa.binary())).combine_chunks().to_batches()[0]
+            kept = rows.select(["word", *carry]).take(pa.array(np.flatnonzero((s == 0) & (e == 1))))
+            return kept.append_column("code", pieces.merged(s, e, code)).combine_chunks().to_batches()[0]
 
         for batch in batches:
             # The last word of a batch may go on in the next one.
-            if not len(batch):
-                continue
             first = np.flatnonzero((batch.column(m).to_numpy() == 0) & (batch.column(m + 1).to_numpy() == 1))
-            if held and len(first):
-                yield close([*held, batch.slice(0, first[0])])
-                held = None
-            if not held:
-                if len(first) > 1:
-                    yield close([batch.slice(first[0], first[-1] - first[0])])
-                held = [batch.slice(first[-1])]
-            else:
+            if size + len(batch) > EDGES and len(first) and size + first[-1]:
+                yield close([*held, batch.slice(0, first[-1])])
+                held, size, batch = [], 0, batch.slice(first[-1])
+            if len(batch):
                 held.append(batch)
+                size += len(batch)
         if held:
             yield close(held)
 
@@ -394,15 +478,11 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, functio
                 rows = _unpacked(batch.column(0)[k].as_py())
                 texts = rows.column(text).to_pylist()
                 words = distinct(texts)
-                flat, begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
-                if words:
-                    got = pa.concat_tables([_unpacked(x) for x in batch.column(1)[k].as_py()])
-                    codes = got["code"].take(pa.array(np.argsort(got["place"].to_numpy()))).combine_chunks()
-                    flat, begin = pieces.ids_of(codes)
                 del texts
+                flat, begin = pieces.spell(words, [_unpacked(x) for x in batch.column(1)[k].as_py() or []])
                 for part in runs(iter(rows.to_batches()), text):
                     texts = part.column(part.schema.get_field_index(text)).to_pylist()
-                    used = [list(map(words.__getitem__, units(t))) for t in texts]
+                    used = [list(map(words.__getitem__, keys(t))) for t in texts]
                     at = np.concatenate([[0], np.cumsum([len(u) for u in used])])
                     used = np.fromiter((w for u in used for w in u), np.int64, int(at[-1]))
                     size = begin[used + 1] - begin[used]
