@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -70,6 +71,12 @@ def discard(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
     _written[mark:] = [x for x in _written[mark:] if any(x[1] is k for k in keep)]
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished jobs now. It does so when the driver collects its garbage, which may be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_join(big: DataFrame, small: DataFrame, on: list[str], rows: int, how: str = "left", most: int = 20_000) -> DataFrame:
     """Join a per-key table of ``rows`` rows to a large table.
 

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, discard, materialize, mix64, pieces, utf8, word_hashes, words, written
+from .common import LOWER, discard, materialize, mix64, pieces, sweep, utf8, word_hashes, words, written
 from .components import components
 
 SHINGLE = 5
@@ -403,35 +403,36 @@ def _group_links(rows: DataFrame) -> DataFrame:
     return _each_block(rows, ["list", "block"], found, "a long, b long, na long, nb long, common long")
 
 
-def _each_block(rows: DataFrame, keys: list[str], found, schema: str) -> DataFrame:
-    """``found`` over the rows of each block; blocks are bounded in size."""
+def _each_block(rows: DataFrame, keys: list[str], found, schema: str, short: int = 0, many=None) -> DataFrame:
+    """``found`` over the rows of each block; blocks are bounded in size. Blocks of at most ``short`` rows go to ``many`` together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-
-        def close() -> Iterator[pa.RecordBatch]:
-            t = pa.concat_tables(held).combine_chunks()
-            held.clear()
-            if t.num_rows > 1:
-                out = found(t)
+        def close(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            key = np.stack([t[c].to_numpy() for c in keys])
+            cut = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, [t.num_rows]])
+            size = np.diff(cut)
+            for k in np.flatnonzero(size > max(short, 1)).tolist():
+                out = found(t.slice(cut[k], size[k]))
                 if len(out):
                     yield out
+            some = (size > 1) & (size <= short)
+            if some.any():
+                yield from many(t.filter(pa.array(np.repeat(some, size))).combine_chunks(), size[some])
 
-        last = None
+        held: pa.Table | None = None
         for batch in batches:
             if not len(batch):
                 continue
             t = pa.Table.from_batches([batch])
-            key = np.stack([t[c].to_numpy() for c in keys])
-            cut = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, [t.num_rows]]).tolist()
-            for a, z in zip(cut, cut[1:]):
-                own = tuple(key[:, a].tolist())
-                if held and own != last:
-                    yield from close()
-                last = own
-                held.append(t.slice(a, z - a))
-        if held:
-            yield from close()
+            held = t if held is None else pa.concat_tables([held, t])
+            # The last block may go on in the next batch.
+            key = np.stack([held[c].to_numpy() for c in keys])
+            last = np.flatnonzero((key != key[:, -1:]).any(0))
+            if len(last):
+                yield from close(held.slice(0, last[-1] + 1).combine_chunks())
+                held = held.slice(last[-1] + 1)
+        if held is not None and held.num_rows > 1:
+            yield from close(held.combine_chunks())
 
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
@@ -486,7 +487,31 @@ def _more_tries(lists: DataFrame, classes: DataFrame, led: DataFrame) -> DataFra
         a, b, need = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
         return pa.RecordBatch.from_arrays([pa.array(c) for c in (a, b, need)], names=["a", "b", "need"])
 
-    met = _each_block(rows, ["list", "b1", "b2"], found, "a long, b long, need long")
+    def many(t: pa.Table, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """All pairs of short lists at once, each set against each."""
+        sid, cls, lead, n, place = (t[c].to_numpy() for c in ("set_id", "class", "lead", "n", "place"))
+        alone, start = t["alone"].to_numpy(zero_copy_only=False), np.cumsum(sizes) - sizes
+        steps = np.cumsum(sizes * sizes) // (1 << 21)
+        for step in np.unique(steps):
+            size, first = sizes[steps == step], start[steps == step]
+            lists = np.repeat(np.arange(len(size)), size * size)
+            at = np.arange(len(lists)) - np.repeat(np.cumsum(size * size) - size * size, size * size)
+            x, y = first[lists] + at // size[lists], first[lists] + at % size[lists]
+            ok = (cls[x] != cls[y]) & (lead[x] != lead[y]) & ((alone[y] < alone[x]) | ((alone[y] == alone[x]) & (lead[y] < lead[x])))
+            x, y, lists = x[ok], y[ok], lists[ok]
+            ok = np.minimum(place[x], place[y]) + np.minimum(n[x] - place[x], n[y] - place[y]) >= -((-NUM * (n[x] + n[y])) // (NUM + DEN))
+            x, y, lists = x[ok], y[ok], lists[ok]
+            order = np.lexsort((lead[y], sid[x], lists))
+            x, y, lists = x[order], y[order], lists[order]
+            # A set counts a list once for each leader.
+            new = np.ones(len(x), bool)
+            new[1:] = (lists[1:] != lists[:-1]) | (sid[x[1:]] != sid[x[:-1]]) | (lead[y[1:]] != lead[y[:-1]])
+            head = np.flatnonzero(new)
+            if len(head):
+                need = np.minimum(LEAST, (np.minimum.reduceat(np.minimum(n[x], n[y]), head) * NUM + DEN - 1) // DEN)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (lead[y[head]], sid[x[head]], need)], names=["a", "b", "need"])
+
+    met = _each_block(rows, ["list", "b1", "b2"], found, "a long, b long, need long", 64, many)
     return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min("need").alias("need")).where(F.col("c") >= F.col("need")).select("a", "b")
 
 
@@ -509,6 +534,7 @@ def jaccard_classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Dat
     parts = first.where("kind = 1")
     hot = _hot_slots(parts, max(1, parts.count() // (SLOTS // BLOCK)))
     lists = materialize(_shared_lists(_postings(docs, hot, text)), "lists")
+    sweep(spark)  # the index as it was shuffled is larger than the texts
     linked = F.col("common") * (NUM + DEN) >= (F.col("na") + F.col("nb")) * NUM
     plain = ["a", "b", "na", "nb", "common"]
 
@@ -516,6 +542,7 @@ def jaccard_classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Dat
         return materialize(components(links.select("a", "b")).select(F.col("node").alias("set_id"), F.col("component").alias("class")), "classes")
 
     tried = materialize(_answers(materialize(_first_tries(lists), "leaders"), docs, text, 0.5), "tried")
+    sweep(spark)
     led = tried.where(F.col("bits").isNotNull())
     links = tried.where(linked).select(*plain)
     classes = classes_of(links)
@@ -524,6 +551,7 @@ def jaccard_classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Dat
     classes = classes_of(links)
     more = materialize(_more_tries(lists, classes, led), "more")
     again = materialize(_answers(more, docs, text, 0.0), "again")
+    sweep(spark)
     moved = again.withColumn("moved", F.lit(True)).unionByName(led.join(again.select("a").distinct(), "a", "left_semi").withColumn("moved", F.lit(False)).select(*again.columns, "moved"))
     links = materialize(links.unionByName(again.where(linked).select(*plain)).unionByName(_group_links(_grouped(moved, classes, F.col("moved")))), "alllinks")
     classes = classes_of(links)
