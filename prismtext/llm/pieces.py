@@ -193,14 +193,14 @@ class Pieces:
             out[at : at + len(ids)] = ids
         return out, start[offsets // 3]
 
-    def spell(self, words: dict[str, int], answers: list[pa.Table]) -> tuple[np.ndarray, np.ndarray]:
+    def spell(self, words: dict[str, int], answers: list[tuple[np.ndarray, pa.Array]]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the keys, in their order, and where each key's begin."""
         size, got, at, place = np.zeros(len(words), np.int64), np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64)
         if answers:
-            rows = pa.concat_tables(answers)
-            order = np.argsort(rows["place"].to_numpy())
-            place = rows["place"].to_numpy()[order]
-            got, at = self.ids_of(rows["code"].take(pa.array(order)).combine_chunks())
+            place = np.concatenate([p for p, _ in answers])
+            order = np.argsort(place)
+            got, at = self.ids_of(pa.concat_arrays([c for _, c in answers]).take(pa.array(order)))
+            place = place[order]
             size[place] = np.diff(at)
         broken = np.fromiter((k[:1] == "\n" for k in words), bool, len(words))
         begin = np.concatenate([[0], np.cumsum(size + broken)])
@@ -262,16 +262,16 @@ def word_of(key: str) -> str:
 
 
 def distinct(texts: list[str | None]) -> dict[str, int]:
-    """The distinct keys of texts, each with its place in order of first use."""
-    found: dict[str, None] = {}
+    """The distinct keys of texts, each with its place in sorted order."""
+    found: set[str] = set()
     for t in texts:
-        found.update(dict.fromkeys(keys(t)))
-    return {w: i for i, w in enumerate(found)}
+        found.update(keys(t))
+    return {w: i for i, w in enumerate(sorted(found))}
 
 
-def _packed(table: pa.Table | pa.RecordBatch) -> bytes:
+def _packed(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
         out.write(table)
     return sink.getvalue().to_pybytes()
 
@@ -281,6 +281,25 @@ def _unpacked(raw: bytes) -> pa.Table:
         return stream.read_all()
 
 
+def _lean(place: np.ndarray, values: pa.Array) -> bytes:
+    """Ascending places and what stands there (bytes or text), packed: steps of places, lengths, then the bytes."""
+    raw, offsets = utf8(values)
+    parts = [np.diff(place, prepend=0).astype("<u4").tobytes(), np.diff(offsets).astype("<u4").tobytes(), raw.tobytes()]
+    # Planes of bytes: the high bytes of steps and lengths are nearly all zero.
+    parts[:2] = [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(-1, 4).T).tobytes() for x in parts[:2]]
+    whole = b"".join(parts)
+    return len(place).to_bytes(4, "little") + len(whole).to_bytes(8, "little") + pa.Codec("zstd", compression_level=6).compress(whole, asbytes=True)
+
+
+def _fat(packed: bytes) -> tuple[np.ndarray, pa.Array]:
+    """Places and values (as bytes) again."""
+    n, size = int.from_bytes(packed[:4], "little"), int.from_bytes(packed[4:12], "little")
+    whole = pa.decompress(packed[12:], size, codec="zstd", asbytes=True)
+    number = lambda k: np.ascontiguousarray(np.frombuffer(whole, np.uint8, 4 * n, 4 * n * k).reshape(4, n).T).view("<u4").ravel()
+    offsets = np.concatenate([[0], np.cumsum(number(1), dtype=np.int64)]).astype(np.int32)
+    return np.cumsum(number(0), dtype=np.int64), pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(whole[8 * n :])])
+
+
 #: Chunk tables of this process that have not been dropped.
 _held: list[tuple[str, str]] = []
 
@@ -334,13 +353,11 @@ def _requests(chunks: DataFrame, text: str, parts: int) -> DataFrame:
                 words = pa.array([word_of(k) for k in distinct(rows.column(text).to_pylist())], pa.string())
                 raw, at = utf8(words)
                 part = (word_hashes(raw, at[:-1], at[1:]) % np.uint64(parts)).astype(np.int64)
-                # In order of part and word: neighbours share letters, which packs well.
-                order = pc.sort_indices(pa.table({"p": part, "w": words}), sort_keys=[("p", "ascending"), ("w", "ascending")]).to_numpy()
+                order = np.argsort(part, kind="stable")  # within a part in order of words: neighbours share letters, which packs well
                 cut = np.searchsorted(part[order], np.arange(parts + 1))
                 for p in np.flatnonzero(np.diff(cut)).tolist():
-                    own = pa.array(order[cut[p] : cut[p + 1]])
-                    asked = _packed(pa.table({"word": words.take(own), "place": own.cast(pa.int32())}))
-                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), batch.column(0).slice(k, 1), pa.array([asked], pa.binary())], names=["part", "chunk", "words"])
+                    own = order[cut[p] : cut[p + 1]]
+                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), batch.column(0).slice(k, 1), pa.array([_lean(own, words.take(pa.array(own)))], pa.binary())], names=["part", "chunk", "words"])
 
     return chunks.select("chunk", "rows").mapInArrow(run, "part int, chunk long, words binary")
 
@@ -352,8 +369,8 @@ def _asked_words(requests: DataFrame) -> DataFrame:
         held = []
         for batch in batches:
             for chunk, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                rows = _unpacked(raw)
-                held.append(rows.append_column("chunk", pa.array(np.full(rows.num_rows, chunk, np.int64))))
+                place, words = _fat(raw)
+                held.append(pa.table({"word": words.cast(pa.string()), "place": place.astype(np.int32), "chunk": np.full(len(place), chunk)}))
         if held:
             words = pa.concat_tables(held).group_by("word").aggregate([("chunk", "list"), ("place", "list")])
             yield from words.select(["word", "chunk_list", "place_list"]).rename_columns(["word", "chunk", "place"]).combine_chunks().to_batches(4096)
@@ -362,23 +379,19 @@ def _asked_words(requests: DataFrame) -> DataFrame:
     return requests.repartition("part").mapInArrow(run, "word string, chunk array<long>, place array<int>")
 
 
-def _answers(coded: DataFrame) -> DataFrame:
+def _answers(coded: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(chunk, codes): what a task's words came to, packed for each chunk that asked."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for batch in batches:
-            chunk, place, code = (batch.column(batch.schema.get_field_index(c)) for c in ("chunk", "place", "code"))
-            back = pa.array(np.repeat(np.arange(len(batch)), pc.list_value_length(chunk).to_numpy()))
-            held.append(pa.table({"chunk": chunk.flatten(), "place": place.flatten(), "code": code.take(back)}))
-        if held:
-            rows = pa.concat_tables(held).sort_by([("chunk", "ascending"), ("place", "ascending")]).combine_chunks()
-            chunk = rows["chunk"].to_numpy()
-            cut = np.append(np.flatnonzero(np.diff(chunk, prepend=-1)), len(chunk)).tolist()
-            for a, z in zip(cut, cut[1:]):
-                yield pa.RecordBatch.from_arrays([pa.array(chunk[a : a + 1]), pa.array([_packed(rows.slice(a, z - a).select(["place", "code"]))], pa.binary())], names=["chunk", "codes"])
-
-    return coded.select("chunk", "place", "code").mapInArrow(run, "chunk long, codes binary")
+    held = []
+    for batch in coded:
+        chunk, place, code = (batch.column(batch.schema.get_field_index(c)) for c in ("chunk", "place", "code"))
+        back = pa.array(np.repeat(np.arange(len(batch)), pc.list_value_length(chunk).to_numpy()))
+        held.append(pa.table({"chunk": chunk.flatten(), "place": place.flatten(), "code": code.take(back)}))
+    if held:
+        rows = pa.concat_tables(held).sort_by([("chunk", "ascending"), ("place", "ascending")]).combine_chunks()
+        chunk, place = rows["chunk"].to_numpy(), rows["place"].to_numpy()
+        cut = np.append(np.flatnonzero(np.diff(chunk, prepend=-1)), len(chunk)).tolist()
+        for a, z in zip(cut, cut[1:]):
+            yield pa.RecordBatch.from_arrays([pa.array(chunk[a : a + 1]), pa.array([_lean(place[a:z], rows["code"].slice(a, z - a).combine_chunks())], pa.binary())], names=["chunk", "codes"])
 
 
 def piece_frame(spark: SparkSession, pieces: Pieces) -> DataFrame:
@@ -390,8 +403,11 @@ def _bound(x: Column, f) -> Column:
     return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
-def segment(words: DataFrame, pieces: Pieces, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(word, carry, code) for rows of distinct words with more columns; code packs three bytes a piece."""
+def segment(words: DataFrame, pieces: Pieces, carry: tuple[str, ...] = (), finish=None, schema: str = "") -> DataFrame:
+    """(word, carry, code) for rows of distinct words with more columns; code packs three bytes a piece.
+
+    ``finish`` turns a task's batches of this into others, by ``schema``.
+    """
     longest, worst = pieces.longest, pieces.unknown
 
     # Runs of STEP starts with what a piece from the last of them may reach: a place is found without counting from the word's start.
@@ -408,7 +424,7 @@ def segment(words: DataFrame, pieces: Pieces, carry: tuple[str, ...] = ()) -> Da
     edges = edges.where(F.col("id").isNotNull() | (F.col("e") - F.col("s") == 1))
     code = F.coalesce(F.col("id"), F.ascii("piece") + F.lit(UNKNOWN))
     if pieces.merges:
-        return _merge(edges.select("word", *carry, "s", "e", code.alias("id")), pieces, carry)
+        return _merge(edges.select("word", *carry, "s", "e", code.alias("id")), pieces, carry, finish, schema)
     edge = F.struct("s", code.alias("id"), F.coalesce("score", F.lit(worst)).alias("score"))
     by_end = edges.groupBy("word", "e").agg(F.collect_list(edge).alias("edges"), *[F.first(c, True).alias(c) for c in carry])
     by_word = by_end.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("e", "edges"))).alias("ends"), *[F.first(c, True).alias(c) for c in carry])
@@ -424,10 +440,11 @@ def segment(words: DataFrame, pieces: Pieces, carry: tuple[str, ...] = ()) -> Da
 
     path = F.aggregate("ends", start, step, lambda r: F.get(r, F.size(r) - 1)["path"])
     packed = F.unhex(F.array_join(F.transform(path, lambda i: F.lpad(F.hex(i), 6, "0")), ""))
-    return by_word.select("word", *carry, packed.alias("code"))
+    coded = by_word.select("word", *carry, packed.alias("code"))
+    return coded.mapInArrow(finish, schema) if finish else coded
 
 
-def _merge(edges: DataFrame, pieces: Pieces, carry: tuple[str, ...]) -> DataFrame:
+def _merge(edges: DataFrame, pieces: Pieces, carry: tuple[str, ...], finish, schema: str) -> DataFrame:
     """The BPE fold of ``segment``. Edges come in the order of the explosion; word and carry stand on the first of each word."""
     path, m = pieces.path, 1 + len(carry)
 
@@ -453,6 +470,8 @@ def _merge(edges: DataFrame, pieces: Pieces, carry: tuple[str, ...]) -> DataFram
             yield close(held)
 
     more = "".join(f"{c} {edges.schema[c].dataType.simpleString()}, " for c in carry)
+    if finish:  # in the same Python worker
+        return edges.mapInArrow(lambda batches: finish(run(batches)), schema)
     return edges.mapInArrow(run, f"word string, {more}code binary")
 
 
@@ -466,7 +485,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, functio
     docs = docs.select(*[c for c in docs.columns if c not in added or c == text])
     chunks = _chunks(docs, text)
     words = _asked_words(_requests(chunks, text, 4 * max(8, tasks(docs.sparkSession))))
-    back = _answers(segment(words, table(path), ("chunk", "place")))
+    back = segment(words, table(path), ("chunk", "place"), _answers, "chunk long, codes binary")
     codes = back.groupBy("chunk").agg(F.collect_list("codes").alias("codes"))
     both = chunks.join(codes.hint("shuffle_hash"), "chunk", "left").select("rows", "codes")
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema)
@@ -479,7 +498,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, functio
                 texts = rows.column(text).to_pylist()
                 words = distinct(texts)
                 del texts
-                flat, begin = pieces.spell(words, [_unpacked(x) for x in batch.column(1)[k].as_py() or []])
+                flat, begin = pieces.spell(words, [_fat(x) for x in batch.column(1)[k].as_py() or []])
                 for part in runs(iter(rows.to_batches()), text):
                     texts = part.column(part.schema.get_field_index(text)).to_pylist()
                     used = [list(map(words.__getitem__, keys(t))) for t in texts]
