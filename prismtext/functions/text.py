@@ -26,5 +26,8 @@ def user_text(messages: Column, last: Column, query: Column, prompt: Column, giv
 
 
 def search_text(messages: Column, last: Column) -> Column:
-    """The text to search by: the last statement, else the last message; null if there is neither."""
+    """The text to search by: the last statement, else the last message; null if there is neither.
+
+    A payload that is no object is searched by as it is: cast it to a string.
+    """
     return F.coalesce(_some(last), _some(F.try_element_at(messages, F.lit(-1))["content"]))

@@ -36,7 +36,7 @@ def address(host: str, path: str) -> str:
 
 
 def ask(df: DataFrame, payload: str, url: str, make: Callable[[], Transport] = http_transport) -> DataFrame:
-    """``df`` with answer (JSON text) and error: the payload column (JSON text) posted to a service, one connection per task."""
+    """``df`` with answer (JSON text) and error: the payload column (JSON text) posted to a service; each task sets up one transport."""
     columns = df.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

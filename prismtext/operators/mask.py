@@ -32,6 +32,10 @@ def placeholder(tag: Column, original: Column) -> Column:
     return F.concat(F.lit("{{"), tag, F.lit("}}"))
 
 
+#: Such names bring no digit, @ or address into a text, so what a text lacks at first it lacks throughout.
+placeholder.plain = True
+
+
 def pseudonym(salt: str = "") -> Callable[[Column, Column], Column]:
     """``{TAG_letters}`` from a keyed hash: equal values get equal names in every task and run.
 
@@ -42,9 +46,16 @@ def pseudonym(salt: str = "") -> Callable[[Column, Column], Column]:
         spelt = F.translate(F.substring(F.sha2(F.concat(F.lit(salt + "\x1f"), original), 256), 1, 20), "0123456789abcdef", "ghijklmnopqrstuv")
         return F.concat(F.lit("{"), tag, F.lit("_"), spelt, F.lit("}"))
 
+    name.plain = True
     return name
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores where its files make fewer tasks than there are cores: masking is work, reading is not."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _piece(text: Column, tag: str | None = None, original: Column | None = None, hit: Column | None = None) -> Column:
     found = F.lit(tag).cast("string") if hit is None else F.when(hit, F.lit(tag))
     value = F.lit(None).cast("string") if original is None else original
@@ -106,13 +117,17 @@ def _account(rule: Rule, text: Column) -> Column:
     return let(cut, lambda parts: F.aggregate(seen(parts), start, step, lambda s: s["pieces"]))
 
 
-def _pieces(rule: Rule, text: Column, compat: bool) -> Column:
-    """The text cut into pieces by one rule; null where the rule has no candidate."""
+def _pieces(rule: Rule, text: Column, compat: bool, digits: Column | None = None) -> Column:
+    """The text cut into pieces by one rule; null where the rule has no candidate.
+
+    With the text's number of digits the rule's gate is asked before its pattern.
+    """
     if rule.kind == "address":
         cut = _address(rule, text, compat)
     else:
         cut = _account(rule, text) if rule.kind == "account" else _plain(rule, text)
-    return F.when(F.regexp_like(text, F.lit(rule.pattern)), cut)
+    hit = F.regexp_like(text, F.lit(rule.pattern))
+    return F.when(hit if digits is None or rule.gate is None else rule.gate(text, digits) & hit, cut)
 
 
 def _joined(pieces: Column, name: Callable[[Column, Column], Column]) -> Column:
@@ -131,15 +146,18 @@ def mask_text(df: DataFrame, text: str, rules: Sequence[Rule] | None = None, nam
     """
     done = F.coalesce(whole(F.col(text), MASKED), F.lit(True))
     out = df.withColumns({"_text": F.when(~done, _unmarked(F.col(text))), "_found": F.array().cast(f"array<{FINDING}>")})
+    digits = None
+    if getattr(name, "plain", False):
+        out, digits = out.withColumn("_digits", F.regexp_count("_text", F.lit(r"(?U)\d"))), F.col("_digits")
     for k, rule in enumerate(rules or RULES):
-        out = out.withColumn("_pieces", _pieces(rule, F.col("_text"), compat))
+        out = out.withColumn("_pieces", _pieces(rule, F.col("_text"), compat, digits))
         hits = F.transform(
             F.filter("_pieces", lambda p: p["tag"].isNotNull()),
             lambda p, i: F.struct(p["tag"].alias("tag"), p["original"].alias("original"), name(p["tag"], p["original"]).alias("replacement"), F.lit(k).alias("rule"), i.alias("ord")),
         )
         found = F.when(F.col("_pieces").isNull(), F.col("_found")).otherwise(F.concat("_found", hits))
         out = out.withColumns({"_text": F.coalesce(_joined(F.col("_pieces"), name), F.col("_text")), "_found": found})
-    return out.withColumns({"masked": F.coalesce("_text", text), "findings": F.col("_found")}).drop("_text", "_found", "_pieces")
+    return out.withColumns({"masked": F.coalesce("_text", text), "findings": F.col("_found")}).drop("_text", "_found", "_pieces", "_digits")
 
 
 def apply_rule(text: Column, rule: Rule, name: Callable[[Column, Column], Column] = placeholder, compat: bool = True) -> Column:
@@ -186,5 +204,37 @@ def mask_json(df: DataFrame, column: str, schema: T.DataType, rules: Sequence[Ru
 
 
 def findings(df: DataFrame, text: str, keys: Sequence[str], rules: Sequence[Rule] | None = None, name: Callable[[Column, Column], Column] = placeholder) -> DataFrame:
-    """One row per finding: the keys, tag, original, replacement, rule, ord."""
-    return mask_text(df.select(*keys, text), text, rules, name).select(*keys, F.explode("findings").alias("f")).select(*keys, "f.*")
+    """One row per finding: the keys, tag, original, replacement, rule, ord.
+
+    A plain explode lets the optimizer ask for a non-empty list below all rules,
+    and so work them all out twice; an outer one keeps empty lists until here.
+    """
+    rows = mask_text(df.select(*keys, text), text, rules, name).select(*keys, F.explode_outer("findings").alias("f"))
+    return rows.where(F.col("f.tag").isNotNull()).select(*keys, "f.*")
+
+
+def masker(rules: Sequence[Rule] | None = None, name: Callable[[Column, Column], Column] = placeholder, compat: bool = True) -> Callable[[DataFrame, str], DataFrame]:
+    """A stage for ``mask_in_turn``: the rules, with the values they found as mappings (replacement to original)."""
+
+    def stage(df: DataFrame, text: str) -> DataFrame:
+        out = mask_text(df, text, rules, name, compat)
+        pairs = F.transform("findings", lambda f: F.struct(f["replacement"].alias("key"), f["original"].alias("value")))
+        last = let(pairs, lambda es: F.filter(es, lambda e, i: ~F.exists(F.slice(es, i + 2, F.size(es)), lambda later: later["key"] == e["key"])))
+        return out.withColumn(text, F.col("masked")).withColumn("mappings", F.map_from_entries(last)).drop("masked", "findings")
+
+    return stage
+
+
+def mask_in_turn(df: DataFrame, text: str, stages: Sequence[Callable[[DataFrame, str], DataFrame]]) -> DataFrame:
+    """Several maskers one after the other over a text column; ``mappings`` unites theirs, of equal keys the last wins.
+
+    A stage takes (df, text) and gives ``df`` with the text masked and a map ``mappings``.
+    """
+    kind = "map<string,string>"
+    out = df.withColumn("_mappings", F.create_map().cast(kind))
+    for stage in stages:
+        out = stage(out, text)
+        new = F.coalesce(F.col("mappings"), F.create_map().cast(kind))
+        kept = F.map_filter("_mappings", lambda k, v: ~F.map_contains_key(new, k))
+        out = out.withColumn("_mappings", F.map_concat(kept, new)).drop("mappings")
+    return out.withColumnRenamed("_mappings", "mappings")

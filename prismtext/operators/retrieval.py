@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -49,16 +50,32 @@ def number_chunks(cut: DataFrame, key: str, block: int = 65_536) -> DataFrame:
 
 
 def hashed(texts: pd.Series, size: int) -> np.ndarray:
-    """Unit vectors of hashed, signed word counts; a text without words has the zero vector."""
-    out = np.zeros((len(texts), size), np.float32)
-    for row, text in zip(out, texts):
-        for word in (text or "").lower().split():
-            h = zlib.crc32(word.encode())
-            row[h % size] += 1 if h >> 31 else -1
-    norm = np.sqrt((out.astype(np.float64) ** 2).sum(1, keepdims=True))
+    """Unit vectors of hashed, signed word counts; a text without words has the zero vector. Each distinct word is hashed once."""
+    lists = [(t or "").lower().split() for t in texts]
+    codes, words = pd.factorize(np.array([w for ws in lists for w in ws], dtype=object))
+    h = np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64, len(words))
+    row = np.repeat(np.arange(len(lists)), [len(ws) for ws in lists])
+    out = np.bincount(row * size + (h % size)[codes], np.where(h >> 31, 1.0, -1.0)[codes], len(lists) * size).reshape(-1, size)
+    norm = np.sqrt((out**2).sum(1, keepdims=True))
     return (out / np.where(norm > 0, norm, 1)).astype(np.float32)
 
 
+def pooled(states: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> Callable[[pd.Series, int], np.ndarray]:
+    """An embedder from a model of token states: ``states(texts)`` gives (texts, tokens, size) and a mask of real tokens.
+
+    States are averaged under the mask and brought to unit length; a text without tokens has the zero vector.
+    """
+
+    def embedder(texts: pd.Series, size: int) -> np.ndarray:
+        state, mask = states([t or "" for t in texts])
+        weight = mask[:, :, None].astype(np.float64)
+        mean = (state * weight).sum(1) / np.maximum(weight.sum(1), 1)
+        norm = np.linalg.norm(mean, axis=1, keepdims=True)
+        return (mean / np.where(norm > 0, norm, 1)).astype(np.float32)
+
+    return embedder
+
+
 def embed(df: DataFrame, text: str, embedder: Callable[[pd.Series, int], np.ndarray] = hashed, size: int = 64) -> DataFrame:
     """``df`` with embedding, by any function from texts to a matrix of unit rows; it is set up once per worker."""
 
@@ -115,6 +132,57 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id
 
 def with_context(prompt: Column, parts: Column) -> Column:
     """The prompt with the found chunks below it; unchanged if there are none."""
-    body = F.array_join(F.transform(parts, lambda p: F.concat(F.lit("\n\n"), F.trim(p), F.lit("\n"))), "\n")
+    body = F.array_join(F.transform(parts, lambda p: F.concat(F.lit("\n\n"), F.regexp_replace(p, r"(?U)\A\s+|\s+\z", ""), F.lit("\n"))), "\n")
     block = F.concat(F.lit(CONTEXT_HEAD + "\n    \n"), F.regexp_replace(body, r"\A\s+|\s+\z", ""))
     return F.when(F.coalesce(F.size(parts), F.lit(0)) > 0, F.concat(prompt, F.lit("\n\n"), block)).otherwise(prompt)
+
+
+@dataclass(frozen=True)
+class Settings:
+    """How texts are cut and embedded, and where the store lies. Searching is off without a name and an embedder."""
+
+    collection: str | None = None
+    embedder: str | None = None
+    folder: str | None = None
+    size: int = 400
+    overlap: int = 100
+
+    @classmethod
+    def read(cls, values: Mapping[str, str], prefix: str = "RAG_") -> Settings:
+        """From environment variables: COLLECTION, EMBEDDER, PERSIST_DIR, CHUNK_SIZE, CHUNK_OVERLAP under a prefix."""
+        get = lambda k: values.get(prefix + k) or None
+        return cls(get("COLLECTION"), get("EMBEDDER"), get("PERSIST_DIR"), int(get("CHUNK_SIZE") or 400), int(get("CHUNK_OVERLAP") or 100))
+
+    @property
+    def enabled(self) -> bool:
+        return bool(self.collection and self.embedder and self.size and self.overlap)
+
+
+def index_texts(df: DataFrame, key: str, text: str, store: str | None = None, embedder: Callable[[pd.Series, int], np.ndarray] = hashed, dims: int = 64, size: int = 400, overlap: int = 100) -> DataFrame:
+    """Clear, cut, number and embed texts: (key, chunk_no, chunk, chunk_id, embedding); appended to the store, if any.
+
+    Numbers go on after the store's largest. Null and blank texts have no chunks.
+    """
+    cut = number_chunks(chunks(df, key, text, size, overlap), key)
+    held = load_store(df.sparkSession, store) if store else None
+    if held is not None:
+        cut = cut.withColumn("chunk_id", F.col("chunk_id") + (held.agg(F.max("chunk_id")).first()[0] or -1) + 1)
+    out = embed(cut, "chunk", embedder, dims)
+    if store:
+        out.write.mode("append").parquet(store)
+        return load_store(df.sparkSession, store)
+    return out
+
+
+def load_store(spark: SparkSession, store: str) -> DataFrame | None:
+    """The chunks of a store, or None where there is none yet."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
+    return spark.read.parquet(store) if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder) else None
+
+
+def search(store: DataFrame | None, queries: DataFrame, text: str, k: int = 10, embedder: Callable[[pd.Series, int], np.ndarray] = hashed, dims: int = 64) -> DataFrame:
+    """query_id, chunk_id, score, rank, chunk: for each query text the ``k`` most similar chunks; none without a store."""
+    if store is None:
+        return queries.sparkSession.createDataFrame([], "query_id long, chunk_id long, score double, rank int, chunk string")
+    asked = embed(queries.select("query_id", text), text, embedder, dims).select("query_id", "embedding")
+    return nearest(store, asked, k, "chunk_id").join(store.select("chunk_id", "chunk"), "chunk_id").select("query_id", "chunk_id", "score", "rank", "chunk")

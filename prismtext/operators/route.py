@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from prismtext.functions.text import estimate_tokens
@@ -35,14 +39,31 @@ class Routing:
 
 def _weight(phrase: str) -> tuple[str, float]:
     text, colon, weight = phrase.rpartition(":")
-    return (text.lower(), float(weight)) if colon else (phrase.lower(), 2.0)
+    return (text.strip().lower(), float(weight)) if colon else (phrase.lower(), 2.0)
 
 
-def score(text: Column, intent: Intent) -> Column:
-    """Sum of the weights of the terms that occur in the lowered text, each once."""
-    terms = [(k.lower(), float(intent.weights.get(k, 1))) for k in intent.keywords] + [_weight(p) for p in intent.phrases]
+def usable(pattern: str) -> bool:
+    """Is this an expression that Spark can match by? Others count for nothing instead of failing the job."""
+    session = SparkSession.getActiveSession()
+    try:
+        if session is None:
+            re.compile(pattern)
+        else:
+            session.sparkContext._jvm.java.util.regex.Pattern.compile(f"(?U){pattern}")
+    except (re.error, Py4JJavaError, PySparkException):
+        return False
+    return True
+
+
+def score(text: Column, intent: Intent, compat: bool = True) -> Column:
+    """Sum of the weights of the terms that occur in the lowered text, each once.
+
+    With ``compat`` a keyword is compared as given, so one with capitals never occurs in a lowered text; without it
+    keywords are lowered too.
+    """
+    terms = [(k if compat else k.lower(), float(intent.weights.get(k, 1))) for k in intent.keywords] + [_weight(p) for p in intent.phrases]
     points = [F.when(F.contains(text, F.lit(t)), w).otherwise(0.0) for t, w in terms]
-    points += [F.when(F.regexp_like(text, F.lit(f"(?U){p}")), 3.0).otherwise(0.0) for p in intent.patterns]
+    points += [F.when(F.regexp_like(text, F.lit(f"(?U){p}")), 3.0).otherwise(0.0) for p in intent.patterns if usable(p)]
     # Summing an array keeps the expression flat, however many terms there are.
     return F.aggregate(F.array(*points), F.lit(0.0), lambda a, x: a + x) if points else F.lit(0.0)
 
@@ -111,3 +132,8 @@ def load_routing(settings: dict, models: Sequence[str], overrides: dict[str, str
     if given.get("default_model"):
         defaults["simple"] = given["default_model"]
     return Routing(intents, [m for m in given.get("models", "").split("|") if m] or list(models), defaults, simple, medium)
+
+
+def read_routing(spark: SparkSession, path: str, models: Sequence[str], overrides: dict[str, str] | None = None) -> Routing:
+    """A routing from a JSON catalogue in any store that Spark reads; see ``load_routing``."""
+    return load_routing(json.loads(spark.read.text(path, wholetext=True).first()[0]), models, overrides)

@@ -15,6 +15,7 @@ from prismtext.functions import text as t
 from prismtext.functions import validators as v
 from prismtext.operators import guard, mapping, mask, retrieval, route
 from prismtext.operators.rules import RULES
+from prismtext.rule_queries import queries as rule_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -142,27 +143,32 @@ DETECTS = {
 }
 
 WORDS_SQL = "len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+'))"
-# Terms, weights and targets of a small routing.
-ROUTING = route.Routing(
-    [
-        route.Intent("code", ["code", "py", "class"], ["write code:5", "debug"], ["git\\s+(commit|push)"], {"code": 3}, "medium"),
-        route.Intent("math", ["math", "sum"], ["matrix:2"], ["\\b\\d+\\s*[+*/-]\\s*\\d+\\b"], {"sum": 2}, "medium"),
-        route.Intent("creative", ["story", "la"], [], [], {"story": 2}, "simple"),
-        route.Intent("general", ["how", "co", "ne"], ["what is:4"], [], {}, "simple"),
-    ],
-    ["small", "middle", "large"],
-    {"simple": "small", "medium": "middle"},
-)
+#: A catalogue of the form that ``route.load_routing`` reads: eight intents, terms in English and in the tables' made-up syllables.
+CATALOGUE = {
+    "settings": {"len_thresholds_max": {"simple": 25, "medium": 150}, "default_models": {"simple": "small", "medium": "middle", "complex": "large"}, "intent_adjustment": {"code": "medium", "math": "medium", "analysis": "complex", "creative": "simple", "translation": "simple", "data": "complex", "planning": "medium"}},
+    "intents": {
+        "code": {"keywords": ["code", "py", "class", "function", "bug", "compile", "script", "git"], "phrases": ["write code:5", "debug", " stack trace : 4"], "patterns": ["git\\s+(commit|push)", "def\\s+\\w+", "(unclosed"], "weights": {"code": 3, "function": 2}},
+        "math": {"keywords": ["math", "sum", "integral", "prove", "equation", "algebra"], "phrases": ["matrix:2", "square root:3"], "patterns": ["\\b\\d+\\s*[+*/-]\\s*\\d+\\b"], "weights": {"sum": 2}},
+        "analysis": {"keywords": ["analyse", "compare", "evaluate", "tion", "reason"], "phrases": ["pros and cons:4", "root cause:3"], "patterns": ["why\\s+(is|are|do|does)"], "weights": {"tion": 0.5}},
+        "creative": {"keywords": ["story", "poem", "la", "novel", "lyric"], "phrases": ["once upon:3"], "patterns": [], "weights": {"story": 2}},
+        "translation": {"keywords": ["translate", "French", "ung", "ment"], "phrases": ["in german:3", "how do you say:4"], "patterns": [], "weights": {"ung": 0.5}},
+        "data": {"keywords": ["table", "query", "column", "csv", "join"], "phrases": ["group by:3", "data frame:3"], "patterns": ["select\\s+.+\\s+from"], "weights": {"query": 2}},
+        "planning": {"keywords": ["plan", "schedule", "deadline", "ste"], "phrases": ["step by step:3"], "patterns": [], "weights": {}},
+        "general": {"keywords": ["how", "co", "ne", "hello", "thanks"], "phrases": ["what is:4"], "patterns": [], "weights": {}},
+    },
+}
+ROUTING = route.load_routing(CATALOGUE, ["small", "middle", "large"])
 
 
 def _points(intent: route.Intent, text: str) -> str:
     terms = [(k, float(intent.weights.get(k, 1))) for k in intent.keywords] + [route._weight(p) for p in intent.phrases]
-    parts = [f"case when contains({text}, '{k}') then {w} else 0.0 end" for k, w in terms] + [f"case when regexp_matches({text}, '{p}') then 3.0 else 0.0 end" for p in intent.patterns]
+    parts = [f"case when contains({text}, '{k}') then {w} else 0.0 end" for k, w in terms] + [f"case when regexp_matches({text}, '{p}') then 3.0 else 0.0 end" for p in intent.patterns if p.count("(") == p.count(")")]
     return "cast(" + " + ".join(parts) + " as double)"
 
 
 _SCORES_SQL = "select conv_id, turn, text, " + ", ".join(f"{_points(i, 'lower(text)')} as {i.name}_score" for i in ROUTING.intents) + " from conversations"
-_CLASS_SQL = f"select conv_id, turn, text, case when greatest(code_score, math_score, creative_score, general_score) <= 0 then 'none' when code_score = greatest(code_score, math_score, creative_score, general_score) then 'code' when math_score = greatest(math_score, creative_score, general_score) then 'math' when creative_score = greatest(creative_score, general_score) then 'creative' else 'general' end as intent from ({_SCORES_SQL})"
+_BEST = "greatest(" + ", ".join(f"{i.name}_score" for i in ROUTING.intents) + ")"
+_CLASS_SQL = f"select conv_id, turn, text, case when {_BEST} <= 0 then 'none' " + " ".join(f"when {i.name}_score = {_BEST} then '{i.name}'" for i in ROUTING.intents) + f" end as intent from ({_SCORES_SQL})"
 _LEVEL_SQL = f"case when floor({WORDS_SQL} * 1.25) <= 25 then 'simple' when floor({WORDS_SQL} * 1.25) <= 150 then 'medium' else 'complex' end"
 
 
@@ -179,27 +185,55 @@ def select_model(spark, sf_dir):
     return _turns(spark, sf_dir).select("conv_id", "turn", route.select_model(route.classify(F.col("text"), ROUTING), route.complexity(F.col("text"), ROUTING), ROUTING).alias("model"))
 
 
+def route_model(spark, sf_dir):
+    """What model each turn is sent to: every third asks for one by name, the others leave it to the routing; every fifth has no text."""
+    rows = _turns(spark, sf_dir).withColumn("asked", F.when(F.col("turn") % 3 == 2, "own").otherwise("auto")).withColumn("given", F.when(F.col("turn") % 5 != 4, F.col("text")))
+    return rows.select("conv_id", "turn", route.route(F.col("asked"), F.col("given"), ROUTING).alias("model"))
+
+
 def last_statement(spark, sf_dir):
-    """The last message of every conversation, as the text to route by."""
+    """The text to route by, of payloads that hold it in a different field each: the messages, the last statement, query, prompt or input."""
     last = _turns(spark, sf_dir).groupBy("conv_id").agg(F.max_by("text", "turn").alias("last"))
-    none = F.lit(None).cast("string")
-    messages = F.lit(None).cast("array<struct<role:string,content:string>>")
-    return last.select("conv_id", t.user_text(messages, F.col("last"), none, none, none).alias("text"))
+    only = lambda k, value: F.when(F.col("conv_id") % 5 == k, value)
+    messages = only(0, F.array(F.struct(F.lit("user").alias("role"), F.lit("first").alias("content")), F.struct(F.lit("user").alias("role"), F.col("last").alias("content"))))
+    return last.select("conv_id", t.user_text(messages, *[only(k, F.col("last")) for k in (1, 2, 3, 4)]).alias("text"))
+
+
+def search_texts(spark, sf_dir):
+    """The text to search by: the last statement of even conversations, else the last message."""
+    last = _turns(spark, sf_dir).groupBy("conv_id").agg(F.max_by("text", "turn").alias("last"), F.max_by("role", "turn").alias("role"))
+    messages = F.array(F.struct(F.col("role"), F.concat(F.lit("m "), F.col("last")).alias("content")))
+    return last.select("conv_id", t.search_text(messages, F.when(F.col("conv_id") % 2 == 0, F.col("last"))).alias("text"))
+
+
+def index_build(spark, sf_dir):
+    """All documents cleared, cut, numbered and embedded: of each chunk its first word, its length and whether its vector has unit length."""
+    built = retrieval.index_texts(mask.spread(documents(spark, sf_dir).where("doc_id is not null")), "doc_id", "text")
+    norm = F.aggregate("embedding", F.lit(0.0).cast("double"), lambda a, x: a + x * x)
+    return built.select("doc_id", "chunk_no", F.regexp_extract("chunk", "^[^ ]+", 0).alias("first_word"), F.length("chunk").alias("n_chars"), (F.abs(norm - 1) < 1e-3).alias("unit"))
+
+
+def mask_in_turn(spark, sf_dir):
+    """Two maskers over every turn, with their mappings united: addresses, then order numbers."""
+    texts = _turns(spark, sf_dir).select("conv_id", "turn", F.concat("text", F.lit(" ask a.b@c.org, ORDER-1234")).alias("text"))
+    done = mask.mask_in_turn(texts, "text", [mask.masker([_RULE["EMAIL"]]), mask.masker([_RULE["ORDER_NUMBER"]])])
+    return done.select("conv_id", "turn", F.right("text", F.lit(31)).alias("tail"), F.try_element_at("mappings", F.lit("{{EMAIL}}")).alias("email"), F.try_element_at("mappings", F.lit("{{ORDER_NUMBER}}")).alias("order_number"))
 
 
 def findings_by_tag_lang(spark, sf_dir):
     """Findings of e-mail addresses and IPv4 addresses by tag and language."""
-    found = mask.findings(documents(spark, sf_dir), "text", ["lang"], [_RULE["EMAIL"], _RULE["IP"]])
+    found = mask.findings(mask.spread(documents(spark, sf_dir)), "text", ["lang"], [_RULE["EMAIL"], _RULE["IP"]])
     return found.groupBy("tag", "lang").agg(F.count(F.lit(1)).alias("n"))
 
 
 def mask_full(spark, sf_dir):
     """All 33 rules over every document: masked text and number of findings."""
-    return mask.mask_text(documents(spark, sf_dir).select("doc_id", "text"), "text").select("doc_id", "masked", F.size("findings").alias("n_findings"))
+    return mask.mask_text(mask.spread(documents(spark, sf_dir).select("doc_id", "text")), "text").select("doc_id", "masked", F.size("findings").alias("n_findings"))
 
 
 def mapping_dim(spark, sf_dir):
-    found = mask.findings(documents(spark, sf_dir), "text", ["doc_id"], [_RULE["EMAIL"], _RULE["IP"]])
+    """Pseudonyms of all that the whole catalogue finds."""
+    found = mask.findings(mask.spread(documents(spark, sf_dir)), "text", ["doc_id"])
     return mapping.mapping_table(found)
 
 
@@ -250,12 +284,13 @@ def inject_context(spark, sf_dir):
     return orders(spark, sf_dir).select("o_orderkey", retrieval.with_context(F.col("o_orderpriority"), parts).alias("prompt"))
 
 
+RULE_QUERIES, RULE_SQL = rule_queries({k: (text[1], sql) for k, (text, _, sql) in CHECKS.items()})
 QUERIES: dict[str, Query] = {
     "findings_by_tag_lang": findings_by_tag_lang,
     **{k: _check(text[0], rule) for k, (text, rule, _) in CHECKS.items()},
     **{k: _mask(tag, text[0]) for k, (tag, text, _) in MASKS.items()},
     **{k: _detect(rule, text[0]) for k, (rule, text, _) in DETECTS.items()},
-    "mask_email": lambda spark, sf_dir: documents(spark, sf_dir).select("doc_id", mask.apply_rule(F.col("text"), _RULE["EMAIL"]).alias("masked")),
+    "mask_email": lambda spark, sf_dir: mask.spread(documents(spark, sf_dir)).select("doc_id", mask.apply_rule(F.col("text"), _RULE["EMAIL"]).alias("masked")),
     "detect_ipv4": lambda spark, sf_dir: documents(spark, sf_dir).select("doc_id", F.array_join(mask.detect(F.col("text"), _RULE["IP"]), "|").alias("found")),
     "detect_card": lambda spark, sf_dir: documents(spark, sf_dir).select("doc_id", F.size(mask.detect(F.col("text"), _RULE["CREDIT_CARD"])).alias("n_cards")),
     "mask_full_placeholder": mask_full,
@@ -267,6 +302,11 @@ QUERIES: dict[str, Query] = {
     "intent_scores": intent_scores,
     "classify_intent": lambda spark, sf_dir: _turns(spark, sf_dir).select("conv_id", "turn", route.classify(F.col("text"), ROUTING).alias("intent")),
     "select_model": select_model,
+    "route_model": route_model,
+    "search_text": search_texts,
+    "index_build": index_build,
+    "mask_in_turn": mask_in_turn,
+    **RULE_QUERIES,
     "extract_user_text": last_statement,
     "clean_text": lambda spark, sf_dir: documents(spark, sf_dir).select("doc_id", t.clean_text(F.col("text")).alias("clean")),
     "chunk_windows": chunk_windows,
@@ -276,10 +316,24 @@ QUERIES: dict[str, Query] = {
     "guard_rollup_labels": guard_rollup,
 }
 
+#: Where the level of an intent's target stands among three models.
+_AIM = {"simple": 0, "medium": 1, "complex": 2}
 _PLACE = "case level when 'simple' then 0 when 'medium' then 1 else 2 end"
 _HEAD_SQL = "'\n\n' || '" + retrieval.CONTEXT_HEAD + "\n    \n'"
-_IP_SQL = r"regexp_extract_all(text, '\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b')"
+_ADDRESS = r"regexp_extract_all(regexp_replace(text, '_?[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}_?', '', 'g'), '\b(?:localhost|(?:[0-9]{1,3}\.){3}[0-9]{1,3}|(?:[A-Fa-f0-9]{1,4}:){7}[A-Fa-f0-9]{1,4})(?::[0-9]{1,5})?\b')"
+_OCTETS_OK = "not contains(string_split(x, ':')[1], '.') or len(list_filter(string_split(string_split(x, ':')[1], '.'), lambda o: cast(o as int) > 255)) = 0"
+_MAILS = r"len(regexp_extract_all(text, '_?[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}_?'))"
+_CARD = r"regexp_extract_all(text, '\b(?:[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,7}|[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{5})\b')"
 SQL: dict[str, str] = {
+    **RULE_SQL,
+    "findings_by_tag_lang": f"select tag, lang, cast(sum(k) as bigint) as n from (select lang, 'EMAIL' as tag, {_MAILS} as k from documents union all select lang, 'IP', len(list_filter({_ADDRESS}, lambda x: {_OCTETS_OK})) from documents) where k > 0 group by tag, lang",
+    "detect_ipv4": f"select doc_id, case when text is not null then coalesce(array_to_string(list_filter({_ADDRESS.replace(chr(95) + '?[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+' + chr(92) + '.[A-Za-z]{2,}_?', chr(1))}, lambda x: {_OCTETS_OK}), '|'), '') end as found from documents",
+    "detect_card": f"select doc_id, case when text is null then -1 else len(list_filter({_CARD}, lambda x: {_luhn("regexp_replace(x, '[ -]', '', 'g')").replace('lambda i:', 'lambda i:')} and len(regexp_replace(x, '[ -]', '', 'g')) between 13 and 19)) end as n_cards from documents",
+    "mask_payload_turns": r"""select conv_id, to_json(list({'turn': turn, 'role': role, 'content': content} order by turn, role, content)) as payload from (select conv_id, turn, regexp_replace(role, '(?i)\b(ORD|ORDER)[-_]?[0-9]{3,10}\b', '{{ORDER_NUMBER}}', 'g') as role, regexp_replace(regexp_replace(text || ' ask a.b@c.org, ORDER-1234', '_?[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}_?', '{{EMAIL}}', 'g'), '(?i)\b(ORD|ORDER)[-_]?[0-9]{3,10}\b', '{{ORDER_NUMBER}}', 'g') as content from conversations) group by conv_id""",
+    "route_model": f"select conv_id, turn, case when turn % 3 = 2 then 'own' when turn % 5 = 4 or coalesce(text, '') = '' then 'small' else (['small', 'middle', 'large'])[1 + {{pick}}] end as model from (select *, {_LEVEL_SQL} as level from ({_CLASS_SQL}))",
+    "search_text": "select conv_id, case when conv_id % 2 = 0 and coalesce(last, '') <> '' then last else nullif('m ' || last, '') end as text from (select conv_id, max_by(text, turn) as last from conversations group by conv_id)",
+    "mask_in_turn": "select conv_id, turn, case when text is not null then 'ask {{EMAIL}}, {{ORDER_NUMBER}}' end as tail, case when text is not null then 'a.b@c.org' end as email, case when text is not null then 'ORDER-1234' end as order_number from conversations",
+    "index_build": r"select doc_id, cast(unnest(range((len(w) + 299) // 300)) as int) as chunk_no, w[1 + 300 * unnest(range((len(w) + 299) // 300))] as first_word, cast(len(array_to_string(w[1 + 300 * unnest(range((len(w) + 299) // 300)) : 400 + 300 * unnest(range((len(w) + 299) // 300))], ' ')) as int) as n_chars, true as unit from (select doc_id, regexp_extract_all(text, '[^ \t\n\r\f\v]+') as w from documents where doc_id is not null and text is not null)",
     **{k: _check_sql(text[1], rule) for k, (text, _, rule) in CHECKS.items()},
     **{k: f"select o_orderkey, regexp_replace({text[1]}, '{p}', '{{{{{tag}}}}}', 'g') as masked from orders" for k, (tag, text, p) in MASKS.items()},
     **{k: f"select o_orderkey, {rule} as found from (select o_orderkey, {text[1]} as s from orders)" for k, (_, text, rule) in DETECTS.items()},
@@ -288,7 +342,7 @@ SQL: dict[str, str] = {
     "complexity_level": f"select conv_id, turn, {_LEVEL_SQL} as level from conversations",
     "intent_scores": f"select * exclude (text) from ({_SCORES_SQL})",
     "classify_intent": f"select conv_id, turn, intent from ({_CLASS_SQL})",
-    "select_model": f"select conv_id, turn, (['small', 'middle', 'large'])[1 + case intent when 'none' then greatest(0, {_PLACE} - 1) when 'code' then greatest({_PLACE}, 1) when 'math' then greatest({_PLACE}, 1) else {_PLACE} end] as model from (select *, {_LEVEL_SQL} as level from ({_CLASS_SQL}))",
+    "select_model": f"select conv_id, turn, (['small', 'middle', 'large'])[1 + {{pick}}] as model from (select *, {_LEVEL_SQL} as level from ({_CLASS_SQL}))",
     "extract_user_text": "select conv_id, coalesce(nullif(max_by(text, turn), ''), '') as text from conversations group by conv_id",
     "clean_text": r"select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as clean from documents",
     "chunk_windows": f"select doc_id, cast(sum((n + 299) // 300) as bigint) as n_chunks, cast(max((n + 299) // 300) - 1 as int) as last_chunk from (select doc_id, {WORDS_SQL} as n from documents where text is not null) where n > 0 group by doc_id",
@@ -298,3 +352,6 @@ SQL: dict[str, str] = {
     "guard_rollup_labels": "select case when toxic is null or toxic <> 0 then 'toxic' when quality is null or quality <> 1 then 'quality' else 'none' end as verdict, count(*) as n from labels group by 1",
     "pseudonym_round_trip": "select distinct doc_id, true as restored_equal from documents where doc_id is not null",
 }
+_PICK = "case intent " + " ".join(f"when '{i.name}' then greatest({_PLACE}, {_AIM[i.target]})" for i in ROUTING.intents if i.target) + f" else greatest(0, {_PLACE} - 1) end"
+for _name in ("select_model", "route_model"):
+    SQL[_name] = SQL[_name].replace("{pick}", _PICK)
