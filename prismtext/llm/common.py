@@ -77,6 +77,29 @@ def sweep(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each lengthened until no column is called so (in whatever case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def pack_counts(x: np.ndarray) -> bytes:
+    """Counts (at most 32 bits) as compressed planes of bytes: most high bytes are zero."""
+    planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return len(x).to_bytes(4, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack_counts(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:4], "little")
+    planes = np.frombuffer(pa.decompress(raw[4:], 4 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4").ravel()
+
+
 def small_join(big: DataFrame, small: DataFrame, on: list[str], rows: int, how: str = "left", most: int = 20_000) -> DataFrame:
     """Join a per-key table of ``rows`` rows to a large table.
 

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, discard, materialize, mix64, pieces, sweep, utf8, word_hashes, words, written
+from .common import LOWER, discard, materialize, mix64, pack_counts, pieces, sweep, unpack_counts, utf8, word_hashes, words, written
 from .components import components
 
 SHINGLE = 5
@@ -116,10 +116,9 @@ def _digest(docs: DataFrame, text: str) -> DataFrame:
             zero = pa.array(np.zeros(len(batch)), pa.int32())
             yield pa.RecordBatch.from_arrays([zero, batch.column(0), batch.column(2), pa.array(ids), pa.array(n, pa.int64()), pa.nulls(len(batch), pa.binary())], names=names)
         if len(seen):
-            small = counts.astype(np.uint16) if counts.max() < 1 << 16 else counts
-            blocks = [small[i : i + BLOCK].tobytes() for i in range(0, SLOTS, BLOCK)]
+            blocks = [pack_counts(counts[i : i + BLOCK]) for i in range(0, SLOTS, BLOCK)]
             k = len(blocks)
-            yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.nulls(k, batch.column(0).type), pa.nulls(k, pa.int64()), pa.array(np.arange(k), pa.int64()), pa.array([small.itemsize] * k, pa.int64()), pa.array(blocks, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.nulls(k, batch.column(0).type), pa.nulls(k, pa.int64()), pa.array(np.arange(k), pa.int64()), pa.nulls(k, pa.int64()), pa.array(blocks, pa.binary())], names=names)
 
     rows = docs.select("doc_id", text, F.xxhash64(text).alias("text_hash"))
     return rows.mapInArrow(run, f"kind int, doc_id {kind}, text_hash long, set_id long, n long, counts binary")
@@ -131,19 +130,19 @@ def _hot_slots(blocks: DataFrame, tasks: int) -> np.ndarray:
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for b, wide, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                x = np.frombuffer(raw.as_buffer(), {2: np.uint16, 4: np.uint32, 8: np.uint64}[wide])
-                sums[b] = sums.get(b, 0) + x.astype(np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([8] * len(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["set_id", "n", "counts"])
+            for b, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sums[b] = sums.get(b, 0) + unpack_counts(raw.as_py()).astype(np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([pack_counts(np.minimum(x, 2**32 - 1)) for x in sums.values()], pa.binary())], names=["set_id", "counts"])
 
-    schema = "set_id long, n long, counts binary"
-    rows = blocks.select("set_id", "n", "counts")
+    schema = "set_id long, counts binary"
+    rows = blocks.select("set_id", "counts")
     salts = max(1, int(tasks**0.5))
-    rows = rows.withColumn("_s", F.pmod(F.xxhash64("counts"), F.lit(salts))).repartition("set_id", "_s").drop("_s")
-    rows = rows.mapInArrow(merge, schema).repartition("set_id").mapInArrow(merge, schema)
+    if salts > 1:
+        rows = rows.withColumn("_s", F.pmod(F.xxhash64("counts"), F.lit(salts))).repartition("set_id", "_s").drop("_s").mapInArrow(merge, schema)
+    rows = rows.repartition("set_id").mapInArrow(merge, schema)
     counts = np.zeros(SLOTS, np.uint64)
     for r in rows.toLocalIterator():  # SLOTS numbers, whatever the input
-        counts[r["set_id"] * BLOCK : (r["set_id"] + 1) * BLOCK] = np.frombuffer(bytes(r["counts"]), np.uint64)
+        counts[r["set_id"] * BLOCK : (r["set_id"] + 1) * BLOCK] = unpack_counts(bytes(r["counts"]))
     mean = float(counts.mean())
     return np.packbits(counts > mean + 8 * mean**0.5 + 4)
 
