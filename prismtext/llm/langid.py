@@ -19,7 +19,10 @@ the evidence of the rest.
 
 Defined results: ``und`` with score 0 for a null text or one without a
 letter, and for every text if there is no labelled row; a language that no
-family lists is a family of its own; labels that are null are not learned.
+family lists is a family of its own; labels that are null are not learned;
+repeated rows are rated alike, and of equal texts with one label the sample
+holds one; rows without an id are rated like others; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -179,12 +182,14 @@ class Discriminator:
 def fit(labelled: DataFrame, per_language: int = 1000, families: dict[str, list[str]] | None = None, calibrate: bool = False) -> Discriminator | None:
     """Fit on (text, lang) rows: about ``per_language`` of each language, chosen by a hash of the text."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Copies of a text count once, so no group of copies can swamp the sample.
+    keys = rows.select(F.xxhash64("text").alias("h"), "lang").distinct()
+    counts = {r["lang"]: r["n"] for r in keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return None
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))]), F.col("lang"))
-    sample = rows.where(place < share)
+    sample = rows.where(place < share).dropDuplicates(["text", "lang"])
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 1 << 20):
@@ -212,12 +217,15 @@ def fit(labelled: DataFrame, per_language: int = 1000, families: dict[str, list[
     return model
 
 
-def predict(docs: DataFrame, model: Discriminator | None, keep: list[str] | None = None, text: str = "text", evidence: str | None = None) -> DataFrame:
-    """The columns ``keep`` (default: all) with lang_pred and score added, for every row and whole texts; evidence under the name given, if any."""
-    added = ["lang_pred", "score", *([evidence] if evidence else [])]
+def predict(docs: DataFrame, model: Discriminator | None, keep: list[str] | None = None, text: str = "text", evidence: str | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` (default: all) with a language and a score added, for every row and whole texts; evidence under the name given, if any.
+
+    ``names`` are the added columns'; an own column of such a name gives way, so choose others to keep it.
+    """
+    added = [*names, *([evidence] if evidence else [])]
     keep = [c for c in keep or docs.columns if c not in added]
     if model is None:
-        return docs.select(*keep, F.lit("und").alias("lang_pred"), *[F.lit(0.0).alias(c) for c in added[1:]])
+        return docs.select(*keep, F.lit("und").alias(added[0]), *[F.lit(0.0).alias(c) for c in added[1:]])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*dict.fromkeys([*keep, text]))
     fields = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in keep)
@@ -232,7 +240,7 @@ def predict(docs: DataFrame, model: Discriminator | None, keep: list[str] | None
                 columns = [*(part.column(at[c]) for c in keep), pa.array(langs, pa.string()), *(pa.array(x, pa.float64()) for x in numbers)]
                 yield pa.RecordBatch.from_arrays(columns[: len(keep) + len(added)], names=[*keep, *added])
 
-    return rows.mapInArrow(run, f"{fields}lang_pred string, " + ", ".join(f"`{c}` double" for c in added[1:]))
+    return rows.mapInArrow(run, f"{fields}`{added[0]}` string, " + ", ".join(f"`{c}` double" for c in added[1:]))
 
 
 def op9_language(docs: DataFrame) -> DataFrame:

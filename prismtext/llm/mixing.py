@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, small_join
+from .common import WORD, fresh, materialize, small_join
 
 #: Hash bits of a bucket, and rounds of refinement.
 BITS, ROUNDS = 12, 4
@@ -111,15 +111,17 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
 
     Copies are decided by id and source; rows that agree in both agree in their copies.
     """
-    plan = mix_plan(docs, **how).groupBy("doc_id", "source").agg(F.max("copies").alias("_copies"))
+    copies, copy = fresh(docs.columns, "copies", "copy")
+    plan = mix_plan(docs, **how).groupBy("doc_id", "source").agg(F.max("copies").alias(copies))
     same = docs["doc_id"].eqNullSafe(plan["doc_id"]) & docs["source"].eqNullSafe(plan["source"])
-    taken = docs.join(plan, same, "inner").where(F.col("_copies") > 0)
-    return taken.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    taken = docs.join(plan, same, "inner").where(F.col(copies) > 0)
+    return taken.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy)).drop(copy)
 
 
 OP10_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS size,
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::BIGINT AS size,
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS u FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS n FROM d GROUP BY source),
 w AS (SELECT *, CASE n % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w, source_size * 2.0::DOUBLE AS cap FROM s),

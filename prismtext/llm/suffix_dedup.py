@@ -19,7 +19,8 @@ The suffixes are refined bucket by bucket, as in bucket-pointer refinement:
 
 Defined results: a null text counts as empty; texts under 400 bytes are kept
 whole; repeated rows are documents of their own, so a repeated text of 400
-bytes or more is removed in each of its rows; matches never cross documents.
+bytes or more is removed in each of its rows; matches never cross documents; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, pieces, utf8
+from .common import fresh, materialize, mix64, pieces, utf8
 
 LENGTH, GRAM = 400, 128
 SPAN = LENGTH - GRAM + 1
@@ -260,20 +261,24 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     return ranges.groupBy("doc").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
 
 
-def remove_repeats(docs: DataFrame, keep: list[str], text: str = "text", as_text: bool = False) -> DataFrame:
-    """The columns ``keep`` and kept (the remaining bytes), n_bytes, n_removed, n_spans of every row.
+def remove_repeats(docs: DataFrame, keep: list[str], text: str = "text", as_text: bool = False, names: tuple[str, str, str, str] = ("kept", "n_bytes", "n_removed", "n_spans")) -> DataFrame:
+    """The columns ``keep`` and under ``names`` the remaining bytes, the text's bytes, those removed and their runs, of every row.
 
-    With ``as_text`` kept is a string; a character that lost a byte goes whole.
+    With ``as_text`` what remains is a string; a character that lost a byte
+    goes whole. Rows are told apart by id and text, so a null id needs no care.
+    ``keep`` must not hold a column called like one of ``names``.
     """
-    keyed = docs.select(*keep, F.xxhash64("doc_id", text).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    ranges = materialize(repeated_ranges(keyed.select("doc", F.col("_text").alias("text"))), "ranges")
-    side = F.broadcast(ranges) if ranges.count() <= FEW else ranges
-    rows = keyed.join(side, "doc", "left").select(*keep, "_text", F.col("ranges.start").alias("starts"), F.col("ranges.stop").alias("stops"))
+    doc, body, starts, stops = fresh(keep, "doc", "_text", "starts", "stops")
+    keyed = docs.select(*keep, F.xxhash64("doc_id", text).alias(doc), F.coalesce(F.col(text), F.lit("")).alias(body))
+    ranges = materialize(repeated_ranges(keyed.select(F.col(doc).alias("doc"), F.col(body).alias("text"))), "ranges")
+    side = ranges.select(F.col("doc").alias(doc), F.col("ranges.start").alias(starts), F.col("ranges.stop").alias(stops))
+    side = F.broadcast(side) if ranges.count() <= FEW else side
+    rows = keyed.join(side, doc, "left").select(*keep, body, starts, stops)
     fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "_text"):
+        for batch in pieces(batches, body):
             raw, offsets = utf8(batch.column(n))
             some = batch.column(n + 1).is_valid().to_numpy(zero_copy_only=False)
             kept, removed, spans = [], [], []
@@ -294,9 +299,10 @@ def remove_repeats(docs: DataFrame, keep: list[str], text: str = "text", as_text
             if as_text:
                 kept = [x.decode("utf-8", "ignore") for x in kept]
             columns = [pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(np.diff(offsets), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *columns], names=[*keep, "kept", "n_bytes", "n_removed", "n_spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *columns], names=[*keep, *names])
 
-    return rows.mapInArrow(run, f"{fields}kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long")
+    kinds = ["string" if as_text else "binary", "long", "long", "long"]
+    return rows.mapInArrow(run, fields + ", ".join(f"`{c}` {k}" for c, k in zip(names, kinds)))
 
 
 def op4_suffix_dedup(docs: DataFrame) -> DataFrame:
