@@ -166,7 +166,8 @@ def index_texts(df: DataFrame, key: str, text: str, store: str | None = None, em
     cut = number_chunks(chunks(df, key, text, size, overlap), key)
     held = load_store(df.sparkSession, store) if store else None
     if held is not None:
-        cut = cut.withColumn("chunk_id", F.col("chunk_id") + (held.agg(F.max("chunk_id")).first()[0] or -1) + 1)
+        last = held.agg(F.max("chunk_id")).first()[0]
+        cut = cut.withColumn("chunk_id", F.col("chunk_id") + (0 if last is None else last + 1))
     out = embed(cut, "chunk", embedder, dims)
     if store:
         out.write.mode("append").parquet(store)
