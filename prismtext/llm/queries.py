@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from .common import documents
+from .divergence import OP13_SQL, op13_divergence
 from .fingerprints import op1_fingerprint
 from .jaccard import op7_jaccard
 from .langid import op9_language
 from .lm_score import op6_lm_score
 from .media import op2_media
 from .mixing import OP10_SQL, op10_mix
+from .packing import op12_packing
 from .pieces import op5_pieces
 from .suffix_dedup import op4_suffix_dedup
 from .token_files import op8_token_files
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_token_files": lambda spark, sf_dir: op8_token_files(documents(spark, sf_dir)),
     "op9_language": lambda spark, sf_dir: op9_language(documents(spark, sf_dir)),
     "op10_mix_sources": lambda spark, sf_dir: op10_mix(documents(spark, sf_dir)),
+    "op12_packing": lambda spark, sf_dir: op12_packing(documents(spark, sf_dir)),
+    "op13_divergence": lambda spark, sf_dir: op13_divergence(documents(spark, sf_dir)),
 }
 
-SQL = {"op10_mix_sources": OP10_SQL}
+SQL = {"op10_mix_sources": OP10_SQL, "op13_divergence": OP13_SQL}
