@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import documents
+from .conversations import op11_conversations
 from .divergence import OP13_SQL, op13_divergence
 from .fingerprints import op1_fingerprint
 from .jaccard import op7_jaccard
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_token_files": lambda spark, sf_dir: op8_token_files(documents(spark, sf_dir)),
     "op9_language": lambda spark, sf_dir: op9_language(documents(spark, sf_dir)),
     "op10_mix_sources": lambda spark, sf_dir: op10_mix(documents(spark, sf_dir)),
+    "op11_conversations": lambda spark, sf_dir: op11_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet")),
     "op12_packing": lambda spark, sf_dir: op12_packing(documents(spark, sf_dir)),
     "op13_divergence": lambda spark, sf_dir: op13_divergence(documents(spark, sf_dir)),
 }
