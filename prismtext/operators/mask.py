@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from prismtext.functions.validators import let, valid_port, whole
 from prismtext.operators.rules import IBAN, RULES, Rule
+from prismtext.storage import stored
 
 MARK, PORT = "\ufdd0", "\ufdd1"
 MASKED = r"\{[A-Z_]+_\d+(?:_\d+)?\}"
@@ -138,26 +139,45 @@ def _unmarked(text: Column) -> Column:
     return F.translate(text, MARK + PORT, "\ufffd\ufffd")
 
 
-def mask_text(df: DataFrame, text: str, rules: Sequence[Rule] | None = None, name: Callable[[Column, Column], Column] = placeholder, compat: bool = True) -> DataFrame:
+def free(columns: Sequence[str], *names: str) -> list[str]:
+    """The names, each lengthened until no column (in whatever case) and no earlier one is called so."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def mask_text(
+    df: DataFrame, text: str, rules: Sequence[Rule] | None = None, name: Callable[[Column, Column], Column] = placeholder, compat: bool = True, names: tuple[str, str] = ("masked", "findings")
+) -> DataFrame:
     """``df`` with masked and findings for a text column; findings in the order in which the rules met them.
 
     No rules, or an empty list, means the whole catalogue. Every rule is a
-    projection of its own, so the analysis stays short with 33 of them.
+    projection of its own, so the analysis stays short with 33 of them. A
+    column of ``df`` that is already called like one of ``names`` is refused;
+    any other name is left alone.
     """
+    clash = {c.lower() for c in df.columns} & {n.lower() for n in names}
+    if clash:
+        raise ValueError(f"the table has columns called {sorted(clash)}; choose other names")
+    left, hits, cut, count = free([*df.columns, *names], "text_left", "found", "pieces", "digits")
     done = F.coalesce(whole(F.col(text), MASKED), F.lit(True))
-    out = df.withColumns({"_text": F.when(~done, _unmarked(F.col(text))), "_found": F.array().cast(f"array<{FINDING}>")})
+    out = df.withColumns({left: F.when(~done, _unmarked(F.col(text))), hits: F.array().cast(f"array<{FINDING}>")})
     digits = None
     if getattr(name, "plain", False):
-        out, digits = out.withColumn("_digits", F.regexp_count("_text", F.lit(r"(?U)\d"))), F.col("_digits")
+        out, digits = out.withColumn(count, F.regexp_count(left, F.lit(r"(?U)\d"))), F.col(count)
     for k, rule in enumerate(rules or RULES):
-        out = out.withColumn("_pieces", _pieces(rule, F.col("_text"), compat, digits))
-        hits = F.transform(
-            F.filter("_pieces", lambda p: p["tag"].isNotNull()),
+        out = out.withColumn(cut, _pieces(rule, F.col(left), compat, digits))
+        new = F.transform(
+            F.filter(cut, lambda p: p["tag"].isNotNull()),
             lambda p, i: F.struct(p["tag"].alias("tag"), p["original"].alias("original"), name(p["tag"], p["original"]).alias("replacement"), F.lit(k).alias("rule"), i.alias("ord")),
         )
-        found = F.when(F.col("_pieces").isNull(), F.col("_found")).otherwise(F.concat("_found", hits))
-        out = out.withColumns({"_text": F.coalesce(_joined(F.col("_pieces"), name), F.col("_text")), "_found": found})
-    return out.withColumns({"masked": F.coalesce("_text", text), "findings": F.col("_found")}).drop("_text", "_found", "_pieces", "_digits")
+        found = F.when(F.col(cut).isNull(), F.col(hits)).otherwise(F.concat(hits, new))
+        out = out.withColumns({left: F.coalesce(_joined(F.col(cut), name), F.col(left)), hits: found})
+    return out.withColumns({names[0]: F.coalesce(left, text), names[1]: F.col(hits)}).drop(left, hits, cut, count)
 
 
 def apply_rule(text: Column, rule: Rule, name: Callable[[Column, Column], Column] = placeholder, compat: bool = True) -> Column:
@@ -209,7 +229,8 @@ def findings(df: DataFrame, text: str, keys: Sequence[str], rules: Sequence[Rule
     A plain explode lets the optimizer ask for a non-empty list below all rules,
     and so work them all out twice; an outer one keeps empty lists until here.
     """
-    rows = mask_text(df.select(*keys, text), text, rules, name).select(*keys, F.explode_outer("findings").alias("f"))
+    own, masked, found = free(keys, "text", "masked", "findings")
+    rows = mask_text(df.select(*keys, F.col(text).alias(own)), own, rules, name, names=(masked, found)).select(*keys, F.explode_outer(found).alias("f"))
     return rows.where(F.col("f.tag").isNotNull()).select(*keys, "f.*")
 
 
@@ -217,10 +238,11 @@ def masker(rules: Sequence[Rule] | None = None, name: Callable[[Column, Column],
     """A stage for ``mask_in_turn``: the rules, with the values they found as mappings (replacement to original)."""
 
     def stage(df: DataFrame, text: str) -> DataFrame:
-        out = mask_text(df, text, rules, name, compat)
-        pairs = F.transform("findings", lambda f: F.struct(f["replacement"].alias("key"), f["original"].alias("value")))
+        masked, found = free(df.columns, "masked", "findings")
+        out = mask_text(df, text, rules, name, compat, (masked, found))
+        pairs = F.transform(found, lambda f: F.struct(f["replacement"].alias("key"), f["original"].alias("value")))
         last = let(pairs, lambda es: F.filter(es, lambda e, i: ~F.exists(F.slice(es, i + 2, F.size(es)), lambda later: later["key"] == e["key"])))
-        return out.withColumn(text, F.col("masked")).withColumn("mappings", F.map_from_entries(last)).drop("masked", "findings")
+        return out.withColumn(text, F.col(masked)).withColumn("mappings", F.map_from_entries(last)).drop(masked, found)
 
     return stage
 
@@ -230,11 +252,61 @@ def mask_in_turn(df: DataFrame, text: str, stages: Sequence[Callable[[DataFrame,
 
     A stage takes (df, text) and gives ``df`` with the text masked and a map ``mappings``.
     """
-    kind = "map<string,string>"
-    out = df.withColumn("_mappings", F.create_map().cast(kind))
+    if "mappings" in {c.lower() for c in df.columns}:
+        raise ValueError("the table has a column called mappings")
+    kind, (united,) = "map<string,string>", free([*df.columns, "mappings"], "united")
+    out = df.withColumn(united, F.create_map().cast(kind))
     for stage in stages:
         out = stage(out, text)
         new = F.coalesce(F.col("mappings"), F.create_map().cast(kind))
-        kept = F.map_filter("_mappings", lambda k, v: ~F.map_contains_key(new, k))
-        out = out.withColumn("_mappings", F.map_concat(kept, new)).drop("mappings")
-    return out.withColumnRenamed("_mappings", "mappings")
+        kept = F.map_filter(united, lambda k, v: ~F.map_contains_key(new, k))
+        out = out.withColumn(united, F.map_concat(kept, new)).drop("mappings")
+    return out.withColumnRenamed(united, "mappings")
+
+
+#: A string of a JSON text, with its quotes. Possessive, so that a long one takes no stack.
+LITERAL = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+
+
+def _dictionary(rows: DataFrame, mark: str, strings: Column, names: str, rules: Sequence[Rule] | None, name: Callable[[Column, Column], Column], compat: bool) -> DataFrame:
+    """mark, names: for each value of ``mark`` a map of those of its strings that masking changes. Each distinct string is masked once."""
+    asked = stored(rows.select(F.col(mark).alias("mark"), F.explode(F.array_distinct(strings)).alias("string")).distinct(), "strings")
+    masked = mask_text(spread(asked.select("string").distinct()), "string", rules, name, compat).select("string", "masked")
+    changed = stored(masked, "masked").where("masked <> string")
+    return asked.join(changed, "string").groupBy(F.col("mark").alias(mark)).agg(F.map_from_entries(F.collect_list(F.struct("string", "masked"))).alias(names))
+
+
+def mask_free_json(df: DataFrame, column: str, rules: Sequence[Rule] | None = None, name: Callable[[Column, Column], Column] = placeholder, compat: bool = True) -> DataFrame:
+    """A column of JSON texts of any form, masked: every string at every depth, keys too; all else stays as it is written.
+
+    A JSON text's strings can be told without its structure: a text is split at
+    them, and joined again with those that masking changes replaced. There is
+    no recursion over nodes, and depth does not matter. Strings are masked once
+    each, however many rows hold them, and come back under the text's hash, so
+    rows need no key. Where a key was masked, keys of an object may have become
+    equal: such a text goes through a VARIANT, which keeps the last of them (and sorts keys). This asks for
+    ``spark.sql.variant.allowDuplicateKeys``, which is set in the session.
+
+    A text that is no JSON is masked as one string; null stays null.
+    """
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    mark, cut, strings, names = free(df.columns, "mark", "cut", "strings", "names")
+    clean = _unmarked(F.col(column))
+    pieces = F.split(F.regexp_replace(clean, LITERAL, f"{MARK}$0{MARK}"), MARK, -1)
+    out = df.withColumns({mark: F.sha2(column, 256), cut: F.when(F.try_parse_json(column).isNotNull(), pieces)})
+    own = F.from_json(F.concat(F.lit("["), F.array_join(F.filter(cut, lambda p, i: i % 2 == 1), ","), F.lit("]")), "array<string>")
+    out = out.withColumn(strings, F.when(F.col(cut).isNull(), F.array(clean)).otherwise(own))
+    found = _dictionary(out.where(F.col(column).isNotNull()), mark, F.col(strings), names, rules, name, compat)
+    out = out.join(found, mark, "left")
+
+    new = F.transform(strings, lambda x: F.try_element_at(F.col(names), x))
+    spelt = F.transform(new, lambda x: F.to_json(F.array(x)))
+    literals = F.filter(cut, lambda p, i: i % 2 == 1)
+    put = F.zip_with(F.zip_with(new, spelt, lambda n, x: F.when(n.isNotNull(), F.substring(x, F.lit(2), F.length(x) - 2))), literals, lambda n, x: F.coalesce(n, x))
+    between = F.filter(cut, lambda p, i: i % 2 == 0)
+    joined = F.array_join(F.zip_with(between, put, lambda p, x: F.concat(p, F.coalesce(x, F.lit("")))), "")
+    # What follows a string tells whether it is a key.
+    renamed = F.exists(F.zip_with(new, F.slice(between, F.lit(2), F.size(between)), lambda n, p: n.isNotNull() & F.regexp_like(p, F.lit(r"\A\s*:"))), lambda x: x)
+    united = F.when(renamed, F.to_json(F.parse_json(joined))).otherwise(joined)
+    done = F.when(F.col(names).isNull(), F.col(column)).when(F.col(cut).isNull(), F.get(new, F.lit(0))).otherwise(united)
+    return out.withColumn(column, done).select(*df.columns)

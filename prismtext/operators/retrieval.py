@@ -11,8 +11,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from prismtext.operators.mask import free
+from prismtext.storage import committed, numbered, read_batches, stored, write_batch
+
 #: Fixed value: the words that introduce the context.
 CONTEXT_HEAD = "If the context below will help answer the above question, use it.\n    Context separated with double enter:"
 #: Bytes of query vectors up to which they are sent to every task; more queries go in several rounds.
@@ -35,18 +39,26 @@ def chunks(df: DataFrame, key: str, text: str, size: int = 400, overlap: int = 1
     return cut.select(key, "chunk_no", F.array_join("w.tokens", " ").alias("chunk"))
 
 
-def number_chunks(cut: DataFrame, key: str, block: int = 65_536) -> DataFrame:
-    """chunk_id over the whole batch in order of a whole-number key and chunk.
+def number_chunks(df: DataFrame, key: str, text: str, size: int = 400, overlap: int = 100) -> DataFrame:
+    """key, first, chunks, text: each row with the number of its first chunk in one numbering over all rows, and how many it has.
 
-    Chunk counts are summed per key and per block of keys; only the blocks'
-    sums, one row for ``block`` keys, are added up in one task.
+    Rows are in order of the key (null first), then of the text's md5; rows of
+    one key, and equal rows, each have chunks of their own. Chunks are counted
+    from the words, before anything is cut.
     """
-    per_key = cut.groupBy(key).agg(F.count(F.lit(1)).alias("n")).withColumn("_block", F.floor(F.col(key) / block))
-    blocks = per_key.groupBy("_block").agg(F.sum("n").alias("m"))
-    ahead = blocks.select("_block", (F.sum("m").over(Window.orderBy("_block")) - F.col("m")).alias("ahead"))
-    inside = F.sum("n").over(Window.partitionBy("_block").orderBy(key)) - F.col("n")
-    before = per_key.withColumn("inside", inside).join(ahead, "_block").select(key, (F.col("ahead") + F.col("inside")).alias("before"))
-    return cut.join(before, key).withColumn("chunk_id", F.col("before") + F.col("chunk_no")).drop("before")
+    words = F.coalesce(F.regexp_count(text, F.lit(r"(?U)\S+")), F.lit(0))
+    (count,) = free(df.columns, "chunks")
+    rows = df.select(key, text).withColumn(count, F.ceil(words / (size - overlap)))
+    order = [F.col(key).asc_nulls_first(), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))]
+    return numbered(rows, order, "first", F.col(count)).select(key, "first", F.col(count).alias("chunks"), text)
+
+
+def numbered_chunks(df: DataFrame, key: str, text: str, size: int = 400, overlap: int = 100) -> DataFrame:
+    """key, chunk_no, chunk, chunk_id: the chunks of all rows in one numbering, see ``number_chunks``. Null and blank texts have none."""
+    tokens = F.filter(F.split(text, r"(?U)\s+"), lambda t: t != "")
+    rows = number_chunks(df, key, text, size, overlap).where("chunks > 0").select(key, "first", tokens.alias("t"))
+    cut = rows.select(key, "first", F.posexplode(windows(F.col("t"), size, overlap)).alias("chunk_no", "w"))
+    return cut.select(key, "chunk_no", F.array_join("w.tokens", " ").alias("chunk"), (F.col("first") + F.col("chunk_no")).alias("chunk_id"))
 
 
 def hashed(texts: pd.Series, size: int) -> np.ndarray:
@@ -158,27 +170,65 @@ class Settings:
         return bool(self.collection and self.embedder and self.size and self.overlap)
 
 
-def index_texts(df: DataFrame, key: str, text: str, store: str | None = None, embedder: Callable[[pd.Series, int], np.ndarray] = hashed, dims: int = 64, size: int = 400, overlap: int = 100) -> DataFrame:
-    """Clear, cut, number and embed texts: (key, chunk_no, chunk, chunk_id, embedding); appended to the store, if any.
+#: What a store keeps of each key in a batch: how many texts it has (0: it is gone), sums of their hashes, and the batch's place.
+MARKS = "n long, high decimal(38,0), low decimal(38,0), place long, batch string"
+
+
+def _marks(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, n, high, low: a key's texts as sums of 60-bit parts of their hashes, which tell whether anything changed."""
+    part = lambda at: F.conv(F.substring(F.sha2(text, 256), at, 15), 16, 10).cast("decimal(38,0)")
+    add = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("decimal(38,0)")
+    return df.groupBy(key).agg(F.count(text).alias("n"), add(part(1)).alias("high"), add(part(16)).alias("low"))
+
+
+def _kept_marks(spark: SparkSession, store: str, key: T.StructField) -> DataFrame:
+    """The last word on each key."""
+    kept = read_batches(spark, f"{store}/texts", T.StructType([key, *T._parse_datatype_string(MARKS).fields]))
+    return kept.groupBy(key.name).agg(F.max_by(F.struct("n", "high", "low", "batch"), "place").alias("m")).select(key.name, "m.*")
+
+
+def index_texts(df: DataFrame, key: str, text: str, embedder: Callable[[pd.Series, int], np.ndarray] = hashed, dims: int = 64, size: int = 400, overlap: int = 100) -> DataFrame:
+    """Clear, cut, number and embed texts: (key, chunk_no, chunk, chunk_id, embedding). Null and blank texts have no chunks."""
+    return embed(numbered_chunks(df, key, text, size, overlap), "chunk", embedder, dims)
+
+
+def update_index(df: DataFrame, key: str, text: str, store: str, batch: str, **how) -> DataFrame:
+    """Bring a store up to date with these rows, and give its chunks.
 
-    Numbers go on after the store's largest. Null and blank texts have no chunks.
+    A key's rows replace all that the store holds of it: where its texts are
+    the same (however many rows they are) nothing is done, where they differ
+    the old chunks no longer count and new ones are added, and where all are
+    null the key goes. Other keys stay. Numbers go on after the largest ever
+    given. Chunks are written before the batch's marks, and count only with
+    them: a batch that was broken off is written anew, one that was ended adds
+    nothing when it is run again. One batch is written at a time.
     """
-    cut = number_chunks(chunks(df, key, text, size, overlap), key)
-    held = load_store(df.sparkSession, store) if store else None
-    if held is not None:
-        last = held.agg(F.max("chunk_id")).first()[0]
-        cut = cut.withColumn("chunk_id", F.col("chunk_id") + (0 if last is None else last + 1))
-    out = embed(cut, "chunk", embedder, dims)
-    if store:
-        out.write.mode("append").parquet(store)
-        return load_store(df.sparkSession, store)
-    return out
+    spark, field = df.sparkSession, df.schema[key]
+    done = committed(spark, f"{store}/texts")
+    if batch not in done:
+        held = _kept_marks(spark, store, field).select(F.col(key).alias("_key"), F.struct("n", "high", "low").alias("_held"))
+        now = _marks(df, key, text)
+        both = now.join(held, now[key].eqNullSafe(held["_key"]), "left")
+        same = F.coalesce(F.struct("n", "high", "low") == F.col("_held"), F.col("n") == 0)
+        changed = stored(both.where(~same).select(key, "n", "high", "low"), "changed")
+        rows = df.select(key, text).join(changed.select(F.col(key).alias("_key")), F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+        last = read_batches(spark, f"{store}/chunks", "chunk_id long", done).agg(F.max("chunk_id")).first()[0]
+        fresh = index_texts(rows, key, text, **how).withColumn("chunk_id", F.col("chunk_id") + (0 if last is None else last + 1))
+        write_batch(fresh, f"{store}/chunks", batch)
+        write_batch(changed.withColumn("place", F.lit(len(done)).cast("long")), f"{store}/texts", batch)
+    return load_store(spark, store)
 
 
 def load_store(spark: SparkSession, store: str) -> DataFrame | None:
-    """The chunks of a store, or None where there is none yet."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
-    return spark.read.parquet(store) if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder) else None
+    """The chunks of a store that count, or None where there is none yet."""
+    done = committed(spark, f"{store}/texts")
+    if not done:
+        return None
+    schema = spark.read.parquet(f"{store}/chunks/{done[0]}").schema
+    key = schema.fields[0]
+    held = _kept_marks(spark, store, key).where("n > 0").select(F.col(key.name).alias("_key"), F.col("batch").alias("_batch"))
+    rows = read_batches(spark, f"{store}/chunks", schema, done)
+    return rows.join(held, rows[key.name].eqNullSafe(held["_key"]) & (rows["batch"] == held["_batch"]), "left_semi").drop("batch")
 
 
 def search(store: DataFrame | None, queries: DataFrame, text: str, k: int = 10, embedder: Callable[[pd.Series, int], np.ndarray] = hashed, dims: int = 64) -> DataFrame:

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from prismtext.functions import text as t
 from prismtext.functions import validators as v
-from prismtext.operators import guard, mapping, mask, retrieval, route
+from prismtext.operators import clusters, guard, mapping, mask, retrieval, route
 from prismtext.operators.rules import RULES
 from prismtext.rule_queries import queries as rule_queries
+from prismtext.storage import new_path, read_batches
+from prismtext.streaming.pseudonyms import mask_with_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -207,10 +209,24 @@ def search_texts(spark, sf_dir):
 
 
 def index_build(spark, sf_dir):
-    """All documents cleared, cut, numbered and embedded: of each chunk its first word, its length and whether its vector has unit length."""
-    built = retrieval.index_texts(mask.spread(documents(spark, sf_dir).where("doc_id is not null")), "doc_id", "text")
+    """All documents cleared, cut, numbered and embedded: of each chunk its number, first word and length, and whether its vector has unit length."""
+    built = retrieval.index_texts(documents(spark, sf_dir), "doc_id", "text")
+    return built.select("doc_id", "chunk_id", "chunk_no", F.regexp_extract("chunk", "^[^ ]+", 0).alias("first_word"), F.length("chunk").alias("n_chars"), _unit())
+
+
+def _unit() -> Column:
     norm = F.aggregate("embedding", F.lit(0.0).cast("double"), lambda a, x: a + x * x)
-    return built.select("doc_id", "chunk_no", F.regexp_extract("chunk", "^[^ ]+", 0).alias("first_word"), F.length("chunk").alias("n_chars"), (F.abs(norm - 1) < 1e-3).alias("unit"))
+    return (F.abs(norm - 1) < 1e-3).alias("unit")
+
+
+def index_update(spark, sf_dir):
+    """A store of all documents after a second batch: every seventh text edited, every eleventh gone. The second batch runs twice."""
+    docs, store = documents(spark, sf_dir).select("doc_id", "text"), new_path(spark, "store")
+    edited = docs.withColumn("text", F.when(F.col("doc_id") % 11 == 0, None).when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text")))
+    retrieval.update_index(docs, "doc_id", "text", store, "a")
+    for _ in range(2):
+        kept = retrieval.update_index(edited, "doc_id", "text", store, "b")
+    return kept.select("doc_id", "chunk_no", F.length("chunk").alias("n_chars"), F.substring_index("chunk", " ", -1).alias("last_word"))
 
 
 def mask_in_turn(spark, sf_dir):
@@ -238,24 +254,64 @@ def mapping_dim(spark, sf_dir):
 
 
 def pseudonym_round_trip(spark, sf_dir):
-    """E-mail addresses replaced by pseudonyms and put back by a join: equal to the text without the braces' trace."""
-    docs = documents(spark, sf_dir).select("doc_id", "text").where("doc_id is not null").dropDuplicates(["doc_id"])
-    names = mask.pseudonym("salt")
-    hidden = mask.mask_text(docs, "text", [_RULE["EMAIL"]], names)
+    """E-mail addresses of all rows replaced by pseudonyms and put back by a join: equal to the text without the braces' trace."""
+    hidden = mask.mask_text(documents(spark, sf_dir).select("doc_id", "text"), "text", [_RULE["EMAIL"]], mask.pseudonym("salt"))
     table = hidden.select(F.explode("findings").alias("f")).select(F.expr("substring(f.replacement, 2, length(f.replacement) - 2)").alias("pseudonym"), "f.original").distinct()
-    back = mapping.restore(hidden.select("doc_id", "text", "masked"), "masked", "doc_id", table, keep_braces=False)
-    return back.select("doc_id", F.coalesce(F.col("restored") == F.col("text"), F.col("text").isNull()).alias("restored_equal"))
+    back = mapping.restore(hidden, "masked", table, keep_braces=False)
+    return back.select("doc_id", F.md5(F.col("restored").cast("binary")).alias("restored"), F.regexp_count("masked", F.lit(r"\{EMAIL_[g-v]{20}\}")).alias("n_hidden"))
+
+
+def mapping_batches(spark, sf_dir):
+    """Names of e-mail addresses kept over three batches: documents of even ids, all of them, and the first batch once more."""
+    docs, store = documents(spark, sf_dir), new_path(spark, "names")
+    for batch, rows in (("a", docs.where("doc_id % 2 = 0")), ("b", docs), ("a", docs.where("doc_id % 2 = 0"))):
+        kept = mapping.get_or_create(mask.findings(mask.spread(rows), "text", ["doc_id"], [_RULE["EMAIL"]]), store, batch)
+    return kept.select("original", "pseudonym", "tag", "number")
+
+
+def mask_stored(spark, sf_dir):
+    """Documents in a second batch under the names that a first batch of even ids and the batch itself gave: the names in each text, in order."""
+    docs, store = documents(spark, sf_dir).select("doc_id", "text"), new_path(spark, "names")
+    mapping.get_or_create(mask.findings(docs.where("doc_id % 2 = 0"), "text", ["doc_id"], [_RULE["EMAIL"]]), store, "a")
+    out = mapping.mask_stored(docs, "text", store, "b", [_RULE["EMAIL"]])
+    return out.select("doc_id", F.array_join(F.regexp_extract_all("masked", F.lit(r"\{(EMAIL_[0-9]+)\}")), "|").alias("names"), F.length("masked").alias("n_chars"))
+
+
+def stream_pseudonyms(spark, sf_dir):
+    """The documents as a stream, masked under names that are kept: the stream's rows put back by its mapping."""
+    store, out = new_path(spark, "names"), new_path(spark, "stream")
+    table = documents(spark, sf_dir).select("doc_id", "text")
+    stream = spark.readStream.schema(documents(spark, sf_dir).schema).parquet(f"{sf_dir}/documents.parquet*").select("doc_id", "text")
+    mask_with_store(stream, "text", store, out, new_path(spark, "offsets"), [_RULE["EMAIL"]]).awaitTermination()
+    rows = read_batches(spark, out, f"{table.schema.simpleString()[7:-1].replace(':', ' ')}, masked string")
+    back = mapping.restore(rows, "masked", mapping.kept_mapping(spark, store), keep_braces=False)
+    return back.select("doc_id", F.md5(F.col("restored").cast("binary")).alias("restored"), F.regexp_count("masked", F.lit(r"\{EMAIL_[0-9]+\}")).alias("n_hidden"))
+
+
+def mask_json_turns(spark, sf_dir):
+    """Turns as JSON of a form that is not told, in three shapes, with a key that is data: e-mail addresses in every string of them masked."""
+    named = F.to_json(F.create_map(F.concat(F.lit("u"), "turn", F.lit("@b.org")), F.col("text")))
+    content = F.concat("text", F.lit(" ask a.b@c.org"))
+    shapes = F.when(F.col("turn") % 3 == 0, F.to_json(F.struct("role", F.array(F.struct(content.alias("content"))).alias("parts")))).when(F.col("turn") % 3 == 1, named).otherwise(content)
+    return mask.mask_free_json(_turns(spark, sf_dir).select("conv_id", "turn", shapes.alias("payload")), "payload", [_RULE["EMAIL"]])
 
 
 def chunk_windows(spark, sf_dir):
-    docs = documents(spark, sf_dir).where("text is not null")
-    return retrieval.chunks(docs, "doc_id", "text").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.max("chunk_no").alias("last_chunk"))
+    return retrieval.chunks(documents(spark, sf_dir), "doc_id", "text").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.max("chunk_no").alias("last_chunk"))
 
 
 def chunk_ids(spark, sf_dir):
-    """First and last chunk number of every document in one numbering over all."""
-    docs = documents(spark, sf_dir).where("doc_id is not null").dropDuplicates(["doc_id"])
-    return retrieval.number_chunks(retrieval.chunks(docs, "doc_id", "text"), "doc_id").groupBy("doc_id").agg(F.min("chunk_id").alias("first_id"), F.max("chunk_id").alias("last_id"))
+    """First chunk number of every row in one numbering over all, and how many chunks it has."""
+    return retrieval.number_chunks(documents(spark, sf_dir), "doc_id", "text").select("doc_id", F.col("first").alias("first_id"), "chunks")
+
+
+def topk_clustered(spark, sf_dir):
+    """The ten nearest rows of every hundredth vector, from a clustered store that is searched without reading all of it."""
+    base, store = embeddings(spark, sf_dir), new_path(spark, "clusters")
+    clusters.write_clusters(base, store)
+    queries = base.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    found, _ = clusters.nearest_in_clusters(spark, store, queries)
+    return found.select("query_id", F.col("key").alias("vec_id"), F.col("rank").cast("long").alias("rank"))
 
 
 def topk_inner_product(spark, sf_dir):
@@ -296,6 +352,10 @@ QUERIES: dict[str, Query] = {
     "mask_full_placeholder": mask_full,
     "mask_payload_turns": mask_payload_turns,
     "mapping_dim": mapping_dim,
+    "mapping_batches": mapping_batches,
+    "mask_stored": mask_stored,
+    "stream_pseudonyms": stream_pseudonyms,
+    "mask_json_turns": mask_json_turns,
     "pseudonym_round_trip": pseudonym_round_trip,
     "estimate_tokens": lambda spark, sf_dir: _turns(spark, sf_dir).select("conv_id", "turn", t.estimate_tokens(F.col("text")).alias("tokens")),
     "complexity_level": lambda spark, sf_dir: _turns(spark, sf_dir).select("conv_id", "turn", route.complexity(F.col("text"), ROUTING).alias("level")),
@@ -312,6 +372,8 @@ QUERIES: dict[str, Query] = {
     "chunk_windows": chunk_windows,
     "chunk_ids": chunk_ids,
     "topk_inner_product": topk_inner_product,
+    "topk_clustered": topk_clustered,
+    "index_update": index_update,
     "inject_context": inject_context,
     "guard_rollup_labels": guard_rollup,
 }
@@ -324,6 +386,13 @@ _ADDRESS = r"regexp_extract_all(regexp_replace(text, '_?[A-Za-z0-9._%+-]+@[A-Za-
 _OCTETS_OK = "not contains(string_split(x, ':')[1], '.') or len(list_filter(string_split(string_split(x, ':')[1], '.'), lambda o: cast(o as int) > 255)) = 0"
 _MAILS = r"len(regexp_extract_all(text, '_?[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}_?'))"
 _CARD = r"regexp_extract_all(text, '\b(?:[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,7}|[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{5})\b')"
+_MAIL_LIST = r"regexp_extract_all(text, '_?[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}_?')"
+#: Addresses of even ids are numbered first, in order of code points, then the others.
+_NAMES_SQL = f"with found as (select unnest({_MAIL_LIST}) as original, coalesce(doc_id % 2 <> 0, true) as later from documents), names as (select original, row_number() over (order by later, original) as number from (select original, min(later) as later from found group by 1))"
+_JSON_SQL = r"select conv_id, turn, regexp_replace(case when turn % 3 = 0 then cast(to_json({'role': role, 'parts': [{'content': text || ' ask a.b@c.org'}]}) as varchar) when turn % 3 = 1 then cast(to_json(map {'u' || turn || '@b.org': text}) as varchar) else text || ' ask a.b@c.org' end, '_?[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}_?', '{{EMAIL}}', 'g') as payload from conversations"
+#: Chunks of 400 words every 300; rows are numbered in order of id and md5.
+_CUT_SQL = r"with r as (select doc_id, text, regexp_extract_all(text, '[^ \t\n\r\f\v]+') as w from {rows}), doc_chunks as (select doc_id, w, coalesce(sum((len(w) + 299) // 300) over (order by doc_id nulls first, md5(coalesce(text, '')) rows between unbounded preceding and 1 preceding), 0) as first from r where text is not null), cut as (select *, cast(unnest(range((len(w) + 299) // 300)) as int) as no from doc_chunks) select doc_id, no as chunk_no, {columns} from cut as doc_chunks"
+_TOPK_SQL = "select query_id, vec_id, rank from (select q.vec_id as query_id, b.vec_id as vec_id, row_number() over (partition by q.vec_id order by round(list_inner_product(cast(q.embedding as double[]), cast(b.embedding as double[])), 12) desc, b.vec_id) as rank from embeddings q, embeddings b where q.vec_id % 100 = 0) where rank <= 10"
 SQL: dict[str, str] = {
     **RULE_SQL,
     "findings_by_tag_lang": f"select tag, lang, cast(sum(k) as bigint) as n from (select lang, 'EMAIL' as tag, {_MAILS} as k from documents union all select lang, 'IP', len(list_filter({_ADDRESS}, lambda x: {_OCTETS_OK})) from documents) where k > 0 group by tag, lang",
@@ -333,7 +402,8 @@ SQL: dict[str, str] = {
     "route_model": f"select conv_id, turn, case when turn % 3 = 2 then 'own' when turn % 5 = 4 or coalesce(text, '') = '' then 'small' else (['small', 'middle', 'large'])[1 + {{pick}}] end as model from (select *, {_LEVEL_SQL} as level from ({_CLASS_SQL}))",
     "search_text": "select conv_id, case when conv_id % 2 = 0 and coalesce(last, '') <> '' then last else nullif('m ' || last, '') end as text from (select conv_id, max_by(text, turn) as last from conversations group by conv_id)",
     "mask_in_turn": "select conv_id, turn, case when text is not null then 'ask {{EMAIL}}, {{ORDER_NUMBER}}' end as tail, case when text is not null then 'a.b@c.org' end as email, case when text is not null then 'ORDER-1234' end as order_number from conversations",
-    "index_build": r"select doc_id, cast(unnest(range((len(w) + 299) // 300)) as int) as chunk_no, w[1 + 300 * unnest(range((len(w) + 299) // 300))] as first_word, cast(len(array_to_string(w[1 + 300 * unnest(range((len(w) + 299) // 300)) : 400 + 300 * unnest(range((len(w) + 299) // 300))], ' ')) as int) as n_chars, true as unit from (select doc_id, regexp_extract_all(text, '[^ \t\n\r\f\v]+') as w from documents where doc_id is not null and text is not null)",
+    "index_build": _CUT_SQL.format(rows="documents", columns="cast(doc_chunks.first + no as bigint) as chunk_id, w[1 + 300 * no] as first_word, cast(len(array_to_string(w[1 + 300 * no : 400 + 300 * no], ' ')) as int) as n_chars, true as unit"),
+    "index_update": _CUT_SQL.format(rows="(select doc_id, case when doc_id % 11 = 0 then null when doc_id % 7 = 0 then text || ' edited' else text end as text from documents)", columns="cast(len(array_to_string(w[1 + 300 * no : 400 + 300 * no], ' ')) as int) as n_chars, w[least(len(w), 400 + 300 * no)] as last_word"),
     **{k: _check_sql(text[1], rule) for k, (text, _, rule) in CHECKS.items()},
     **{k: f"select o_orderkey, regexp_replace({text[1]}, '{p}', '{{{{{tag}}}}}', 'g') as masked from orders" for k, (tag, text, p) in MASKS.items()},
     **{k: f"select o_orderkey, {rule} as found from (select o_orderkey, {text[1]} as s from orders)" for k, (_, text, rule) in DETECTS.items()},
@@ -345,12 +415,17 @@ SQL: dict[str, str] = {
     "select_model": f"select conv_id, turn, (['small', 'middle', 'large'])[1 + {{pick}}] as model from (select *, {_LEVEL_SQL} as level from ({_CLASS_SQL}))",
     "extract_user_text": "select conv_id, coalesce(nullif(max_by(text, turn), ''), '') as text from conversations group by conv_id",
     "clean_text": r"select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as clean from documents",
-    "chunk_windows": f"select doc_id, cast(sum((n + 299) // 300) as bigint) as n_chunks, cast(max((n + 299) // 300) - 1 as int) as last_chunk from (select doc_id, {WORDS_SQL} as n from documents where text is not null) where n > 0 group by doc_id",
-    "chunk_ids": f"select doc_id, cast(e - n as bigint) as first_id, cast(e - 1 as bigint) as last_id from (select doc_id, n, sum(n) over (order by doc_id) as e from (select doc_id, ({WORDS_SQL} + 299) // 300 as n from documents where doc_id is not null) where n > 0)",
-    "topk_inner_product": "select query_id, vec_id, rank from (select q.vec_id as query_id, b.vec_id as vec_id, row_number() over (partition by q.vec_id order by round(list_inner_product(cast(q.embedding as double[]), cast(b.embedding as double[])), 12) desc, b.vec_id) as rank from embeddings q, embeddings b where q.vec_id % 100 = 0) where rank <= 10",
+    "chunk_windows": f"select doc_id, cast(sum((n + 299) // 300) as bigint) as n_chunks, cast(max((n + 299) // 300) - 1 as int) as last_chunk from (select doc_id, {WORDS_SQL} as n from documents) where n > 0 group by doc_id",
+    "chunk_ids": f"select doc_id, cast(coalesce(sum(chunks) over (order by doc_id nulls first, md5(coalesce(text, '')) rows between unbounded preceding and 1 preceding), 0) as bigint) as first_id, chunks from (select doc_id, text, cast(coalesce(({WORDS_SQL} + 299) // 300, 0) as bigint) as chunks from documents)",
+    "topk_inner_product": _TOPK_SQL,
     "inject_context": f"select o_orderkey, o_orderpriority || {_HEAD_SQL} || 'order ' || cast(o_orderkey as varchar) || '\n\n\n\nsecond' as prompt from orders",
     "guard_rollup_labels": "select case when toxic is null or toxic <> 0 then 'toxic' when quality is null or quality <> 1 then 'quality' else 'none' end as verdict, count(*) as n from labels group by 1",
-    "pseudonym_round_trip": "select distinct doc_id, true as restored_equal from documents where doc_id is not null",
+    "pseudonym_round_trip": f"select doc_id, md5(text) as restored, cast({_MAILS} as int) as n_hidden from documents",
+    "stream_pseudonyms": f"select doc_id, md5(text) as restored, cast({_MAILS} as int) as n_hidden from documents",
+    "mapping_batches": f"{_NAMES_SQL} select original, 'EMAIL_' || number as pseudonym, 'EMAIL' as tag, number from names",
+    "mask_stored": f"{_NAMES_SQL}, d as (select row_number() over () as r, doc_id, text, {_MAIL_LIST} as mails from documents), u as (select r, unnest(mails) as x, unnest(range(len(mails))) as i from d), j as (select r, string_agg('EMAIL_' || number, '|' order by i) as names, sum(len('{{EMAIL_' || number || '}}') - len(x)) as more from u join names on original = x group by r) select doc_id, case when text is not null then coalesce(j.names, '') end as names, cast(len(text) + coalesce(more, 0) as int) as n_chars from d left join j on d.r = j.r",
+    "mask_json_turns": _JSON_SQL,
+    "topk_clustered": _TOPK_SQL,
 }
 _PICK = "case intent " + " ".join(f"when '{i.name}' then greatest({_PLACE}, {_AIM[i.target]})" for i in ROUTING.intents if i.target) + f" else greatest(0, {_PLACE} - 1) end"
 for _name in ("select_model", "route_model"):

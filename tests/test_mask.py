@@ -54,7 +54,7 @@ def test_pseudonyms_agree_and_come_back(spark):
     names = [f["replacement"] for f in hidden.where("doc_id = 1").first()["findings"]]
     assert len(set(names)) == 1 and "a@b.org" not in hidden.where("doc_id = 1").first()["masked"]
     table = hidden.select(F.explode("findings").alias("f")).select(F.expr("substring(f.replacement, 2, length(f.replacement) - 2)").alias("pseudonym"), "f.original").distinct()
-    back = {r["doc_id"]: r["restored"] for r in mapping.restore(hidden.select("doc_id", "masked"), "masked", "doc_id", table).collect()}
+    back = {r["doc_id"]: r["restored"] for r in mapping.restore(hidden.select("doc_id", "masked"), "masked", table).collect()}
     assert back == {1: "{a@b.org} and {a@b.org}", 2: "none", 3: None}
 
 

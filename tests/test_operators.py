@@ -4,9 +4,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from prismtext.operators import mask, retrieval, route
+from prismtext.operators import clusters, mask, retrieval, route
 from prismtext.operators.rules import IBAN_LENGTHS, RULES
 from prismtext.queries import CATALOGUE
+from prismtext.storage import numbered
 
 
 def rule(tag):
@@ -63,19 +64,86 @@ def test_account_lengths():
     assert IBAN_LENGTHS["PL"] == 28 and IBAN_LENGTHS["NO"] == 15
 
 
-def test_index_appends_and_is_searched(spark, tmp_path):
+def test_index_is_updated_and_searched(spark, tmp_path):
     store = str(tmp_path / "store")
     assert retrieval.load_store(spark, store) is None
     assert retrieval.search(None, spark.createDataFrame([(1, "x")], "query_id long, q string"), "q").count() == 0
     first = spark.createDataFrame([(1, "red  apples\n and pears"), (2, None), (3, " ")], "id long, text string")
-    assert retrieval.index_texts(first, "id", "text", store).count() == 1
+    assert retrieval.update_index(first, "id", "text", store, "1").count() == 1
     more = spark.createDataFrame([(4, "blue whales"), (5, "green apples")], "id long, text string")
-    kept = retrieval.index_texts(more, "id", "text", store)
+    kept = retrieval.update_index(more, "id", "text", store, "2")
     assert sorted(r["chunk_id"] for r in kept.collect()) == [0, 1, 2]
     got = retrieval.search(kept, spark.createDataFrame([(7, "whales blue")], "query_id long, q string"), "q", 1).collect()
     assert [(r["query_id"], r["chunk"], r["rank"]) for r in got] == [(7, "blue whales", 1)]
 
 
+def chunks_of(kept):
+    return sorted((r["id"] is not None, r["id"] or 0, r["chunk"]) for r in kept.collect())
+
+
+def test_index_batches_run_once_and_replace_what_changed(spark, tmp_path):
+    """Repeated and null ids, a batch run again, one that was broken off, edits, removals, and columns called like the operator's own."""
+    store = str(tmp_path / "store")
+    schema = "id long, text string, n int, first int, batch string, chunks int"
+    table = lambda *rows: spark.createDataFrame([(*r, 1, 2, "b", 3) for r in rows], schema)
+    a = table((1, "one"), (1, "other one"), (2, "two"), (2, "two"), (None, "no id"), (3, "three"), (4, None))
+    assert chunks_of(retrieval.update_index(a, "id", "text", store, "a")) == [(False, 0, "no id"), (True, 1, "one"), (True, 1, "other one"), (True, 2, "two"), (True, 2, "two"), (True, 3, "three")]
+    before = {(r["id"], r["chunk"], r["chunk_id"]) for r in retrieval.load_store(spark, store).collect()}
+    assert len({c for _, _, c in before}) == 6
+    again = retrieval.update_index(a, "id", "text", store, "a")
+    same = retrieval.update_index(a.repartition(3), "id", "text", store, "b")
+    assert {(r["id"], r["chunk"], r["chunk_id"]) for r in again.collect()} == before == {(r["id"], r["chunk"], r["chunk_id"]) for r in same.collect()}
+    # A batch whose chunks were written but not its marks counts for nothing.
+    retrieval.index_texts(table((9, "lost")), "id", "text").withColumn("batch", F.lit("c")).write.parquet(f"{store}/chunks/c")
+    assert chunks_of(retrieval.load_store(spark, store)) == chunks_of(again)
+    c = table((1, "one"), (2, None), (None, "an id"), (5, "five"))
+    now = retrieval.update_index(c, "id", "text", store, "c")
+    assert chunks_of(now) == [(False, 0, "an id"), (True, 1, "one"), (True, 3, "three"), (True, 5, "five")]
+    ids = [r["chunk_id"] for r in now.collect()]
+    assert len(set(ids)) == 4 and min(r["chunk_id"] for r in now.where("id in (1, 5) or id is null").collect()) > 5
+
+
+def test_chunk_numbers_of_repeated_and_null_ids(spark):
+    rows = spark.createDataFrame([(1, "a b c"), (1, "d"), (1, "d"), (None, "e f g"), (0, ""), (2, None)], "id long, text string")
+    got = retrieval.numbered_chunks(rows, "id", "text", 2, 1).collect()
+    assert sorted(r["chunk_id"] for r in got) == list(range(8))
+    assert sorted(r["chunk_id"] for r in got if r["id"] is None) == [0, 1, 2]
+    one = sorted((r["chunk_id"], r["chunk"]) for r in got if r["id"] == 1 and r["chunk"] not in ("d",))
+    assert [b[0] - a[0] for a, b in zip(one, one[1:])] == [1, 1]
+
+
+def test_numbers_of_rows_with_one_hot_key(spark):
+    rows = spark.range(1000).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("k"), "id")
+    got = sorted((r["k"], r["id"], r["number"]) for r in numbered(rows, [F.col("k"), F.col("id")]).collect())
+    assert [n for _, _, n in got] == list(range(1000))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small ranges are put together otherwise
+    try:
+        dealt = rows.repartitionByRange(F.col("k"), F.col("id")).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert dealt < 300
+        assert sorted(r["number"] for r in numbered(rows, [F.col("k"), F.col("id")]).collect()) == list(range(1000))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert numbered(rows.limit(0), [F.col("k")]).count() == 0
+
+
+def test_clusters_equal_a_full_scan_and_are_skipped(spark, tmp_path):
+    rnd = np.random.default_rng(1)
+    centres = rnd.normal(size=(20, 16))
+    rows = centres[rnd.integers(0, 20, 900)] + 0.05 * rnd.normal(size=(900, 16))
+    rows = np.concatenate([rows, rows[:5], np.zeros((2, 16))]).round(3)
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)] + [(5000, None)], "vec_id long, embedding array<float>")
+    queries = base.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    clusters.write_clusters(base, str(tmp_path / "s"), 20)
+    found, skipped = clusters.nearest_in_clusters(spark, str(tmp_path / "s"), queries, 12)
+    want = {(r["query_id"], r["rank"]): r["vec_id"] for r in retrieval.nearest(base, queries, 12).collect()}
+    assert {(r["query_id"], r["rank"]): r["key"] for r in found.collect()} == want
+    assert skipped > 0.5
+    clusters.write_clusters(base.limit(3), str(tmp_path / "few"), 20)
+    assert clusters.nearest_in_clusters(spark, str(tmp_path / "few"), queries.limit(1), 12)[0].count() == 3
+    clusters.write_clusters(base.limit(0), str(tmp_path / "none"), 20)
+    assert clusters.nearest_in_clusters(spark, str(tmp_path / "none"), queries)[0].count() == 0
+
+
 def test_pooled_states_are_averaged_under_the_mask():
     states = lambda texts: (np.array([[[3.0, 4.0], [9.0, 9.0]]] * len(texts)), np.array([[1, 0]] * len(texts)))
     assert np.allclose(retrieval.pooled(states)(pd.Series(["a", None]), 2), [[0.6, 0.8]] * 2)
