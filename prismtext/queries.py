@@ -6,6 +6,7 @@ made from the keys of orders: the same text in Spark and in SQL.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from prismtext.functions import text as t
 from prismtext.functions import validators as v
-from prismtext.operators import clusters, guard, mapping, mask, retrieval, route
+from prismtext.operators import clusters, guard, mapping, mask, retrieval, route, terms
 from prismtext.operators.rules import RULES
 from prismtext.rule_queries import queries as rule_queries
 from prismtext.storage import new_path, read_batches
@@ -328,6 +329,45 @@ def guard_rollup(spark, sf_dir):
     return judged.groupBy(F.coalesce("blocked_by", F.lit("none")).alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _judge() -> guard.Transport:
+    """Stands in for two services: one takes no text with a word of 16 letters, the other none that ends without a point."""
+    long = re.compile(r"[^\W\d_]{16}")
+
+    def post(url: str, payload: dict) -> dict:
+        safe = not long.search(payload["text"]) if url.endswith("words") else payload["text"].endswith(".")
+        return {"results": {"safe": safe}, "message": f"{url} {len(payload['text'])}"}
+
+    return post
+
+
+_STAGES = [guard.Stage("words", guard.address("guards/", "/words")), guard.Stage("point", guard.address("guards", "point"))]
+
+
+def guard_turns(spark, sf_dir):
+    """Every turn judged by two services in turn, the second asked only about what the first lets pass."""
+    rows = _turns(spark, sf_dir).select("conv_id", "turn", F.to_json(F.struct("text")).alias("payload"))
+    return guard.remote_guards(rows, "payload", _STAGES, _judge).select("conv_id", "turn", "safe", "blocked_by", "message")
+
+
+def guard_documents(spark, sf_dir):
+    """Every document judged chunk by chunk."""
+    return guard.guard_chunks(documents(spark, sf_dir).select("doc_id", "text"), "text", _STAGES[:1], _judge).select("doc_id", "safe", "blocked_by", "message", "n_chunks")
+
+
+def terms_in_documents(spark, sf_dir):
+    """In how many documents each word of three letters and more of the benchmark's items occurs, also inside of words."""
+    words = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{3,})"))).alias("term")).distinct()
+    found = terms.terms_in(documents(spark, sf_dir).select("doc_id", "text"), "text", words)
+    return found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def route_by_join(spark, sf_dir):
+    """What the keywords and phrases of the routing catalogue give each turn by intent, with the catalogue as a table."""
+    kinds = [(i.name, *t) for i in ROUTING.intents for t in [*((k, float(i.weights.get(k, 1))) for k in i.keywords), *map(route._weight, i.phrases)]]
+    table = spark.createDataFrame(kinds, "intent string, term string, weight double")
+    return terms.term_scores(_turns(spark, sf_dir).select("conv_id", "turn", "text"), ["conv_id", "turn"], "text", table)
+
+
 def mask_payload_turns(spark, sf_dir):
     """Turns as nested chat payloads, with e-mail addresses and orders' numbers masked in every string of them."""
     chats = _turns(spark, sf_dir).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.concat("text", F.lit(" ask a.b@c.org, ORDER-1234")).alias("content")))).alias("messages"))
@@ -376,6 +416,10 @@ QUERIES: dict[str, Query] = {
     "index_update": index_update,
     "inject_context": inject_context,
     "guard_rollup_labels": guard_rollup,
+    "guard_turns": guard_turns,
+    "guard_documents": guard_documents,
+    "terms_in_documents": terms_in_documents,
+    "route_by_join": route_by_join,
 }
 
 #: Where the level of an intent's target stands among three models.
@@ -419,6 +463,10 @@ SQL: dict[str, str] = {
     "chunk_ids": f"select doc_id, cast(coalesce(sum(chunks) over (order by doc_id nulls first, md5(coalesce(text, '')) rows between unbounded preceding and 1 preceding), 0) as bigint) as first_id, chunks from (select doc_id, text, cast(coalesce(({WORDS_SQL} + 299) // 300, 0) as bigint) as chunks from documents)",
     "topk_inner_product": _TOPK_SQL,
     "inject_context": f"select o_orderkey, o_orderpriority || {_HEAD_SQL} || 'order ' || cast(o_orderkey as varchar) || '\n\n\n\nsecond' as prompt from orders",
+    "guard_turns": r"select conv_id, turn, blocked_by is null as safe, blocked_by, case when blocked_by is not null then 'guards/' || blocked_by || ' ' || len(text) end as message from (select *, case when regexp_matches(text, '[\p{L}]{16}') then 'words' when not ends_with(text, '.') then 'point' end as blocked_by from conversations)",
+    "guard_documents": _CUT_SQL.replace(" select doc_id, no as chunk_no, {columns} from cut as doc_chunks", ", c as (select r, no, array_to_string(w[1 + 300 * no : 400 + 300 * no], ' ') as chunk from cut), j as (select r, count(*) as n, min(case when regexp_matches(chunk, '[\\p{{L}}]{{16}}') then {{'no': no, 'size': len(chunk)}} end) as f from c group by r) select doc_id, f is null as safe, case when f is not null then 'words' end as blocked_by, case when f is not null then 'guards/words ' || f.size end as message, coalesce(n, 0) as n_chunks from r left join j on r.r = j.r").replace("with r as (select doc_id,", "with r as (select row_number() over () as r, doc_id,").replace("doc_chunks as (select doc_id,", "doc_chunks as (select r, doc_id,").format(rows="documents"),
+    "terms_in_documents": "select term, count(*) as n from (select distinct unnest(regexp_extract_all(text, '[A-Za-z]{3,}')) as term from benchmark) t join documents d on contains(d.text, t.term) group by term",
+    "route_by_join": "select conv_id, turn, intent, cast(sum(weight) as double) as score from conversations, (values " + ", ".join(f"('{i.name}', '{k}', {w})" for i in ROUTING.intents for k, w in [*((k, float(i.weights.get(k, 1))) for k in i.keywords), *map(route._weight, i.phrases)]) + ") as t(intent, term, weight) where contains(lower(text), term) group by all",
     "guard_rollup_labels": "select case when toxic is null or toxic <> 0 then 'toxic' when quality is null or quality <> 1 then 'quality' else 'none' end as verdict, count(*) as n from labels group by 1",
     "pseudonym_round_trip": f"select doc_id, md5(text) as restored, cast({_MAILS} as int) as n_hidden from documents",
     "stream_pseudonyms": f"select doc_id, md5(text) as restored, cast({_MAILS} as int) as n_hidden from documents",
