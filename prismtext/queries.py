@@ -243,6 +243,73 @@ def findings_by_tag_lang(spark, sf_dir):
     return found.groupBy("tag", "lang").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Texts in which one rule meets what another would take, by o_orderkey % 10: how Spark and DuckDB spell them, and what all rules make of them.
+_N = {w: number(7919, w) for w in (2, 3, 5)} | {"pesel": number(700123, 9), 9: REGON9, 10: NIP, 16: CARD}
+_ORDER_TEXTS = [
+    tuple(f"'pay ' || lpad(cast(o_orderkey % 24 as {k}), 2, '0') || '.' || lpad(cast(o_orderkey % 60 as {k}), 2, '0') || ' PLN'" for k in ("string", "varchar")),
+    tuple(f"'+48' || {n}" for n in _N["pesel"]),
+    tuple(f"'n: ' || {n} || '.'" for n in _N[9]),
+    tuple(f"'vat: PL' || {n}" for n in _N[10]),
+    tuple(f"'no: ' || {n}" for n in _N[10]),
+    tuple(f"'INV-2023-' || {n}" for n in _N[5]),
+    tuple(f"'FV/2023/' || {n}" for n in _N[5]),
+    tuple(f"'ORDER-2023-' || {n}" for n in _N[3]),
+    tuple(f"'c: ' || {n}" for n in _N[16]),
+    tuple(f"'http://u' || cast(o_orderkey as {k}) || '@h.com'" for k in ("string", "varchar")),
+]
+_NIP_OK = f"({_sum(v.NIP_WEIGHTS, 'right(s, 10)')}) % 11 = cast(right(s, 1) as int)"
+_PESEL_OK = f"(10 - ({_sum(v.PESEL_WEIGHTS, 'right(s, 11)')}) % 10) % 10 = cast(right(s, 1) as int)"
+_REGON_OK = f"({_sum(v.REGON9_WEIGHTS, 'substr(s, 4, 9)')}) % 11 % 10 = cast(substr(s, 12, 1) as int)"
+_PHONE_OK = "substr(s, 4, 2) in (" + ", ".join(f"'{p}'" for p in v.PHONE_PREFIXES) + ") or substr(s, 4, 3) = '800'"
+_ORDER_MASKS = [
+    "'pay {{TIME}} PLN'",
+    f"case when {_PESEL_OK} then '+{{{{PESEL}}}}' else '{{{{PHONE_INTERNATIONAL}}}}' end",
+    f"case when {_REGON_OK} then 'n: {{{{REGON}}}}.' when {_PHONE_OK} then 'n: {{{{PHONE}}}}.' else s end",
+    f"case when {_NIP_OK} then 'vat: PL{{{{NIP}}}}' else 'vat: {{{{EU_VAT}}}}' end",
+    f"case when {_NIP_OK} then 'no: {{{{NIP}}}}' else 'no: {{{{KRS}}}}' end",
+    "'INV-2023-{{POSTAL_CODE}}'",
+    "'{{INVOICE_NUMBER}}'",
+    "'{{ORDER_NUMBER}}-' || right(s, 3)",
+    f"case when {_luhn('right(s, 16)')} then 'c: {{{{CREDIT_CARD}}}}' else 'c: {{{{SSL_CERT}}}}' end",
+    "'http://{{EMAIL}}'",
+]
+
+
+def _by_key(parts) -> str:
+    return "case " + " ".join(f"when o_orderkey % {len(parts)} = {i} then {x}" for i, x in enumerate(parts)) + " end"
+
+
+def mask_rule_order(spark, sf_dir):
+    """All 33 rules over texts that more than one of them could take: the order of the rules decides."""
+    texts = mask.spread(orders(spark, sf_dir)).select("o_orderkey", F.expr(_by_key([x for x, _ in _ORDER_TEXTS])).alias("s"))
+    return mask.mask_text(texts, "s").select("o_orderkey", "s", "masked")
+
+
+def _account(country: str, digits: str, size: int, k: int) -> str:
+    """An account number with the right check digits for even keys: country, check digits, ``size`` digits. k: the dialect."""
+    own, spelt = number(86028121, 12)[k], "".join(str(ord(c) - 55) for c in country)
+    body = f"right({own} || {own}, {size})"
+    whole = f"cast({body} || '{spelt}00' as {('decimal(38,0)', 'hugeint')[k]})"
+    kind = ("string", "varchar")[k]
+    return f"'{country}' || lpad(cast(98 - ({whole} % 97) - o_orderkey % 2 as {kind}), 2, '0') || {body}"
+
+
+def _apart(text: str, by: str, k: int) -> str:
+    return f"regexp_replace({text}, '(.{{4}})', '{('$1', chr(92) + '1')[k]}{by}'{', ' + chr(39) + 'g' + chr(39) if k else ''})"
+
+
+_ACCOUNT_TEXTS = [
+    [f"'iban ' || {_apart(_account('DE', '', 18, k), ' ', k)} || '.'", f"'iban ' || {_apart(_account('PL', '', 24, k), '-', k)}", f"'to ' || {_account('NO', '', 11, k)} || ' now'", f"'x: ' || substr({_account('PL', '', 24, k)}, 1, 4) || ' XXXX XXXX XXXX XXXX XXXX XXXX'", f"'cut ' || substr({_account('DE', '', 18, k)}, 1, 10) || chr(10) || substr({_account('DE', '', 18, k)}, 11)"]
+    for k in (0, 1)
+]
+
+
+def mask_accounts(spark, sf_dir):
+    """Account numbers of several countries: apart by blanks or hyphens, solid, masked by X, and cut by a line break; right check digits for even keys."""
+    texts = orders(spark, sf_dir).select("o_orderkey", F.expr(_by_key(_ACCOUNT_TEXTS[0])).alias("s"))
+    return texts.select("o_orderkey", "s", mask.apply_rule(F.col("s"), _RULE["BANK_ACCOUNT"]).alias("masked"))
+
+
 def mask_full(spark, sf_dir):
     """All 33 rules over every document: masked text and number of findings."""
     return mask.mask_text(mask.spread(documents(spark, sf_dir).select("doc_id", "text")), "text").select("doc_id", "masked", F.size("findings").alias("n_findings"))
@@ -390,6 +457,8 @@ QUERIES: dict[str, Query] = {
     "detect_ipv4": lambda spark, sf_dir: documents(spark, sf_dir).select("doc_id", F.array_join(mask.detect(F.col("text"), _RULE["IP"]), "|").alias("found")),
     "detect_card": lambda spark, sf_dir: documents(spark, sf_dir).select("doc_id", F.size(mask.detect(F.col("text"), _RULE["CREDIT_CARD"])).alias("n_cards")),
     "mask_full_placeholder": mask_full,
+    "mask_rule_order": mask_rule_order,
+    "mask_accounts": mask_accounts,
     "mask_payload_turns": mask_payload_turns,
     "mapping_dim": mapping_dim,
     "mapping_batches": mapping_batches,
@@ -433,6 +502,15 @@ _CARD = r"regexp_extract_all(text, '\b(?:[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?
 _MAIL_LIST = r"regexp_extract_all(text, '_?[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}_?')"
 #: Addresses of even ids are numbered first, in order of code points, then the others.
 _NAMES_SQL = f"with found as (select unnest({_MAIL_LIST}) as original, coalesce(doc_id % 2 <> 0, true) as later from documents), names as (select original, row_number() over (order by later, original) as number from (select original, min(later) as later from found group by 1))"
+_SOLID_OK = _IBAN_SQL.replace("substr(s, 5) || substr(s, 1, 4)", "substr(x, 5) || substr(x, 1, 4)")
+_is_account = lambda size, at: f"(select {_SOLID_OK} from (select substr(regexp_replace(s, '[ -]', '', 'g'), {at}, {size}) as x))"
+_ACCOUNT_MASKS = [
+    f"case when {_is_account(22, 5)} then 'iban {{{{BANK_ACCOUNT}}}}' || substr(s, 33) else s end",
+    f"case when {_is_account(28, 5)} then 'iban {{{{BANK_ACCOUNT}}}}' || substr(s, 40) else s end",
+    f"case when {_is_account(15, 3)} then 'to {{{{BANK_ACCOUNT}}}} now' else s end",
+    "'x: {{BANK_ACCOUNT}}'",
+    "s",
+]
 _JSON_SQL = r"select conv_id, turn, regexp_replace(case when turn % 3 = 0 then cast(to_json({'role': role, 'parts': [{'content': text || ' ask a.b@c.org'}]}) as varchar) when turn % 3 = 1 then cast(to_json(map {'u' || turn || '@b.org': text}) as varchar) else text || ' ask a.b@c.org' end, '_?[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}_?', '{{EMAIL}}', 'g') as payload from conversations"
 #: Chunks of 400 words every 300; rows are numbered in order of id and md5.
 _CUT_SQL = r"with r as (select doc_id, text, regexp_extract_all(text, '[^ \t\n\r\f\v]+') as w from {rows}), doc_chunks as (select doc_id, w, coalesce(sum((len(w) + 299) // 300) over (order by doc_id nulls first, md5(coalesce(text, '')) rows between unbounded preceding and 1 preceding), 0) as first from r where text is not null), cut as (select *, cast(unnest(range((len(w) + 299) // 300)) as int) as no from doc_chunks) select doc_id, no as chunk_no, {columns} from cut as doc_chunks"
@@ -473,6 +551,8 @@ SQL: dict[str, str] = {
     "mapping_batches": f"{_NAMES_SQL} select original, 'EMAIL_' || number as pseudonym, 'EMAIL' as tag, number from names",
     "mask_stored": f"{_NAMES_SQL}, d as (select row_number() over () as r, doc_id, text, {_MAIL_LIST} as mails from documents), u as (select r, unnest(mails) as x, unnest(range(len(mails))) as i from d), j as (select r, string_agg('EMAIL_' || number, '|' order by i) as names, sum(len('{{EMAIL_' || number || '}}') - len(x)) as more from u join names on original = x group by r) select doc_id, case when text is not null then coalesce(j.names, '') end as names, cast(len(text) + coalesce(more, 0) as int) as n_chars from d left join j on d.r = j.r",
     "mask_json_turns": _JSON_SQL,
+    "mask_rule_order": f"select o_orderkey, s, {_by_key(_ORDER_MASKS)} as masked from (select o_orderkey, {_by_key([x for _, x in _ORDER_TEXTS])} as s from orders)",
+    "mask_accounts": f"select o_orderkey, s, {_by_key(_ACCOUNT_MASKS)} as masked from (select o_orderkey, {_by_key(_ACCOUNT_TEXTS[1])} as s from orders)",
     "topk_clustered": _TOPK_SQL,
 }
 _PICK = "case intent " + " ".join(f"when '{i.name}' then greatest({_PLACE}, {_AIM[i.target]})" for i in ROUTING.intents if i.target) + f" else greatest(0, {_PLACE} - 1) end"
