@@ -82,24 +82,37 @@ def budget_thresholds(sizes: DataFrame, budgets: DataFrame, n: int) -> DataFrame
     return state.select("key", (F.col("low") + F.when(nearer, 1).otherwise(0)).alias("threshold"))
 
 
-def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target and copies.
+def _key() -> Column:
+    return F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))
 
-    A source's target is a number of whole passes over it plus a rest; every
-    document is taken once for each pass, and those under the source's hash
-    threshold once more, so no document exceeds ``most`` passes rounded up.
-    """
+
+def source_cuts(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> tuple[DataFrame, DataFrame, int]:
+    """The documents' sizes and hashes; for each source (key) its size, target, whole passes, rest and threshold; the number of sources."""
     sizes = materialize(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), hash48(F.col("doc_id")).alias("u")), "sizes")
     targets = materialize(source_targets(sizes, weights, share, most), "targets")
     n = targets.count()
-    keyed = targets.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")).alias("key"), "source_size", "target")
+    keyed = targets.select(_key().alias("key"), "source_size", "target")
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     keyed = keyed.withColumn("passes", passes).withColumn("budget", F.col("target") - F.col("passes") * F.col("source_size"))
-    rows = sizes.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")))
-    cuts = budget_thresholds(rows.select("key", "size", "u"), keyed.select("key", "budget"), n)
-    both = materialize(keyed.join(cuts, "key", "left"), "cuts")
-    more = F.when(F.col("budget") <= 0, 0).when(F.col("threshold").isNull() | (F.col("u") < F.col("threshold")), 1).otherwise(0)
-    return small_join(rows, both, ["key"], n).select("doc_id", "source", "size", "source_size", "target", (F.col("passes") + more).alias("copies"))
+    cuts = budget_thresholds(sizes.select(_key().alias("key"), "size", "u"), keyed.select("key", "budget"), n)
+    return sizes, materialize(keyed.join(cuts, "key", "left"), "cuts"), n
+
+
+def _copies(u: Column, passes: Column, budget: Column, threshold: Column) -> Column:
+    """A source's whole passes, and one more below its threshold."""
+    return passes + F.when(budget <= 0, 0).when(threshold.isNull() | (u < threshold), 1).otherwise(0)
+
+
+def mix_plan(docs: DataFrame, **how) -> DataFrame:
+    """Per document: doc_id, source, size, source_size, target and copies.
+
+    A source's target is a number of whole passes over it plus a rest; every
+    document is taken once for each pass, and those under the source's hash
+    threshold once more, so no document exceeds ``most`` passes rounded up.
+    """
+    sizes, cuts, n = source_cuts(docs, **how)
+    rows = sizes.withColumn("key", _key())
+    return small_join(rows, cuts, ["key"], n).select("doc_id", "source", "size", "source_size", "target", _copies(*map(F.col, ("u", "passes", "budget", "threshold"))).alias("copies"))
 
 
 def op10_mix(docs: DataFrame) -> DataFrame:
@@ -109,13 +122,14 @@ def op10_mix(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as they are taken, with the columns of ``docs``.
 
-    Copies are decided by id and source; rows that agree in both agree in their copies.
+    Copies follow from a row's id and its source's threshold, so only the sources' table is joined and no text is shuffled.
     """
-    copies, copy = fresh(docs.columns, "copies", "copy")
-    plan = mix_plan(docs, **how).groupBy("doc_id", "source").agg(F.max("copies").alias(copies))
-    same = docs["doc_id"].eqNullSafe(plan["doc_id"]) & docs["source"].eqNullSafe(plan["source"])
-    taken = docs.join(plan, same, "inner").where(F.col(copies) > 0)
-    return taken.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy)).drop(copy)
+    _, cuts, n = source_cuts(docs, **how)
+    key, copies, copy = fresh([*docs.columns, *cuts.columns], "mix_key", "copies", "copy")
+    own = fresh(docs.columns, "passes", "budget", "threshold")
+    cuts = cuts.select(F.col("key").alias(key), *[F.col(c).alias(o) for c, o in zip(("passes", "budget", "threshold"), own)])
+    taken = small_join(docs.withColumn(key, _key()), cuts, [key], n, "inner").withColumn(copies, _copies(hash48(F.col("doc_id")), *map(F.col, own))).where(F.col(copies) > 0)
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy)).drop(copy)
 
 
 OP10_SQL = r"""

@@ -335,9 +335,14 @@ def _chunks(docs: DataFrame, text: str) -> DataFrame:
     return spark.table(name)
 
 
-def release(spark: SparkSession) -> None:
-    """Drop the chunk tables of results that have been read."""
-    while _held:
+def held() -> int:
+    """A mark for ``release``."""
+    return len(_held)
+
+
+def release(spark: SparkSession, mark: int = 0) -> None:
+    """Drop the chunk tables of results made since ``mark``, which have been read; earlier results can still be."""
+    while len(_held) > mark:
         name, path = _held.pop()
         spark.sql(f"DROP TABLE IF EXISTS {name}")
         delete(spark, path)
@@ -542,7 +547,8 @@ def _digests(pieces: Pieces, texts: list[str | None], ids: np.ndarray, at: np.nd
 
 def op5_pieces(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_ids, ids_crc32 (ids as little-endian 32-bit), decoded_sha256 and whether it is the text."""
+    mark = held()
     coded = encode(docs.select("doc_id", "text"), function=_digests, schema="n_ids long, ids_crc32 long, decoded_sha256 string, whole boolean")
     out = materialize(coded.drop("text"), "pieces")
-    release(docs.sparkSession)
+    release(docs.sparkSession, mark)
     return out
