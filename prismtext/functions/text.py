@@ -31,3 +31,11 @@ def search_text(messages: Column, last: Column) -> Column:
     A payload that is no object is searched by as it is: cast it to a string.
     """
     return F.coalesce(_some(last), _some(F.try_element_at(messages, F.lit(-1))["content"]))
+
+
+def search_text_of(payload: Column) -> Column:
+    """The text to search by of a payload as JSON text: of an object as ``search_text`` has it (null where it has none), else the payload as it stands."""
+    value = F.try_parse_json(payload)
+    messages = F.try_variant_get(value, "$.messages", "array<struct<role string, content string>>")
+    last = F.try_variant_get(value, "$.user_last_statement", "string")
+    return F.when(F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False)), search_text(messages, last)).otherwise(payload)

@@ -209,6 +209,15 @@ def search_texts(spark, sf_dir):
     return last.select("conv_id", t.search_text(messages, F.when(F.col("conv_id") % 2 == 0, F.col("last"))).alias("text"))
 
 
+def search_payloads(spark, sf_dir):
+    """The text to search by of payloads as JSON text: objects with messages or a last statement, plain text, arrays, objects without either."""
+    last = _turns(spark, sf_dir).groupBy("conv_id").agg(F.max_by("text", "turn").alias("last"), F.max_by("role", "turn").alias("role"))
+    one = F.struct("role", F.col("last").alias("content"))
+    shapes = [F.to_json(F.struct(F.array(F.struct("role", F.lit("first").alias("content")), one).alias("messages"))), F.to_json(F.struct(F.array(one).alias("messages"), F.concat("last", F.lit("!")).alias("user_last_statement"))), F.concat(F.lit("say "), "last"), F.to_json(F.array("role")), F.to_json(F.struct("role"))]
+    payload = F.coalesce(*[F.when(F.col("conv_id") % 5 == k, x) for k, x in enumerate(shapes)])
+    return last.select("conv_id", t.search_text_of(payload).alias("text"))
+
+
 def index_build(spark, sf_dir):
     """All documents cleared, cut, numbered and embedded: of each chunk its number, first word and length, and whether its vector has unit length."""
     built = retrieval.index_texts(documents(spark, sf_dir), "doc_id", "text")
@@ -473,6 +482,7 @@ QUERIES: dict[str, Query] = {
     "select_model": select_model,
     "route_model": route_model,
     "search_text": search_texts,
+    "search_payloads": search_payloads,
     "index_build": index_build,
     "mask_in_turn": mask_in_turn,
     **RULE_QUERIES,
@@ -551,6 +561,7 @@ SQL: dict[str, str] = {
     "mapping_batches": f"{_NAMES_SQL} select original, 'EMAIL_' || number as pseudonym, 'EMAIL' as tag, number from names",
     "mask_stored": f"{_NAMES_SQL}, d as (select row_number() over () as r, doc_id, text, {_MAIL_LIST} as mails from documents), u as (select r, unnest(mails) as x, unnest(range(len(mails))) as i from d), j as (select r, string_agg('EMAIL_' || number, '|' order by i) as names, sum(len('{{EMAIL_' || number || '}}') - len(x)) as more from u join names on original = x group by r) select doc_id, case when text is not null then coalesce(j.names, '') end as names, cast(len(text) + coalesce(more, 0) as int) as n_chars from d left join j on d.r = j.r",
     "mask_json_turns": _JSON_SQL,
+    "search_payloads": """select conv_id, case conv_id % 5 when 0 then last when 1 then last || '!' when 2 then 'say ' || last when 3 then '["' || role || '"]' end as text from (select conv_id, max_by(text, turn) as last, max_by(role, turn) as role from conversations group by conv_id)""",
     "mask_rule_order": f"select o_orderkey, s, {_by_key(_ORDER_MASKS)} as masked from (select o_orderkey, {_by_key([x for _, x in _ORDER_TEXTS])} as s from orders)",
     "mask_accounts": f"select o_orderkey, s, {_by_key(_ACCOUNT_MASKS)} as masked from (select o_orderkey, {_by_key(_ACCOUNT_TEXTS[1])} as s from orders)",
     "topk_clustered": _TOPK_SQL,
