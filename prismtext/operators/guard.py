@@ -104,15 +104,17 @@ def remote_guards(df: DataFrame, payload: str, stages: Sequence[Stage], make: Ca
         raise ValueError("the table has a column called safe, blocked_by or message")
     mark, held = free(df.columns, "mark", "payload")
     rows = df.withColumn(mark, F.coalesce(F.sha2(payload, 256), F.lit("")))
-    left = rows.groupBy(mark).agg(F.min(payload).alias(held))
+    left = rows.where(F.col(payload).isNotNull()).groupBy(mark).agg(F.min(payload).alias(held))
+    left = stored(left, "payloads") if len(stages) > 1 else left
     blocked: DataFrame | None = None
     for stage in stages:
-        asked = ask_once(left, held, stage.url, make, tries)
         safe = F.coalesce(F.get_json_object("answer", stage.verdict) == "true", F.lit(False))
-        judged = stored(asked.select(mark, held, safe.alias("safe"), F.coalesce(F.get_json_object("answer", stage.message), F.col("error")).alias("message")), "judged")
+        asked = ask(left, held, stage.url, make, tries).select(mark, safe.alias("safe"), F.coalesce(F.get_json_object("answer", stage.message), F.col("error")).alias("message"))
+        judged = stored(asked, "judged")
         own = judged.where("not safe").select(mark, F.lit(stage.name).alias("blocked_by"), "message")
-        blocked = own if blocked is None else blocked.unionByName(own)
-        left = judged.where("safe").select(mark, held)
+        none = df.sparkSession.createDataFrame([("", stage.name, "no payload")], own.schema)
+        blocked = own.unionByName(none) if blocked is None else blocked.unionByName(own)
+        left = left.join(judged.where("safe").select(mark), mark, "left_semi")
     if blocked is None:
         return df.withColumns({"blocked_by": F.lit(None).cast("string"), "message": F.lit(None).cast("string"), "safe": F.lit(True)})
     return rows.join(blocked, mark, "left").select(*df.columns, "blocked_by", "message", F.col("blocked_by").isNull().alias("safe"))
@@ -127,14 +129,15 @@ def guard_chunks(df: DataFrame, text: str, stages: Sequence[Stage], make: Callab
         raise ValueError("the table has a column called safe, blocked_by, message or n_chunks")
     mark, found = free(df.columns, "mark", "found")
     rows = df.withColumn(mark, F.sha2(text, 256))
-    texts = rows.where(F.col(text).isNotNull()).groupBy(F.col(mark).alias("hash")).agg(F.min(text).alias("whole"))
+    # Equal texts give equal rows here, which change neither verdicts nor the last chunk's number.
+    texts = rows.where(F.col(text).isNotNull()).select(F.col(mark).alias("hash"), F.col(text).alias("whole"))
     cut = chunks(texts, "hash", "whole", size, overlap).select("hash", "chunk_no", F.to_json(F.struct(F.col("chunk").alias("text"))).alias("payload"))
     judged = remote_guards(cut, "payload", stages, make, tries)
     first = F.min(F.when(~F.col("safe"), F.struct("chunk_no", "blocked_by", "message"))).alias("first")
-    rolled = judged.groupBy(F.col("hash").alias(mark)).agg(F.struct(F.bool_and("safe").alias("safe"), first, F.count(F.lit(1)).alias("n")).alias(found))
+    rolled = judged.groupBy(F.col("hash").alias(mark)).agg(F.struct(F.bool_and("safe").alias("safe"), first, (F.max("chunk_no") + 1).alias("n")).alias(found))
     get = lambda c: F.col(f"{found}.{c}")
     out = rows.join(rolled, mark, "left")
-    return out.select(*df.columns, F.coalesce(get("safe"), F.lit(True)).alias("safe"), get("first.blocked_by").alias("blocked_by"), get("first.message").alias("message"), F.coalesce(get("n"), F.lit(0)).alias("n_chunks"))
+    return out.select(*df.columns, F.coalesce(get("safe"), F.lit(True)).alias("safe"), get("first.blocked_by").alias("blocked_by"), get("first.message").alias("message"), F.coalesce(get("n"), F.lit(0)).cast("long").alias("n_chunks"))
 
 
 def remote_guard(df: DataFrame, payload: str, url: str, make: Callable[[], Transport] = http_transport) -> DataFrame:
