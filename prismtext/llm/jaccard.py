@@ -54,6 +54,8 @@ NUM, DEN = 3, 4
 SLOTS, BLOCK = 1 << 22, 1 << 16
 #: Sets in one block of a long index list or of a leader's group.
 LIST_BLOCK = 1024
+#: Bytes of answers in one block of a class when links are counted.
+BLOCK_BYTES = 32 << 20
 #: Prefix shingles that two linked sets share (of small sets fewer).
 LEAST = 4
 #: Bits of the filter that picks the texts to compare; it only spares work.
@@ -339,6 +341,44 @@ def _forest(links: Iterator[tuple[int, int, int]], cls: np.ndarray) -> list[tupl
     return out
 
 
+def _linked(bits: np.ndarray, rest: list[np.ndarray], n: np.ndarray, i: np.ndarray, j: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs (i, j) that ``open_`` marks those that link, and what each has in common; from the answers of one leader's sets."""
+    none = (np.zeros(0, np.int64),) * 3
+    inside = np.zeros((len(i), len(j)), np.float32)
+    for c in range(0, bits.shape[1], 512):  # columns in slices, so that what is unpacked stays small
+        inside += np.unpackbits(bits[i, c : c + 512], axis=1).astype(np.float32) @ np.unpackbits(bits[j, c : c + 512], axis=1).astype(np.float32).T
+    spare = lambda x: np.array([len(rest[k]) for k in x.tolist()], np.int64)
+    need = -((-NUM * (n[i][:, None] + n[j][None])) // (NUM + DEN))
+    open_ = open_ & (inside + np.minimum(spare(i)[:, None], spare(j)[None]) >= need)
+    p, q = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+    if not len(p):
+        return none
+    common = inside[np.ix_(p, q)].astype(np.int64)
+    rows_p, rows_q = [rest[x] for x in i[p]], [rest[x] for x in j[q]]
+    tokens, at = np.unique(np.concatenate(rows_p), return_inverse=True)
+    if len(tokens):
+        # The rests' common part: columns are the tokens of the left side, in slices.
+        mine = np.repeat(np.arange(len(p)), [len(x) for x in rows_p])
+        flat = np.concatenate([np.zeros(0, np.uint64), *rows_q])
+        place = np.minimum(np.searchsorted(tokens, flat), len(tokens) - 1)
+        hit = tokens[place] == flat
+        theirs, place = np.repeat(np.arange(len(q)), [len(x) for x in rows_q])[hit], place[hit]
+        used, place = np.unique(place, return_inverse=True)
+        slot = np.full(len(tokens), -1)
+        slot[used] = np.arange(len(used))
+        col = slot[at]
+        for c in range(0, len(used), 4096):
+            wide = min(4096, len(used) - c)
+            x, y = np.zeros((len(p), wide), np.float32), np.zeros((len(q), wide), np.float32)
+            own = (col >= c) & (col < c + wide)
+            x[mine[own], col[own] - c] = 1
+            own = (place >= c) & (place < c + wide)
+            y[theirs[own], place[own] - c] = 1
+            common += (x @ y.T).astype(np.int64)
+    u, v = np.nonzero(open_[np.ix_(p, q)] & (common >= need[np.ix_(p, q)]))
+    return i[p[u]], j[q[v]], common[u, v]
+
+
 def _group_links(rows: DataFrame) -> DataFrame:
     """Links (a, b, na, nb, common) between sets of one leader, from their answers alone.
 
@@ -357,44 +397,12 @@ def _group_links(rows: DataFrame) -> DataFrame:
         native = t["own"].to_numpy() == t["block"].to_numpy()
         bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint8).reshape(len(sid), -1)
         rest = [np.frombuffer(x, np.uint64) for x in t["rest"].to_pylist()]
-        spare = np.array([len(x) for x in rest])
         left, right = np.flatnonzero(moves), np.flatnonzero(native)
         links = []
         for start in range(0, len(left), 256):
             i = left[start : start + 256]
-            inside = np.zeros((len(i), len(right)), np.float32)
-            for c in range(0, bits.shape[1], 512):  # columns in slices, so that what is unpacked stays small
-                inside += np.unpackbits(bits[i, c : c + 512], axis=1).astype(np.float32) @ np.unpackbits(bits[right, c : c + 512], axis=1).astype(np.float32).T
-            need = -((-NUM * (n[i][:, None] + n[right][None])) // (NUM + DEN))
-            open_ = (cls[i][:, None] != cls[right][None]) & (inside + np.minimum(spare[i][:, None], spare[right][None]) >= need)
-            p, q = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
-            if not len(p):
-                continue
-            common = inside[np.ix_(p, q)].astype(np.int64)
-            rows_p, rows_q = [rest[x] for x in i[p]], [rest[x] for x in right[q]]
-            tokens, at = np.unique(np.concatenate(rows_p), return_inverse=True)
-            if len(tokens):
-                # The rests' common part: columns are the tokens of the left side, in slices.
-                mine = np.repeat(np.arange(len(p)), [len(x) for x in rows_p])
-                flat = np.concatenate([np.zeros(0, np.uint64), *rows_q])
-                place = np.minimum(np.searchsorted(tokens, flat), len(tokens) - 1)
-                hit = tokens[place] == flat
-                theirs, place = np.repeat(np.arange(len(q)), [len(x) for x in rows_q])[hit], place[hit]
-                used, place = np.unique(place, return_inverse=True)
-                slot = np.full(len(tokens), -1)
-                slot[used] = np.arange(len(used))
-                col = slot[at]
-                for c in range(0, len(used), 4096):
-                    wide = min(4096, len(used) - c)
-                    x, y = np.zeros((len(p), wide), np.float32), np.zeros((len(q), wide), np.float32)
-                    own = (col >= c) & (col < c + wide)
-                    x[mine[own], col[own] - c] = 1
-                    own = (place >= c) & (place < c + wide)
-                    y[theirs[own], place[own] - c] = 1
-                    common += (x @ y.T).astype(np.int64)
-            u, v = np.nonzero(open_[np.ix_(p, q)] & (common >= need[np.ix_(p, q)]))
-            got = _forest(zip(i[p[u]].tolist(), right[q[v]].tolist(), common[u, v].tolist()), cls)
-            links += got
+            got = _linked(bits, rest, n, i, right, cls[i][:, None] != cls[right][None])
+            links += _forest(zip(*(x.tolist() for x in got)), cls)
         links = _forest(iter(links), cls)
         i, j, c = (np.array(x, np.int64) for x in zip(*links)) if links else (np.zeros(0, np.int64),) * 3
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (sid[i], sid[j], n[i], n[j], c)], names=["a", "b", "na", "nb", "common"])
@@ -522,6 +530,56 @@ def _grouped(answers: DataFrame, classes: DataFrame, moves) -> DataFrame:
     return rows.select(F.col("a").alias("list"), "set_id", F.col("nb").alias("n"), "bits", "rest", "class", moves.alias("moves"))
 
 
+def _link_sums(rows: DataFrame) -> DataFrame:
+    """(set_id, linked): for each set the copies of all sets that link with it, from the answers of one leader.
+
+    ``rows`` has list, set_id, n, bits, rest and copies. A class is cut into
+    blocks by rows and bytes; each pair of blocks is one piece of work, which
+    gives a row for each of its sets, never one for each pair.
+    """
+    weight = F.sum(F.length("bits") + F.length("rest")) / F.lit(BLOCK_BYTES)
+    size = rows.groupBy("list").agg(F.ceil(F.greatest(F.count(F.lit(1)) / LIST_BLOCK, weight)).cast("int").alias("m"))
+    rows = rows.join(size, "list").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("m")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    rows = rows.withColumn("b1", F.least("own", "other")).withColumn("b2", F.greatest("own", "other")).drop("m", "other")
+
+    def found(t: pa.Table) -> pa.RecordBatch:
+        sid, n, copies, own = (t[c].to_numpy() for c in ("set_id", "n", "copies", "own"))
+        bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint8).reshape(len(sid), -1)
+        rest = [np.frombuffer(x, np.uint64) for x in t["rest"].to_pylist()]
+        b1, b2, total = t["b1"][0].as_py(), t["b2"][0].as_py(), np.zeros(len(sid), np.int64)
+        left, right = np.flatnonzero(own == b1), np.flatnonzero(own == b2)
+        for start in range(0, len(left), 256):
+            i = left[start : start + 256]
+            p, q, _ = _linked(bits, rest, n, i, right, i[:, None] != right[None])
+            total += np.bincount(p, copies[q], len(sid)).astype(np.int64)
+            if b1 != b2:
+                total += np.bincount(q, copies[p], len(sid)).astype(np.int64)
+        hit = np.flatnonzero(total)
+        return pa.RecordBatch.from_arrays([pa.array(sid[hit]), pa.array(total[hit])], names=["set_id", "linked"])
+
+    parts = _each_block(rows, ["list", "b1", "b2"], found, "set_id long, linked long")
+    return parts.groupBy("set_id").agg(F.sum("linked").alias("linked"))
+
+
+def link_counts(docs: DataFrame, classes: DataFrame, text: str = "text") -> DataFrame:
+    """(set_id, n_links) of every set that is not empty: how many other rows of ``docs`` each row with that set is linked with.
+
+    ``classes`` is the first result of ``jaccard_classes`` for the same rows.
+    Every pair of different sets of a class is decided exactly. Each set is compared with one
+    set of its class on their texts; all other pairs follow from these answers. Equal
+    rows are counted, not expanded.
+    """
+    sets = materialize(classes.where("n > 0").groupBy("component", "set_id").agg(F.count(F.lit(1)).alias("copies")), "sets")
+    heads = sets.groupBy("component").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("copies", "set_id")).alias("head")).where("k > 1")
+    pairs = materialize(sets.join(heads, "component").select(F.col("head.set_id").alias("a"), F.col("set_id").alias("b"), "copies"), "inclass")
+    answers = _answers(pairs.select("a", "b"), docs, text, 0.0).select(F.col("a").alias("list"), F.col("b").alias("set_id"), F.col("nb").alias("n"), "bits", "rest")
+    many = pairs.where("copies > 1").select(F.col("b").alias("set_id"), "copies")
+    rows = answers.join(many, "set_id", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    sums = _link_sums(materialize(rows, "inanswers"))
+    return sets.join(sums, "set_id", "left").select("set_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+
+
 def jaccard_classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_hash, set_id, n, component, class_id) of every document and links (a, b, na, nb, common) between sets that span the classes.
 
