@@ -24,7 +24,8 @@ The work skips along set relations:
 Every skipped pair is either in one class already or proved below T, so the
 classes are exact. ``links`` holds links that connect the classes (a spanning
 subset of the join, each verified), ``set_id`` tells equal sets; pairs within a
-class that connect nothing new are not listed.
+class that connect nothing new are not listed, but ``link_counts`` decides each
+of them and counts every row's links.
 
 Frequencies come from all documents: a count sketch of 2**22 slots, merged
 over all tasks; its size does not grow, and it only guides the order.
@@ -621,5 +622,10 @@ def jaccard_classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Dat
 
 
 def op7_jaccard(docs: DataFrame) -> DataFrame:
-    classes, _ = jaccard_classes(docs.select("doc_id", "text"))
-    return classes.select("doc_id", F.col("n").alias("n_shingles"), F.col("class_id").alias("component_id"))
+    """doc_id, n_shingles, component_id and n_links: the number of other rows that a row is linked with (0 for an empty set)."""
+    docs, mark = docs.select("doc_id", "text"), written()
+    classes, _ = jaccard_classes(docs)
+    counts = materialize(link_counts(docs, classes), "counts")
+    discard(docs.sparkSession, mark, classes, counts)
+    rows = classes.join(counts, "set_id", "left")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("class_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
