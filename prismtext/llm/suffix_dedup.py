@@ -13,7 +13,8 @@ The suffixes are refined bucket by bucket, as in bucket-pointer refinement:
    suffixes remains.
 3. These suffixes are sorted by name, then by the names at later (and earlier)
    offsets that span all their windows. A bucket of one is unique and done. If
-   the whole span occurs twice, all its windows repeat: done as well.
+   the whole span occurs twice, all its windows repeat: done as well. Bytes go only
+   where two 64-bit names agree, the suffix's and its span's or window's.
 4. What stays open (a repeat begins or ends nearby) is refined to single
    windows, by the names of the 400 bytes at each offset.
 
@@ -39,7 +40,7 @@ SPAN = LENGTH - GRAM + 1
 #: Rows up to which a join's side is broadcast, and open suffixes of one name up to which they are refined in one task.
 FEW, GROUP = 5_000, 2_000
 ODD, ODDER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-SCHEMA = "name long, span long, doc long, start int, stop int, mark int"
+SCHEMA = "name long, span long, doc long, start int, stop int, mark int, twin long"
 #: Marks of a suffix: its span was seen twice in one batch (SEEN); a merged range of such spans, to be removed as it is (DONE).
 SEEN, DONE = 1, 2
 
@@ -90,12 +91,12 @@ def anchors(names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _suffixes(docs: DataFrame) -> DataFrame:
-    """(name, span, doc, start, stop): each chosen suffix, and the bytes that all its windows span."""
+    """(name, span, doc, start, stop, mark, twin): each chosen suffix, and the bytes that all its windows span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             raw, offsets = utf8(batch.column(1))
-            doc = batch.column(0).to_numpy(zero_copy_only=False)
+            doc, twin = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
             names = gram_names(raw)
             twice = double(names, GRAM)
             out = [[np.zeros(0, t)] for t in (np.uint64, np.uint64, np.int64, np.int32, np.int32)]
@@ -106,9 +107,9 @@ def _suffixes(docs: DataFrame) -> DataFrame:
                 stop = last + LENGTH
                 x = mix64((wide[first] * ODD) ^ wide[np.minimum(first + 2 * GRAM, stop - 2 * GRAM)])
                 x = mix64((x * ODD) ^ wide[stop - 2 * GRAM] ^ ((stop - first).astype(np.uint64) << np.uint64(20)) ^ (place - first).astype(np.uint64))
-                for o, v in zip(out, (own[place], x, np.full(len(place), doc[i]), first.astype(np.int32), stop.astype(np.int32))):
+                for o, v in zip(out, (own[place], x, np.full(len(place), i), first.astype(np.int32), stop.astype(np.int32))):
                     o.append(v)
-            name, span, key, start, stop = (np.concatenate(o) for o in out)
+            name, span, row, start, stop = (np.concatenate(o) for o in out)
             if not len(name):
                 continue
             # Of a span that a batch holds twice, one suffix stands for all; the others' bytes are known to repeat.
@@ -118,13 +119,14 @@ def _suffixes(docs: DataFrame) -> DataFrame:
             other[first] = False
             k = np.flatnonzero(other)
             new = np.ones(len(k), bool)
-            new[1:] = (key[k[1:]] != key[k[:-1]]) | (start[k[1:]] > stop[k[:-1]])
+            new[1:] = (row[k[1:]] != row[k[:-1]]) | (start[k[1:]] > stop[k[:-1]])
             head = k[new]
             tail = k[np.append(np.flatnonzero(new)[1:], len(k)) - 1] if len(k) else k
             own = np.flatnonzero(~other)
-            label = mix64(key[head].view(np.uint64) ^ (start[head].astype(np.uint64) << np.uint64(20)))
-            columns = [np.concatenate([name[own], label]).view(np.int64), np.concatenate([span[own], label]).view(np.int64), key[np.append(own, head)], start[np.append(own, head)], np.append(stop[own], stop[tail]), np.append(mark[own], np.full(len(head), DONE, np.int32))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["name", "span", "doc", "start", "stop", "mark"])
+            label = mix64(doc[row[head]].view(np.uint64) ^ (start[head].astype(np.uint64) << np.uint64(20)))
+            both = np.append(own, head)
+            columns = [np.concatenate([name[own], label]).view(np.int64), np.concatenate([span[own], label]).view(np.int64), doc[row[both]], start[both], np.append(stop[own], stop[tail]), np.append(mark[own], np.full(len(head), DONE, np.int32)), twin[row[both]]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["name", "span", "doc", "start", "stop", "mark", "twin"])
 
     return docs.mapInArrow(run, SCHEMA)
 
@@ -197,7 +199,7 @@ def _runs(hit: np.ndarray, owner: np.ndarray, inside: np.ndarray) -> tuple[np.nd
 
 
 def _refine(opened: DataFrame) -> DataFrame:
-    """Open suffixes (name, doc, start, bytes) to repeated ranges (doc, start, stop)."""
+    """Open suffixes (name, doc, start, bytes, twin) to repeated ranges (doc, start, stop, twin)."""
 
     def found(t: pa.Table) -> pa.RecordBatch:
         names, owner, inside = _window_names(t.column(3).combine_chunks())
@@ -208,8 +210,8 @@ def _refine(opened: DataFrame) -> DataFrame:
         hit = np.zeros(len(names), bool)
         hit[order] = twin[:-1] | twin[1:]
         value, first, end = _runs(hit, owner, inside)
-        doc, start = t.column(1).to_numpy(), t.column(2).to_numpy()
-        return pa.RecordBatch.from_arrays([pa.array(doc[value]), pa.array((start[value] + first).astype(np.int32)), pa.array((start[value] + end).astype(np.int32))], names=["doc", "start", "stop"])
+        doc, start, twins = (t.column(i).to_numpy() for i in (1, 2, 4))
+        return pa.RecordBatch.from_arrays([pa.array(doc[value]), pa.array((start[value] + first).astype(np.int32)), pa.array((start[value] + end).astype(np.int32)), pa.array(twins[value])], names=["doc", "start", "stop", "twin"])
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -228,52 +230,54 @@ def _refine(opened: DataFrame) -> DataFrame:
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "bytes"):
             names, owner, inside = _window_names(batch.column(3))
-            doc, start = (batch.column(i).to_numpy() for i in (1, 2))
-            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(doc[owner]), pa.array((start[owner] + inside).astype(np.int32))], names=["window", "doc", "start"])
+            name, doc, start, twin = (batch.column(i).to_numpy() for i in (0, 1, 2, 4))
+            yield pa.RecordBatch.from_arrays([pa.array(name[owner]), pa.array(names.view(np.int64)), pa.array(doc[owner]), pa.array((start[owner] + inside).astype(np.int32)), pa.array(twin[owner])], names=["name", "window", "doc", "start", "twin"])
 
     large = opened.groupBy("name").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > GROUP).select("name")
     large = materialize(large, "large")
     few = large.count()
     side = F.broadcast(large) if few <= FEW else large
     near = opened.join(side, "name", "left_anti") if few else opened
-    near = near.repartition("name").sortWithinPartitions("name").select("name", "doc", "start", "bytes").mapInArrow(small, "doc long, start int, stop int")
+    near = near.repartition("name").sortWithinPartitions("name").select("name", "doc", "start", "bytes", "twin").mapInArrow(small, "doc long, start int, stop int, twin long")
     if not few:
         return near
     # The windows of a long bucket become rows of their own, dealt by their names.
-    rows = materialize(opened.join(side, "name").select("name", "doc", "start", "bytes").mapInArrow(windows, "window long, doc long, start int"), "windows")
-    twice = rows.groupBy("window").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1).select("window")
-    far = rows.join(twice, "window").select("doc", "start", (F.col("start") + LENGTH).alias("stop"))
+    rows = materialize(opened.join(side, "name").select("name", "doc", "start", "bytes", "twin").mapInArrow(windows, "name long, window long, doc long, start int, twin long"), "windows")
+    twice = rows.groupBy("name", "window").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1).select("name", "window")
+    far = rows.join(twice, ["name", "window"]).select("doc", "start", (F.col("start") + LENGTH).alias("stop"), "twin")
     return near.unionByName(far)
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """(doc, ranges) for each document that shares bytes; ``docs`` has doc (a key of the row) and text."""
-    rows = docs.select("doc", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    """(doc, twin, ranges) for each document that shares bytes; ``docs`` has doc and twin (together a key of the row) and text."""
+    rows = docs.select("doc", F.coalesce(F.col("text"), F.lit("")).alias("text"), "twin")
     found = materialize(_buckets(_suffixes(rows)), "buckets")
     opened = found.where("open")
     few = opened.count() <= FEW
-    side = opened.groupBy("doc").agg(F.collect_list(F.struct("name", "start", "stop")).alias("at"))
-    inner = rows.join(F.broadcast(side) if few else side, "doc")
+    side = opened.groupBy("doc", "twin").agg(F.collect_list(F.struct("name", "start", "stop")).alias("at"))
+    inner = rows.join(F.broadcast(side) if few else side, ["doc", "twin"])
     text = F.col("text").cast("binary")
-    cut = inner.select("doc", text.alias("b"), F.explode("at").alias("at")).select("at.name", "doc", "at.start", F.expr("substring(b, at.start + 1, at.stop - at.start)").alias("bytes"))
+    cut = inner.select("doc", "twin", text.alias("b"), F.explode("at").alias("at")).select("at.name", "doc", "at.start", F.expr("substring(b, at.start + 1, at.stop - at.start)").alias("bytes"), "twin")
     refined = _refine(materialize(cut, "open"))
-    ranges = found.where("repeats").select("doc", "start", "stop").unionByName(refined)
-    return ranges.groupBy("doc").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
+    ranges = found.where("repeats").select("doc", "start", "stop", "twin").unionByName(refined)
+    return ranges.groupBy("doc", "twin").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
 
 
 def remove_repeats(docs: DataFrame, keep: list[str], text: str = "text", as_text: bool = False, names: tuple[str, str, str, str] = ("kept", "n_bytes", "n_removed", "n_spans")) -> DataFrame:
     """The columns ``keep`` and under ``names`` the remaining bytes, the text's bytes, those removed and their runs, of every row.
 
     With ``as_text`` what remains is a string; a character that lost a byte
-    goes whole. Rows are told apart by id and text, so a null id needs no care.
+    goes whole. Rows are told apart by 128 bits of id and text, so a null id needs no care.
     ``keep`` must not hold a column called like one of ``names``.
     """
-    doc, body, starts, stops = fresh(keep, "doc", "_text", "starts", "stops")
-    keyed = docs.select(*keep, F.xxhash64("doc_id", text).alias(doc), F.coalesce(F.col(text), F.lit("")).alias(body))
-    ranges = materialize(repeated_ranges(keyed.select(F.col(doc).alias("doc"), F.col(body).alias("text"))), "ranges")
-    side = ranges.select(F.col("doc").alias(doc), F.col("ranges.start").alias(starts), F.col("ranges.stop").alias(stops))
+    doc, twin, body, starts, stops = fresh(keep, "doc", "twin", "_text", "starts", "stops")
+    # Two hashes of the row, of different beginnings: 128 bits, so that unlike rows are not taken for one.
+    keys = F.xxhash64("doc_id", text).alias(doc), F.xxhash64(F.lit("twin"), "doc_id", text).alias(twin)
+    keyed = docs.select(*keep, *keys, F.coalesce(F.col(text), F.lit("")).alias(body))
+    ranges = materialize(repeated_ranges(keyed.select(F.col(doc).alias("doc"), F.col(body).alias("text"), F.col(twin).alias("twin"))), "ranges")
+    side = ranges.select(F.col("doc").alias(doc), F.col("twin").alias(twin), F.col("ranges.start").alias(starts), F.col("ranges.stop").alias(stops))
     side = F.broadcast(side) if ranges.count() <= FEW else side
-    rows = keyed.join(side, doc, "left").select(*keep, body, starts, stops)
+    rows = keyed.join(side, [doc, twin], "left").select(*keep, body, starts, stops)
     fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
     n = len(keep)
 
