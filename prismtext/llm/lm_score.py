@@ -15,9 +15,12 @@ Several predictors guess each decision from counts in their own hashed context:
 
 Their logits are mixed by weights that a gate selects: how often each
 predictor has seen its context, and how far the decision lies within the word.
-Weights learn online, decision after decision in small batches, on a bounded
-sample of training texts that the counts they learn from leave out. A table of
-what came true for each mixed logit refines the result, and while a text is
+Weights learn online, decision after decision in small batches, on all training
+texts (each distinct one once). These are dealt by hash into shards of about
+``SHARD`` bytes; a shard learns from the counts of the other half of the
+training texts, which leave its own out, and the shards' weights are averaged by
+how much each learned. A table of what came true for each mixed logit, added up
+over all shards, refines the result, and while a text is
 scored the refined and a blunter prediction are weighed anew after each block of
 words by how well they did so far. The sum of the logarithms is
 the probability of the token row; total bits and bits per byte follow from it.
@@ -56,8 +59,8 @@ MOST = 22
 BLOCK = 1 << 16
 #: Words of a document after which its own counts start anew; words of a block; tokens that are worked on at a time.
 SEGMENT, WORDS_IN_BLOCK, SLICE = 1 << 15, 64, 8_000
-#: Bytes of text that weights are learned on, about; the sample is chosen by a hash of the text.
-SAMPLE = 4 << 20
+#: Bytes of text that one set of weights is learned on, about; there are as many sets as the training texts need.
+SHARD = 8 << 20
 #: Levels of confidence: the binary logarithm of a context's count.
 LEVELS = 8
 #: Ranks that contexts of words tell apart; all rarer words are one.
@@ -283,6 +286,8 @@ def inputs(d: dict[str, np.ndarray], t: dict[str, np.ndarray], shape: Shape, tab
 
 
 PREDICTORS = (5, 5)
+#: What each weight's sum of squared gradients starts from.
+START = 1e-3
 #: Buckets of the refinement for each gate.
 BUCKETS = 33
 
@@ -293,7 +298,7 @@ class Mixer:
     def __init__(self, kind: int):
         k = PREDICTORS[kind]
         self.w = np.full(8 * LEVELS * k * LEVELS, 0.4 / STEP, np.float32)
-        self.sum = np.full(len(self.w), 1e-3, np.float64)
+        self.sum = np.full(len(self.w), START, np.float64)
         self.fix = np.tile(np.linspace(-8, 8, BUCKETS, dtype=np.float32), 8 * LEVELS)
 
     def mix(self, st: list[np.ndarray], place: list[np.ndarray]) -> np.ndarray:
@@ -302,23 +307,32 @@ class Mixer:
             out += self.w.take(p, mode="clip") * s
         return np.clip(out, -12, 12)
 
-    def learn(self, st: list[np.ndarray], place: list[np.ndarray], bit: np.ndarray, rate: float = 0.02) -> None:
-        """One pass, in steps of 4,096 decisions; each weight has a rate of its own that falls with its gradients."""
+    def learn(self, st: list[np.ndarray], place: list[np.ndarray], bit: np.ndarray, rate: float = 0.01) -> np.ndarray:
+        """One pass, in steps of 4,096 decisions; each weight has a rate of its own that falls with its gradients. The logits before each step."""
+        out, k = np.zeros(len(bit), np.float32), len(st)
         for a in range(0, len(bit), 4096):
-            z = a + 4096
-            error = bit[a:z] - 1 / (1 + np.exp(-self.mix([s[a:z] for s in st], [p[a:z] for p in place])))
-            for s, p in zip(st, place):
-                g = np.bincount(p[a:z], error * s[a:z], len(self.w)) / STEP
-                self.sum += g * g
-                self.w += (rate * g / np.sqrt(self.sum)).astype(np.float32)
+            n = min(4096, len(bit) - a)
+            # Predictors have weights of their own, so all gradients are added up at once.
+            at = np.concatenate([p[a : a + n] for p in place])
+            x = np.concatenate([s[a : a + n] for s in st]).astype(np.float32).reshape(k, n)
+            mixed = np.clip((self.w.take(at).reshape(k, n) * x).sum(axis=0), -12, 12)
+            out[a : a + n] = mixed
+            x *= bit[a : a + n] - 1 / (1 + np.exp(-mixed))
+            g = np.bincount(at, x.ravel(), len(self.w)) / STEP
+            self.sum += g * g
+            self.w += (rate * g / np.sqrt(self.sum)).astype(np.float32)
+        return out
 
     def bucket(self, logit: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         b = np.rint(np.clip(logit, -8, 8) * 2)
         return gate * BUCKETS + b.astype(np.int32) + BUCKETS // 2, logit - b / 2
 
-    def calibrate(self, logit: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> None:
+    def outcomes(self, logit: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        """For each bucket how many decisions it had, and how many of them were one."""
         at, _ = self.bucket(logit, gate)
-        n, ones = np.bincount(at, minlength=len(self.fix)), np.bincount(at, bit, len(self.fix))
+        return np.stack([np.bincount(at, minlength=len(self.fix)), np.bincount(at, bit, len(self.fix))])
+
+    def calibrate(self, n: np.ndarray, ones: np.ndarray) -> None:
         p = 1 / (1 + np.exp(-np.tile(np.linspace(-8, 8, BUCKETS), 8 * LEVELS)))
         self.fix = np.log((ones + 200 * p) / (n - ones + 200 * (1 - p))).astype(np.float32)
 
@@ -443,36 +457,70 @@ def _predictions(blocks: DataFrame, shape: Shape) -> np.ndarray:
     return out
 
 
-def _learn(sample: DataFrame, shape, table) -> tuple[Mixer, Mixer]:
-    """The mixers, learned on a sample of bounded size in one task, text by text in order of their hash."""
+def _learn(train: DataFrame, shards: int, shape, halves) -> tuple[Mixer, Mixer]:
+    """The mixers, learned on all texts of ``train``: each shard on its own, text by text in order of their hash, by the counts of the other half."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            keep = []
+            for i, h in enumerate(batch.column(1).to_pylist()):
+                if h not in seen:
+                    seen.add(h)
+                    keep.append(i)
+            if keep:
+                yield batch.take(pa.array(keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pickle
+        own, shard, last, mixers, some = shape.value, None, None, None, False
+        weighed = [np.zeros((2, len(Mixer(k).w))) for k in (0, 1)]
+        outcomes = [np.zeros((2, len(Mixer(k).fix))) for k in (0, 1)]
+
+        def close() -> None:
+            for sums, m in zip(weighed, mixers or ()):
+                mass = m.sum - START
+                sums += mass, mass * m.w
 
-        own, counts = shape.value, table.value
-        mixers, held = (Mixer(0), Mixer(1)), ([], [])
         for batch in pieces(batches, "text"):
-            t = read(batch.column(0))
-            understand(t, own)
-            for a, z in slices(t):
-                for kind, d in enumerate((word_decisions(t, own, a, z), byte_decisions(t, own, a, z))):
-                    if len(d["bit"]):
-                        held[kind].append((*inputs(d, t, own, counts, kind), d["bit"]))
-        for mixer, parts in zip(mixers, held):
-            for rate in (0.03, 0.01):
-                for st, place, _, bit in parts:
-                    mixer.learn(st, place, bit, rate)
-            if parts:
-                mixer.calibrate(np.concatenate([mixer.mix(st, place) for st, place, _, _ in parts]), np.concatenate([g for _, _, g, _ in parts]), np.concatenate([b for _, _, _, b in parts]))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps([(m.w, m.fix) for m in mixers])], pa.binary())], names=["mixers"])
-
-    import pickle
-
-    rows = sample.select("text", F.xxhash64("text").alias("h")).dropDuplicates(["h"]).repartition(1).sortWithinPartitions("h", "text").select("text")
+            of, h = (batch.column(c).to_numpy() for c in (1, 2))
+            fresh = np.append(h[0] != last, h[1:] != h[:-1])  # equal texts of several tasks adjoin
+            last = h[-1]
+            cuts = np.append(np.flatnonzero(np.diff(of, prepend=-1)), len(of)).tolist()
+            for a, z in zip(cuts, cuts[1:]):
+                if of[a] != shard:
+                    close()
+                    shard, mixers, some = of[a], (Mixer(0), Mixer(1)), True
+                text = batch.column(0).slice(a, z - a).filter(pa.array(fresh[a:z]))
+                if not len(text):
+                    continue
+                t, counts = read(text), halves[1 - shard % 2].value
+                understand(t, own)
+                for x, y in slices(t):
+                    for kind, d in enumerate((word_decisions(t, own, x, y), byte_decisions(t, own, x, y))):
+                        if len(d["bit"]):
+                            st, place, gate = inputs(d, t, own, counts, kind)
+                            outcomes[kind] += mixers[kind].outcomes(mixers[kind].learn(st, place, d["bit"]), gate, d["bit"])
+        close()
+        for kind in (0, 1) if some else ():
+            for what, (x, y) in enumerate((weighed[kind], outcomes[kind])):
+                hit = np.flatnonzero(x)
+                columns = [pa.array(np.full(len(hit), v), pa.int32()) for v in (kind, what)] + [pa.array(hit, pa.int32()), pa.array(x[hit]), pa.array(y[hit])]
+                yield pa.RecordBatch.from_arrays(columns, names=["kind", "what", "slot", "x", "y"])
+
+    rows = train.select("text", F.xxhash64("text").alias("h")).mapInArrow(distinct, "text string, h long")
+    rows = rows.select("text", F.pmod("h", F.lit(shards)).cast("int").alias("shard"), "h").repartition("shard").sortWithinPartitions("shard", "h", "text")
+    learned = rows.mapInArrow(run, "kind int, what int, slot int, x double, y double")
+    # As decimals the sums are exact, so they do not depend on how shards are dealt.
+    exact = [F.sum(F.col(c).cast("decimal(28,8)")).cast("double").alias(c) for c in ("x", "y")]
     mixers = Mixer(0), Mixer(1)
-    for r in rows.mapInArrow(run, "mixers binary").collect():
-        for m, (w, fix) in zip(mixers, pickle.loads(bytes(r["mixers"]))):
-            m.w, m.fix = w, fix
+    outcomes = [np.zeros((2, len(m.fix))) for m in mixers]
+    for r in learned.groupBy("kind", "what", "slot").agg(*exact).collect():  # a row for each weight and bucket, whatever the input
+        if r["what"]:
+            outcomes[r["kind"]][:, r["slot"]] = r["x"], r["y"]
+        elif r["x"] > 0:
+            mixers[r["kind"]].w[r["slot"]] = r["y"] / r["x"]
+    for m, (n, ones) in zip(mixers, outcomes):
+        m.calibrate(n, ones)
     return mixers
 
 
@@ -490,17 +538,20 @@ def fit(train: DataFrame):
     tokens = by_word.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     top = by_word.where((F.col("n") > 1) | (F.col("key") == END)).orderBy(F.desc("n"), "key").limit(TOP).collect()
     shape = Shape(np.array([r["key"] for r in top], np.int64), np.array([r["n"] for r in top], np.int64), values, tokens)
+    del top
     shared = spark.sparkContext.broadcast(shape)
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    cut = int((1 << 30) * min(0.125, SAMPLE / max(size, 1)))
     rows = _rows(train)
+    # An even number of shards, so that each lies within one half.
+    shards = 2 * max(1, -(-size // (2 * SHARD)))
     # Tasks' tables go to the merge by its shuffle alone; only what is merged is written.
-    tasks = max(1, rows.rdd.getNumPartitions())
-    rest = materialize(_merged(_tables(rows.where(place >= cut), shared), int(tasks**0.5)), "lmrest", "uncompressed")
-    table = spark.sparkContext.broadcast(_predictions(rest, shape))
-    mixers = _learn(rows.where(place < cut), shared, table)
-    table.unpersist()
-    whole = _predictions(_merged(rest.unionByName(_tables(rows.where(place < cut), shared)), 1), shape)
+    salts = int(max(1, rows.rdd.getNumPartitions()) ** 0.5)
+    half = F.pmod(F.xxhash64("text"), F.lit(2))
+    halves = [materialize(_merged(_tables(rows.where(half == k), shared), salts), "lmhalf", "uncompressed") for k in (0, 1)]
+    tables = [spark.sparkContext.broadcast(_predictions(x, shape)) for x in halves]
+    mixers = _learn(rows, shards, shared, tables)
+    for x in tables:
+        x.unpersist()
+    whole = _predictions(_merged(halves[0].unionByName(halves[1]), 1), shape)
     return shared, spark.sparkContext.broadcast(whole), mixers, by_word
 
 
