@@ -46,6 +46,7 @@ import hashlib
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
@@ -193,7 +194,7 @@ class Pieces:
             out[at : at + len(ids)] = ids
         return out, start[offsets // 3]
 
-    def spell(self, words: dict[str, int], answers: list[tuple[np.ndarray, pa.Array]]) -> tuple[np.ndarray, np.ndarray]:
+    def spell(self, words: list[str], answers: list[tuple[np.ndarray, pa.Array]]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the keys, in their order, and where each key's begin."""
         size, got, at, place = np.zeros(len(words), np.int64), np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, np.int64)
         if answers:
@@ -269,6 +270,27 @@ def distinct(texts: list[str | None]) -> dict[str, int]:
     return {w: i for i, w in enumerate(sorted(found))}
 
 
+class _Numbers(dict):
+    """A number for each key, in the order in which keys come."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+def numbered(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct keys of texts, sorted; the place among them of every key, text after text; where each text's begin."""
+    found, used, n = _Numbers(), array("i"), []
+    for t in texts:
+        own = keys(t)
+        used.extend(map(found.__getitem__, own))
+        n.append(len(own))
+    words = sorted(found)
+    place = np.zeros(len(words), np.int64)
+    place[np.fromiter(map(found.__getitem__, words), np.int64, len(words))] = np.arange(len(words))
+    return words, place[np.frombuffer(used, np.int32)] if used else np.zeros(0, np.int64), np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+
+
 def _packed(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
@@ -422,9 +444,11 @@ def segment(words: DataFrame, pieces: Pieces, carry: tuple[str, ...] = (), finis
     once = lambda on: [F.when(on, F.col(c)).alias(c) if c in carry or pieces.merges else F.col(c) for c in ("word", *carry)]
     rows = rows.select(*once(F.col("j") == 0), "j", "part", F.char_length("part").alias("n"))
     starts = rows.select("word", *carry, "j", "part", "n", F.explode(F.sequence(F.lit(1), F.least(F.lit(STEP), F.col("n")))).alias("i"))
+    # A start keeps what a piece from it may reach, so that a substring is found without counting from the run's start.
+    starts = starts.select("word", *carry, "j", F.substr("part", F.col("i"), F.lit(longest)).alias("part"), "n", "i")
     ends = starts.select("word", *carry, "j", "part", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("i") + 1))).alias("k"))
     at = F.col("j") * STEP + F.col("i") - 1
-    cut = ends.select(*once((at == 0) & (F.col("k") == 1)), at.alias("s"), (at + F.col("k")).alias("e"), F.substr("part", F.col("i"), F.col("k")).alias("piece"))
+    cut = ends.select(*once((at == 0) & (F.col("k") == 1)), at.alias("s"), (at + F.col("k")).alias("e"), F.substr("part", F.lit(1), F.col("k")).alias("piece"))
     edges = cut.join(F.broadcast(piece_frame(words.sparkSession, pieces)), "piece", "left")
     edges = edges.where(F.col("id").isNotNull() | (F.col("e") - F.col("s") == 1))
     code = F.coalesce(F.col("id"), F.ascii("piece") + F.lit(UNKNOWN))
@@ -500,20 +524,17 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, functio
         for batch in batches:
             for k in range(len(batch)):
                 rows = _unpacked(batch.column(0)[k].as_py())
-                texts = rows.column(text).to_pylist()
-                words = distinct(texts)
-                del texts
+                words, places, first = numbered(rows.column(text).to_pylist())
                 flat, begin = pieces.spell(words, [_fat(x) for x in batch.column(1)[k].as_py() or []])
+                done = 0
                 for part in runs(iter(rows.to_batches()), text):
-                    texts = part.column(part.schema.get_field_index(text)).to_pylist()
-                    used = [list(map(words.__getitem__, keys(t))) for t in texts]
-                    at = np.concatenate([[0], np.cumsum([len(u) for u in used])])
-                    used = np.fromiter((w for u in used for w in u), np.int64, int(at[-1]))
+                    at = first[done : done + len(part) + 1]
+                    used, at, done = places[at[0] : at[-1]], at - at[0], done + len(part)
                     size = begin[used + 1] - begin[used]
                     ends = np.concatenate([[0], np.cumsum(size)])
                     ids = flat[np.repeat(begin[used] - ends[:-1], size) + np.arange(ends[-1])]
                     cut = ends[at]
-                    more = function(pieces, texts, ids, cut) if function else [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ids, pa.int32()))]
+                    more = function(pieces, part.column(part.schema.get_field_index(text)).to_pylist(), ids, cut) if function else [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ids, pa.int32()))]
                     yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, *added])
 
     return both.mapInArrow(run, fields + schema)
