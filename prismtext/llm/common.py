@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,25 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Bytes of rows, about, that go to a Python worker at once while a table is materialized.
+BATCH = 4 << 20
+
+
+@contextmanager
+def lean_batches(spark: SparkSession):
+    """Within it batches for Python workers are bounded in bytes, not only in rows: each is held on both sides."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(BATCH))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -43,7 +63,8 @@ def materialize(df: DataFrame, tag: str, compression: str = "snappy") -> DataFra
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/prismtext-{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    with lean_batches(spark):
+        df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _written.append((path, out))
     return out

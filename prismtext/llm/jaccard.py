@@ -115,7 +115,7 @@ def _digest(docs: DataFrame, text: str) -> DataFrame:
                     new.append(i)
             fresh = np.zeros(len(ids), bool)
             fresh[new] = True
-            counts += np.bincount((s[np.repeat(fresh, n)] >> np.uint64(42)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
+            np.add.at(counts, (s[np.repeat(fresh, n)] >> np.uint64(42)).astype(np.int64), np.uint32(1))
             zero = pa.array(np.zeros(len(batch)), pa.int32())
             yield pa.RecordBatch.from_arrays([zero, batch.column(0), batch.column(2), pa.array(ids), pa.array(n, pa.int64()), pa.nulls(len(batch), pa.binary())], names=names)
         if len(seen):
@@ -160,11 +160,11 @@ def _postings(docs: DataFrame, hot: np.ndarray, text: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = np.unpackbits(shared.value).astype(bool), set()
+        bits, seen = shared.value, set()
         for batch in pieces(batches, text):
             s, at = shingle_sets(batch.column(0))
             ids, n = set_ids(s, at), np.diff(at)
-            token = (s >> np.uint64(1)) | (bits[(s >> np.uint64(42)).astype(np.int64)].astype(np.uint64) << np.uint64(63))
+            token = (s >> np.uint64(1)) | (_marked(bits, (s >> np.uint64(42)).astype(np.int64)).astype(np.uint64) << np.uint64(63))
             take = prefix_size(n)
             out_t, out_s, out_n = [], [], []
             for i, x in enumerate(ids.tolist()):
@@ -246,16 +246,22 @@ def _slot(set_id: np.ndarray) -> np.ndarray:
     return (mix64(set_id.view(np.uint64)) & np.uint64(WANTED - 1)).astype(np.int64)
 
 
+def _marked(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Whether the bits at the slots are set, in bits that stay packed."""
+    return ((bits[slot >> 3] << (slot & 7)) & 128) > 0
+
+
 def _wanted_texts(docs: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
     """(set_id, text): a text of every set of ``pairs``, and of few others; each at most once for each task."""
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(WANTED, bool)
+        bits = np.zeros(WANTED // 8, np.uint8)
         for batch in batches:
             for c in (0, 1):
-                bits[_slot(batch.column(c).to_numpy())] = True
-        hit = np.flatnonzero(np.packbits(bits).view(np.uint64))
-        words = np.packbits(bits).view(np.int64)[hit]
+                slot = _slot(batch.column(c).to_numpy())
+                np.bitwise_or.at(bits, slot >> 3, (128 >> (slot & 7)).astype(np.uint8))
+        hit = np.flatnonzero(bits.view(np.uint64))
+        words = bits.view(np.int64)[hit]
         yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(words)], names=["at", "bits"])
 
     # One row at most for each 64 bits comes back: 2 MB, whatever the input.
@@ -265,11 +271,11 @@ def _wanted_texts(docs: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = np.unpackbits(shared.value).astype(bool), set()
+        bits, seen = shared.value, set()
         for batch in pieces(batches, text):
             ids = set_ids(*shingle_sets(batch.column(0)))
             keep = []
-            for i in np.flatnonzero(bits[_slot(ids)] & (ids != 0)).tolist():
+            for i in np.flatnonzero(_marked(bits, _slot(ids)) & (ids != 0)).tolist():
                 if ids[i] not in seen:
                     seen.add(ids[i])
                     keep.append(i)

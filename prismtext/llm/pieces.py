@@ -58,7 +58,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete, materialize, shared_dir, tasks, utf8, word_hashes
+from .common import delete, lean_batches, materialize, shared_dir, tasks, utf8, word_hashes
 from .common import pieces as runs
 
 MARK = "▁"
@@ -352,7 +352,8 @@ def _chunks(docs: DataFrame, text: str) -> DataFrame:
     packed = docs.mapInArrow(run, "chunk long, rows binary")
     name = f"prismtext_chunks_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
-    packed.write.bucketBy(max(8, tasks(spark)), "chunk").option("path", path).saveAsTable(name)
+    with lean_batches(spark):
+        packed.write.bucketBy(max(8, tasks(spark)), "chunk").option("path", path).saveAsTable(name)
     _held.append((name, path))
     return spark.table(name)
 
