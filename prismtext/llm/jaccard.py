@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, discard, materialize, mix64, pack_counts, pieces, sweep, unpack_counts, utf8, word_hashes, words, written
+from .common import LOWER, discard, lean, materialize, mix64, pack_counts, pieces, sweep, unpack_counts, utf8, word_hashes, words, written
 from .components import components
 
 SHINGLE = 5
@@ -124,7 +124,7 @@ def _digest(docs: DataFrame, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.nulls(k, batch.column(0).type), pa.nulls(k, pa.int64()), pa.array(np.arange(k), pa.int64()), pa.nulls(k, pa.int64()), pa.array(blocks, pa.binary())], names=names)
 
     rows = docs.select("doc_id", text, F.xxhash64(text).alias("text_hash"))
-    return rows.mapInArrow(run, f"kind int, doc_id {kind}, text_hash long, set_id long, n long, counts binary")
+    return rows.mapInArrow(lean(run), f"kind int, doc_id {kind}, text_hash long, set_id long, n long, counts binary")
 
 
 def _hot_slots(blocks: DataFrame, tasks: int) -> np.ndarray:
@@ -141,8 +141,8 @@ def _hot_slots(blocks: DataFrame, tasks: int) -> np.ndarray:
     rows = blocks.select("set_id", "counts")
     salts = max(1, int(tasks**0.5))
     if salts > 1:
-        rows = rows.withColumn("_s", F.pmod(F.xxhash64("counts"), F.lit(salts))).repartition("set_id", "_s").drop("_s").mapInArrow(merge, schema)
-    rows = rows.repartition("set_id").mapInArrow(merge, schema)
+        rows = rows.withColumn("_s", F.pmod(F.xxhash64("counts"), F.lit(salts))).repartition("set_id", "_s").drop("_s").mapInArrow(lean(merge), schema)
+    rows = rows.repartition("set_id").mapInArrow(lean(merge), schema)
     counts = np.zeros(SLOTS, np.uint64)
     for r in rows.toLocalIterator():  # SLOTS numbers, whatever the input
         counts[r["set_id"] * BLOCK : (r["set_id"] + 1) * BLOCK] = unpack_counts(bytes(r["counts"]))
@@ -178,7 +178,7 @@ def _postings(docs: DataFrame, hot: np.ndarray, text: str) -> DataFrame:
             if out_t:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_t).view(np.int64)), pa.array(np.concatenate(out_s)), pa.array(np.concatenate(out_n))], names=["token", "set_id", "np"])
 
-    return docs.select(text).mapInArrow(run, "token long, set_id long, np long")
+    return docs.select(text).mapInArrow(lean(run), "token long, set_id long, np long")
 
 
 def _shared_lists(postings: DataFrame) -> DataFrame:
@@ -217,7 +217,7 @@ def _shared_lists(postings: DataFrame) -> DataFrame:
 
     # Equal rows of copies in several tasks adjoin.
     rows = postings.repartition("token").sortWithinPartitions("token", "set_id")
-    return rows.mapInArrow(run, "token long, set_id long, np long, k long")
+    return rows.mapInArrow(lean(run), "token long, set_id long, np long, k long")
 
 
 def _first_tries(lists: DataFrame) -> DataFrame:
@@ -266,7 +266,7 @@ def _wanted_texts(docs: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
 
     # One row at most for each 64 bits comes back: 2 MB, whatever the input.
     bits = np.zeros(WANTED // 64, np.int64)
-    for r in pairs.select("a", "b").mapInArrow(marks, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).collect():
+    for r in pairs.select("a", "b").mapInArrow(lean(marks), "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).collect():
         bits[r["at"]] = r["bits"]
     shared = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
 
@@ -282,7 +282,7 @@ def _wanted_texts(docs: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
             if keep:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), batch.column(0).take(pa.array(keep))], names=["set_id", "text"])
 
-    return docs.select(text).mapInArrow(run, "set_id long, text string")
+    return docs.select(text).mapInArrow(lean(run), "set_id long, text string")
 
 
 ANSWER = "a long, b long, na long, nb long, common long, bits binary, rest binary"
@@ -326,7 +326,7 @@ def _answers(pairs: DataFrame, docs: DataFrame, text: str, least: float) -> Data
                 kinds = [pa.int64()] * 5 + [pa.binary()] * 2
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["a", "b", "na", "nb", "common", "bits", "rest"])
 
-    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "set_id").mapInArrow(run, ANSWER)
+    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "set_id").mapInArrow(lean(run), ANSWER)
 
 
 def _forest(links: Iterator[tuple[int, int, int]], cls: np.ndarray) -> list[tuple[int, int, int]]:
@@ -448,7 +448,7 @@ def _each_block(rows: DataFrame, keys: list[str], found, schema: str, short: int
         if held is not None and held.num_rows > 1:
             yield from close(held.combine_chunks())
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(run), schema)
 
 
 def _more_tries(lists: DataFrame, classes: DataFrame, led: DataFrame) -> DataFrame:
@@ -505,7 +505,7 @@ def _more_tries(lists: DataFrame, classes: DataFrame, led: DataFrame) -> DataFra
         """All pairs of short lists at once, each set against each."""
         sid, cls, lead, n, place = (t[c].to_numpy() for c in ("set_id", "class", "lead", "n", "place"))
         alone, start = t["alone"].to_numpy(zero_copy_only=False), np.cumsum(sizes) - sizes
-        steps = np.cumsum(sizes * sizes) // (1 << 21)
+        steps = np.cumsum(sizes * sizes) // (1 << 19)
         for step in np.unique(steps):
             size, first = sizes[steps == step], start[steps == step]
             lists = np.repeat(np.arange(len(size)), size * size)

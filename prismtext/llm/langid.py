@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, pieces, utf8
+from .common import fold, lean, pieces, utf8
 
 #: Families of closely related languages by ISO 639-1 code.
 FAMILIES = {
@@ -198,7 +198,7 @@ def fit(labelled: DataFrame, per_language: int = 1000, families: dict[str, list[
                 x = _vectors(part.column(0)).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
-    got = sample.mapInArrow(vectors, "lang string, x binary").collect()
+    got = sample.mapInArrow(lean(vectors), "lang string, x binary").collect()
     got.sort(key=lambda r: (r["lang"], bytes(r["x"])))
     if not got:
         return None
@@ -240,7 +240,7 @@ def predict(docs: DataFrame, model: Discriminator | None, keep: list[str] | None
                 columns = [*(part.column(at[c]) for c in keep), pa.array(langs, pa.string()), *(pa.array(x, pa.float64()) for x in numbers)]
                 yield pa.RecordBatch.from_arrays(columns[: len(keep) + len(added)], names=[*keep, *added])
 
-    return rows.mapInArrow(run, f"{fields}`{added[0]}` string, " + ", ".join(f"`{c}` double" for c in added[1:]))
+    return rows.mapInArrow(lean(run), f"{fields}`{added[0]}` string, " + ", ".join(f"`{c}` double" for c in added[1:]))
 
 
 def op9_language(docs: DataFrame) -> DataFrame:

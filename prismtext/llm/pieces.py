@@ -58,7 +58,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete, lean_batches, materialize, shared_dir, tasks, utf8, word_hashes
+from .common import delete, lean, lean_batches, materialize, shared_dir, tasks, utf8, word_hashes
 from .common import pieces as runs
 
 MARK = "▁"
@@ -349,7 +349,7 @@ def _chunks(docs: DataFrame, text: str) -> DataFrame:
         if held:
             yield close()
 
-    packed = docs.mapInArrow(run, "chunk long, rows binary")
+    packed = docs.mapInArrow(lean(run), "chunk long, rows binary")
     name = f"prismtext_chunks_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
     with lean_batches(spark):
@@ -387,7 +387,7 @@ def _requests(chunks: DataFrame, text: str, parts: int) -> DataFrame:
                     own = order[cut[p] : cut[p + 1]]
                     yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), batch.column(0).slice(k, 1), pa.array([_lean(own, words.take(pa.array(own)))], pa.binary())], names=["part", "chunk", "words"])
 
-    return chunks.select("chunk", "rows").mapInArrow(run, "part int, chunk long, words binary")
+    return chunks.select("chunk", "rows").mapInArrow(lean(run), "part int, chunk long, words binary")
 
 
 def _asked_words(requests: DataFrame) -> DataFrame:
@@ -404,7 +404,7 @@ def _asked_words(requests: DataFrame) -> DataFrame:
             yield from words.select(["word", "chunk_list", "place_list"]).rename_columns(["word", "chunk", "place"]).combine_chunks().to_batches(4096)
 
     # A task holds the words of its parts; parts are as many as the session's shuffle partitions ask for.
-    return requests.repartition("part").mapInArrow(run, "word string, chunk array<long>, place array<int>")
+    return requests.repartition("part").mapInArrow(lean(run), "word string, chunk array<long>, place array<int>")
 
 
 def _answers(coded: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -471,7 +471,7 @@ def segment(words: DataFrame, pieces: Pieces, carry: tuple[str, ...] = (), finis
     path = F.aggregate("ends", start, step, lambda r: F.get(r, F.size(r) - 1)["path"])
     packed = F.unhex(F.array_join(F.transform(path, lambda i: F.lpad(F.hex(i), 6, "0")), ""))
     coded = by_word.select("word", *carry, packed.alias("code"))
-    return coded.mapInArrow(finish, schema) if finish else coded
+    return coded.mapInArrow(lean(finish), schema) if finish else coded
 
 
 def _merge(edges: DataFrame, pieces: Pieces, carry: tuple[str, ...], finish, schema: str) -> DataFrame:
@@ -501,8 +501,8 @@ def _merge(edges: DataFrame, pieces: Pieces, carry: tuple[str, ...], finish, sch
 
     more = "".join(f"{c} {edges.schema[c].dataType.simpleString()}, " for c in carry)
     if finish:  # in the same Python worker
-        return edges.mapInArrow(lambda batches: finish(run(batches)), schema)
-    return edges.mapInArrow(run, f"word string, {more}code binary")
+        return edges.mapInArrow(lean(lambda batches: finish(run(batches))), schema)
+    return edges.mapInArrow(lean(run), f"word string, {more}code binary")
 
 
 def encode(docs: DataFrame, text: str = "text", path: str | None = None, function=None, schema: str = "ids array<int>") -> DataFrame:
@@ -538,7 +538,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, functio
                     more = function(pieces, part.column(part.schema.get_field_index(text)).to_pylist(), ids, cut) if function else [pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(ids, pa.int32()))]
                     yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, *added])
 
-    return both.mapInArrow(run, fields + schema)
+    return both.mapInArrow(lean(run), fields + schema)
 
 
 def decode(df: DataFrame, ids: str = "ids", path: str | None = None, into: str = "decoded") -> DataFrame:
@@ -554,7 +554,7 @@ def decode(df: DataFrame, ids: str = "ids", path: str | None = None, into: str =
             texts = [x.decode("utf-8", "replace") for x in pieces.bytes_of(column.flatten().to_numpy().astype(np.int64), at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, into])
 
-    return df.mapInArrow(run, f"{fields}`{into}` string")
+    return df.mapInArrow(lean(run), f"{fields}`{into}` string")
 
 
 def _digests(pieces: Pieces, texts: list[str | None], ids: np.ndarray, at: np.ndarray) -> list[pa.Array]:
