@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -94,9 +95,14 @@ def discard(spark: SparkSession, mark: int, *keep: DataFrame) -> None:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished jobs now. It does so when the driver collects its garbage, which may be long after."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop the shuffle files of finished jobs now. It does so when the driver collects its garbage, which may be long after.
+
+    One round is not enough: what a job has just used is let go only after it.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.25)
 
 
 def give_back() -> None:

@@ -605,7 +605,9 @@ def jaccard_classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Dat
     def classes_of(links: DataFrame) -> DataFrame:
         return materialize(components(links.select("a", "b")).select(F.col("node").alias("set_id"), F.col("component").alias("class")), "classes")
 
-    tried = materialize(_answers(materialize(_first_tries(lists), "leaders"), docs, text, 0.5), "tried")
+    leaders = materialize(_first_tries(lists), "leaders")
+    sweep(spark)
+    tried = materialize(_answers(leaders, docs, text, 0.5), "tried")
     sweep(spark)
     led = tried.where(F.col("bits").isNotNull())
     links = tried.where(linked).select(*plain)
@@ -614,6 +616,7 @@ def jaccard_classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Dat
     links = materialize(links.unionByName(_group_links(_grouped(led, classes, F.col("class") != F.col("lead_class")))), "links")
     classes = classes_of(links)
     more = materialize(_more_tries(lists, classes, led), "more")
+    sweep(spark)
     again = materialize(_answers(more, docs, text, 0.0), "again")
     sweep(spark)
     moved = again.withColumn("moved", F.lit(True)).unionByName(led.join(again.select("a").distinct(), "a", "left_semi").withColumn("moved", F.lit(False)).select(*again.columns, "moved"))
@@ -624,6 +627,7 @@ def jaccard_classes(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Dat
     out = named.join(lowest, "component", "left").select("doc_id", "text_hash", "set_id", "n", "component", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
     out = materialize(out, "named")
     discard(spark, mark, out, links)
+    sweep(spark)
     return out, links
 
 

@@ -1,11 +1,13 @@
-"""What finished work leaves behind: memory of Python workers."""
+"""What finished work leaves behind: memory of Python workers, shuffle files."""
 
+import glob
 import os
 
 import numpy as np
 import pyarrow as pa
 
 from prismtext.llm import common
+from prismtext.llm.common import materialize, sweep
 
 
 def test_a_worker_keeps_no_memory_in_reserve(spark):
@@ -29,3 +31,15 @@ def test_a_worker_keeps_no_memory_in_reserve(spark):
     (then,) = one.mapInArrow(held, "pid long, mb long").collect()
     assert first["mb"] > 300
     assert then["pid"] != first["pid"] or then["mb"] < first["mb"] - 200
+
+
+def test_sweep_drops_the_shuffle_files_of_what_was_written(spark):
+    root = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]
+    files = lambda: set(glob.glob(f"{root}/**/shuffle_*.data", recursive=True))
+    sweep(spark)
+    before = files()
+    for _ in range(3):
+        out = materialize(spark.range(200_000).repartition(5, "id").sortWithinPartitions("id"), "swept")
+        sweep(spark)
+        assert not files() - before
+    assert out.count() == 200_000
