@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, lean, pieces, utf8
+from .common import fold, give_back, lean, pieces, utf8
 
 #: Families of closely related languages by ISO 639-1 code.
 FAMILIES = {
@@ -202,8 +202,11 @@ def fit(labelled: DataFrame, per_language: int = 1000, families: dict[str, list[
     got.sort(key=lambda r: (r["lang"], bytes(r["x"])))
     if not got:
         return None
-    x = np.stack([np.frombuffer(bytes(r["x"]), np.float16) for r in got]).astype(np.float32)
-    labels = [r["lang"] for r in got]
+    labels, x = [r["lang"] for r in got], np.empty((len(got), DIMS), np.float32)
+    for own, r in zip(x, got):
+        own[:] = np.frombuffer(bytes(r["x"]), np.float16)
+    del got, own, r  # the driver holds the sample once
+    give_back()
     least = -np.inf
     if calibrate:
         # Equal vectors stand together; one of each, so that no copy of a learned row is held out.
@@ -214,6 +217,8 @@ def fit(labelled: DataFrame, per_language: int = 1000, families: dict[str, list[
             least = float(np.quantile(trial.evidence(x[rest] @ trial.weights + trial.bias), MISSED))
     model = Discriminator(x, labels, families or FAMILIES)
     model.least = least
+    del x
+    give_back()
     return model
 
 
