@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, lean, materialize, mix64, pieces, utf8, word_hashes, words
+from .common import IS_BLANK, fresh, lean, materialize, mix64, pieces, utf8, word_hashes, words
 
 
 class Unit(NamedTuple):
@@ -301,11 +301,12 @@ def repeated_ranges(docs: DataFrame, units: tuple[Unit, ...] = (BYTES,)) -> Data
     return ranges.groupBy("doc", "twin").agg(F.collect_set(F.struct("start", "stop", "unit")).alias("ranges"))
 
 
-def remove_repeats(docs: DataFrame, keep: list[str], text: str = "text", as_text: bool = False, names: tuple[str, ...] = ("kept", "n_bytes", "n_removed", "n_spans"), units: tuple[Unit, ...] = (BYTES,), told: tuple[Unit, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, keep: list[str], text: str = "text", as_text: bool = False, names: tuple[str, ...] = ("kept", "n_bytes", "n_removed", "n_spans"), units: tuple[Unit, ...] = (BYTES,), told: tuple[Unit, ...] = (), within: tuple[Unit, ...] = ()) -> DataFrame:
     """The columns ``keep`` and under ``names`` the remaining bytes, the text's bytes, those removed and their runs, of every row.
 
     With ``as_text`` what remains is a string; a character that lost a byte
-    goes whole. Bytes go under repeated strings of any of ``units``. For each of
+    goes whole. Bytes go under repeated strings of any of ``units``, and under
+    those of ``within`` where a word is left over in the text; else these stay. For each of
     ``told`` two more of ``names`` are the bytes under its repeated strings in the text as it
     was, and their runs; they do not go by that. Rows are told apart by 128 bits of id and text, so a null id needs no care.
     ``keep`` must not hold a column called like one of ``names``.
@@ -314,12 +315,12 @@ def remove_repeats(docs: DataFrame, keep: list[str], text: str = "text", as_text
     # Two hashes of the row, of different beginnings: 128 bits, so that unlike rows are not taken for one.
     keys = F.xxhash64("doc_id", text).alias(doc), F.xxhash64(F.lit("twin"), "doc_id", text).alias(twin)
     keyed = docs.select(*keep, *keys, F.coalesce(F.col(text), F.lit("")).alias(body))
-    ranges = materialize(repeated_ranges(keyed.select(F.col(doc).alias("doc"), F.col(body).alias("text"), F.col(twin).alias("twin")), (*units, *told)), "ranges")
+    ranges = materialize(repeated_ranges(keyed.select(F.col(doc).alias("doc"), F.col(body).alias("text"), F.col(twin).alias("twin")), (*units, *within, *told)), "ranges")
     side = ranges.select(F.col("doc").alias(doc), F.col("twin").alias(twin), F.col("ranges.start").alias(starts), F.col("ranges.stop").alias(stops), F.col("ranges.unit").alias(kinds))
     side = F.broadcast(side) if ranges.count() <= FEW else side
     rows = keyed.join(side, [doc, twin], "left").select(*keep, body, starts, stops, kinds)
     fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    n = len(keep)
+    n, removing = len(keep), len(units) + len(within)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, body):
@@ -334,12 +335,19 @@ def remove_repeats(docs: DataFrame, keep: list[str], text: str = "text", as_text
                         c.append(0)
                     continue
                 start, stop, unit = (batch.column(n + k)[i].values.to_numpy() for k in (1, 2, 3))
-                for t in range(1 + len(told)):
-                    at = np.flatnonzero(unit < len(units) if t == 0 else unit == len(units) + t - 1)
+
+                def covered(of: np.ndarray) -> np.ndarray:
+                    at = np.flatnonzero(of)
                     depth = np.zeros(z - a + 1, np.int64)
                     np.add.at(depth, start[at], 1)
                     np.add.at(depth, stop[at], -1)
-                    under = depth.cumsum()[:-1] > 0
+                    return depth.cumsum()[:-1] > 0
+
+                for t in range(1 + len(told)):
+                    under = covered(unit < len(units) if t == 0 else unit == removing + t - 1)
+                    if t == 0 and within:
+                        more = covered(unit < removing)
+                        under = more if (~more & ~IS_BLANK[own]).any() else under
                     counts[2 * t].append(int(under.sum()))
                     counts[2 * t + 1].append(int((np.diff(under.astype(np.int8), prepend=0) == 1).sum()))
                     if t == 0:
