@@ -59,10 +59,14 @@ MOST = 22
 BLOCK = 1 << 16
 #: Words of a document after which its own counts start anew; words of a block; tokens that are worked on at a time.
 SEGMENT, WORDS_IN_BLOCK, SLICE = 1 << 15, 64, 8_000
+#: Words, and bytes of rare words, that are held with their contexts until equal ones are counted at once.
+HELD = 1 << 19
 #: Bytes of text that one set of weights is learned on, about; there are as many sets as the training texts need.
 SHARD = 8 << 20
 #: Levels of confidence: the binary logarithm of a context's count.
 LEVELS = 8
+#: Bits of a rank, of which there are ``TOP`` and one.
+RANK_BITS = TOP.bit_length()
 #: Ranks that contexts of words tell apart; all rarer words are one.
 TOPICS, BEFORE, PAIRS = 256, 4096, 1024
 #: The token that ends each text, as a hash.
@@ -181,24 +185,36 @@ def slices(t: dict[str, np.ndarray]) -> Iterator[tuple[int, int]]:
             a = z
 
 
-def word_decisions(t: dict[str, np.ndarray], shape: Shape, a: int, z: int) -> dict[str, np.ndarray]:
-    """The decisions of the tokens a to z in the word tree: token, bit, node, slots, depth."""
-    start, nodes, bits = shape.words
-    leaf = t["rank"][a:z]
+def paths(leaf: np.ndarray, tree: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The decisions in a tree that lead to each leaf: whose they are, bit, node, step."""
+    start, nodes, bits = tree
     count = start[leaf + 1] - start[leaf]
-    token = np.repeat(np.arange(a, z, dtype=np.int32), count)
+    owner = np.repeat(np.arange(len(leaf), dtype=np.int32), count)
     before = np.cumsum(count) - count
-    path = np.arange(len(token)) + np.repeat(start[leaf] - before, count)
-    step = np.arange(len(token), dtype=np.int32) - np.repeat(before.astype(np.int32), count)
-    node = nodes.take(path)
-    mixed = (node.astype(np.uint32) + np.uint32(1)) * np.uint32(0x27D4EB2F)
+    path = np.arange(len(owner)) + np.repeat(start[leaf] - before, count)
+    step = np.arange(len(owner), dtype=np.int32) - np.repeat(before.astype(np.int32), count)
+    return owner, bits.take(path), nodes.take(path), step
+
+
+#: What a node of the tree of words, and of that of bytes, is multiplied by before it is mixed with a context.
+NODES = np.uint32(0x27D4EB2F), np.uint32(0x9E3779B1)
+
+
+def _mixed(node: np.ndarray, kind: int) -> np.ndarray:
+    return (node.astype(np.uint32) + np.uint32(1)) * NODES[kind]
+
+
+def word_decisions(t: dict[str, np.ndarray], shape: Shape, a: int, z: int) -> dict[str, np.ndarray]:
+    """The decisions of the tokens a to z in the word tree: token, bit, node, slots, depth."""
+    token, bit, node, step = paths(t["rank"][a:z], shape.words)
+    token += np.int32(a)
+    mixed = _mixed(node, 0)
     slots = [node.astype(np.int64), *(_slot(c.take(token, mode="clip"), mixed, shape.bits[k], int(shape.offset[k])) for k, c in enumerate(t["contexts"], 1))]
-    return {"token": token, "bit": bits.take(path), "node": node, "slots": slots, "depth": np.minimum(step, 7)}
+    return {"token": token, "bit": bit, "node": node, "slots": slots, "depth": np.minimum(step, 7)}
 
 
-def byte_decisions(t: dict[str, np.ndarray], shape: Shape, a: int, z: int) -> dict[str, np.ndarray]:
-    """The decisions of the bytes of words outside the vocabulary, each word closed by a blank."""
-    start, nodes, bits = shape.bytes
+def byte_contexts(t: dict[str, np.ndarray], shape: Shape, a: int, z: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The bytes of words outside the vocabulary, each word closed by a blank: token, place in the word, byte, contexts."""
     rare = np.flatnonzero((t["rank"][a:z] == shape.leaves) & ~t["stop"][a:z]) + a
     size = t["end"][rare] - t["begin"][rare] + 1
     first = np.cumsum(size) - size
@@ -224,12 +240,16 @@ def byte_decisions(t: dict[str, np.ndarray], shape: Shape, a: int, z: int) -> di
     power = np.cumprod(np.full(256, np.uint32(0x01000193)), dtype=np.uint32)
     run = np.concatenate([[0], np.cumsum((x * odd[0] ^ (x << np.uint32(9))) * power[place & 255], dtype=np.uint32)]).astype(np.uint32)
     contexts.append((run[:-1] - run[first][owner]) * odd[3] + place.astype(np.uint32) * odd[1])
-    count = start[data.astype(np.int64) + 1] - start[data]
-    byte = np.repeat(np.arange(len(data)), count)
-    path = np.arange(len(byte)) + np.repeat(start[data] - (np.cumsum(count) - count), count)
-    mixed = (nodes.take(path).astype(np.uint32) + np.uint32(1)) * np.uint32(0x9E3779B1)
+    return rare[owner].astype(np.int32), place, data, contexts
+
+
+def byte_decisions(t: dict[str, np.ndarray], shape: Shape, a: int, z: int) -> dict[str, np.ndarray]:
+    """The decisions of the bytes of words outside the vocabulary."""
+    token, place, data, contexts = byte_contexts(t, shape, a, z)
+    byte, bit, node, _ = paths(data.astype(np.int64), shape.bytes)
+    mixed = _mixed(node, 1)
     slots = [_slot(c.take(byte, mode="clip"), mixed, shape.bits[4 + k], int(shape.offset[4 + k])) for k, c in enumerate(contexts)]
-    return {"token": rare[owner[byte]].astype(np.int32), "bit": bits.take(path), "slots": slots, "depth": np.minimum(place[byte], 7)}
+    return {"token": token[byte], "bit": bit, "slots": slots, "depth": np.minimum(place[byte], 7)}
 
 
 def own_counts(d: dict[str, np.ndarray], t: dict[str, np.ndarray], shape: Shape) -> tuple[np.ndarray, np.ndarray]:
@@ -384,22 +404,59 @@ def _word_counts(train: DataFrame) -> DataFrame:
     return _rows(train).mapInArrow(run, "kind int, key long, n long")
 
 
+def count_pairs(table: np.ndarray, shape: Shape, k: int, keys: np.ndarray, n: np.ndarray) -> None:
+    """Add ``n`` times each to the k-th table's counts of zeros and ones: the leaves (low bits of ``keys``) under their contexts."""
+    kind, low = (0, RANK_BITS) if k < 4 else (1, 8)
+    for a in range(0, len(keys), SLICE):
+        key = keys[a : a + SLICE]
+        owner, bit, node, _ = paths(key & ((1 << low) - 1), shape.bytes if kind else shape.words)
+        context = (key >> low).astype(np.uint32)
+        s = _slot(context.take(owner, mode="clip"), _mixed(node, kind), shape.bits[k], int(shape.offset[k])) if k else node.astype(np.int64)
+        s *= 2
+        s += bit
+        np.add.at(table, s, n[a : a + SLICE].astype(np.uint32).take(owner, mode="clip"))
+
+
+def count_texts(texts: Iterator[pa.Array], shape: Shape) -> np.ndarray | None:
+    """The counts of zeros and ones by slot over all texts; None without any.
+
+    The decisions of a word or byte under a context depend on both alone, so equal pairs are counted and go down the tree once.
+    """
+    table, some = np.zeros(2 * int(shape.offset[-1]), np.uint32), False
+    seen, words_, bytes_ = np.zeros(shape.leaves + 1, np.int64), [], []
+
+    def settle(held: list[list[np.ndarray]], at: int, least: int) -> None:
+        if not held or sum(len(x[0]) for x in held) < least:
+            return
+        for k in range(len(held[0])):
+            keys = np.sort(np.concatenate([x[k] for x in held]))
+            first = np.flatnonzero(np.diff(keys, prepend=-1))
+            count_pairs(table, shape, at + k, keys[first], np.diff(np.append(first, len(keys))))
+        held.clear()
+
+    for column in texts:
+        some, t = True, read(column)
+        understand(t, shape)
+        seen += np.bincount(t["rank"], minlength=len(seen))
+        words_.append([(c.astype(np.int64) << RANK_BITS) | t["rank"] for c in t["contexts"]])
+        settle(words_, 1, HELD)
+        for a, z in slices(t):
+            _, _, data, contexts = byte_contexts(t, shape, a, z)
+            bytes_.append([(c.astype(np.int64) << 8) | data for c in contexts])
+            settle(bytes_, 4, HELD)
+    settle(words_, 1, 0)
+    settle(bytes_, 4, 0)
+    leaves = np.flatnonzero(seen)
+    count_pairs(table, shape, 0, leaves, seen[leaves])
+    return table if some else None
+
+
 def _tables(train: DataFrame, shape) -> DataFrame:
     """(key, n, counts): packed blocks of each task's counts of zeros and ones by slot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shape.value
-        table, some, one = np.zeros(2 * int(own.offset[-1]), np.uint32), False, np.uint32(1)
-        for batch in pieces(batches, "text"):
-            some, t = True, read(batch.column(0))
-            understand(t, own)
-            for a, z in slices(t):
-                for d in (word_decisions(t, own, a, z), byte_decisions(t, own, a, z)):
-                    for s in d["slots"]:
-                        s *= 2
-                        s += d["bit"]
-                        np.add.at(table, s, one)
-        for i in range(0, len(table) if some else 0, 2 * BLOCK):
+        table = count_texts((b.column(0) for b in pieces(batches, "text")), shape.value)
+        for i in range(0, len(table) if table is not None else 0, 2 * BLOCK):
             part = table[i : i + 2 * BLOCK]
             if part.any():
                 yield pa.RecordBatch.from_arrays([pa.array([i // (2 * BLOCK)], pa.int64()), pa.array([_pack(part)], pa.binary())], names=["key", "counts"])
