@@ -62,12 +62,19 @@ def numbered_chunks(df: DataFrame, key: str, text: str, size: int = 400, overlap
 
 
 def hashed(texts: pd.Series, size: int) -> np.ndarray:
-    """Unit vectors of hashed, signed word counts; a text without words has the zero vector. Each distinct word is hashed once."""
+    """Unit vectors of hashed, signed word counts; only a text without words has the zero vector. Each distinct word is hashed once.
+
+    Where the words of a text cancel each other wholly, their counts go without signs.
+    """
     lists = [(t or "").lower().split() for t in texts]
     codes, words = pd.factorize(np.array([w for ws in lists for w in ws], dtype=object))
     h = np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64, len(words))
     row = np.repeat(np.arange(len(lists)), [len(ws) for ws in lists])
-    out = np.bincount(row * size + (h % size)[codes], np.where(h >> 31, 1.0, -1.0)[codes], len(lists) * size).reshape(-1, size)
+    at = row * size + (h % size)[codes]
+    out = np.bincount(at, np.where(h >> 31, 1.0, -1.0)[codes], len(lists) * size).reshape(-1, size)
+    lost = ~out.any(1)
+    if lost.any():
+        out[lost] = np.bincount(at, minlength=len(lists) * size).reshape(-1, size)[lost]
     norm = np.sqrt((out**2).sum(1, keepdims=True))
     return (out / np.where(norm > 0, norm, 1)).astype(np.float32)
 
