@@ -21,6 +21,8 @@ from prismtext.storage import committed, numbered, read_batches, stored, write_b
 CONTEXT_HEAD = "If the context below will help answer the above question, use it.\n    Context separated with double enter:"
 #: Bytes of query vectors up to which they are sent to every task; more queries go in several rounds.
 QUERY_BYTES = 64 << 20
+#: Texts that are given to an embedder at once, whatever the size of a batch: their words are objects in the worker.
+EMBED_ROWS = 1000
 
 
 def windows(tokens: Column, size: int = 400, overlap: int = 100) -> Column:
@@ -101,7 +103,8 @@ def embed(df: DataFrame, text: str, embedder: Callable[[pd.Series, int], np.ndar
     @F.pandas_udf("array<float>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(list(embedder(texts, size)))
+            for at in range(0, len(texts), EMBED_ROWS):
+                yield pd.Series(list(embedder(texts[at : at + EMBED_ROWS], size)))
 
     return df.withColumn("embedding", vectors(F.col(text)))
 

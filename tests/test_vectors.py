@@ -40,3 +40,12 @@ def test_index_build_has_unit_vectors_of_all_chunks(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = QUERIES["index_build"](spark, str(tmp_path)).orderBy(F.col("chunk_id"))
     assert [(r["doc_id"], r["chunk_no"], r["chunk_id"], r["first_word"], r["unit"]) for r in got.collect()] == [(None, 0, 0, "one", True), (1, 0, 1, a, True), (2, 0, 2, "x", True), (2, 1, 3, a, True)]
+
+
+def test_embedders_get_bounded_runs_of_texts(spark):
+    texts = [None if i % 50 == 0 else f"t{i} a{i % 7}" for i in range(3500)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    sizes = retrieval.embed(rows, "text", lambda part, size: np.full((len(part), size), len(part), np.float32), 1)
+    assert {r[0] for r in sizes.select(F.col("embedding")[0]).distinct().collect()} == {500, 1000}
+    got = [r["embedding"] for r in retrieval.embed(rows, "text", size=8).orderBy("id").collect()]
+    assert np.array_equal(got, retrieval.hashed(pd.Series(texts), 8))
